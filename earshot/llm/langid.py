@@ -28,6 +28,8 @@ from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 GRAM, SLOTS, HASHES = 4, 1 << 21, 2
 SAMPLE_DOCS, LEAST_DOCS, RELATIVE = 800, 3, 0.2
 UNDETERMINED = "und"
+#: A text of EVIDENCE n-grams is rejected under this score.
+LEAST_SCORE, EVIDENCE = 0.2, 50
 #: Characters handled at once.
 _BLOCK = 1 << 20
 _FACTORS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F], np.uint32)
@@ -189,6 +191,25 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     return docs.mapInArrow(task, schema)
 
 
+def accept(docs: DataFrame, model: Model, least: float = LEAST_SCORE, evidence: int = EVIDENCE) -> DataFrame:
+    """The rows of ``docs`` whose text is in a learned language: those with letters, but for texts of ``evidence``
+    n-grams or more of which less than the share ``least`` is in the best language's filter. Without a learned
+    language only texts without letters go."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index("text")
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good: list[bool] = []
+            for _, texts in _blocks(batch, at):
+                share, total, has = score([t or "" for t in texts], shared.value)
+                best = share.max(axis=1, initial=0) if shared.value.langs else np.ones(len(texts))
+                good += (has & ((best >= least) | (total < evidence))).tolist()
+            yield batch.filter(pa.array(good, pa.bool_()))
+
+    return docs.mapInArrow(task, StructType(docs.schema.fields))
+
+
 def learn_and_predict(docs: DataFrame) -> DataFrame:
     """``docs`` (doc_id, text, lang, ...) with held_out, lang_pred and score."""
     model = train(docs.where(~held_out()))

@@ -22,11 +22,14 @@ from .common import materialise, text_or_empty, word_count
 
 MAX_EPOCHS, SEED = 3, "mix-1"
 _KEY, _BUCKET = "__key", "__bucket"
+#: A source as two columns without nulls, so that one exchange serves window and join.
+_SOURCE = ["__source", "__no_source"]
 
 
 def _narrow(docs: DataFrame, seed: str) -> DataFrame:
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    return docs.withColumns({"__size": word_count(text_or_empty()), _KEY: key}).withColumn(
+    source = {_SOURCE[0]: F.coalesce("source", F.lit("")), _SOURCE[1]: F.col("source").isNull()}
+    return docs.withColumns({"__size": word_count(text_or_empty()), _KEY: key, **source}).withColumn(
         _BUCKET, F.conv(F.substring(_KEY, 1, 3), 16, 10).cast("int"))
 
 
@@ -49,33 +52,29 @@ def water_fill(sources: DataFrame, total: int, max_epochs: int = MAX_EPOCHS) ->
 
 def source_weights(sources: DataFrame) -> DataFrame:
     """Weights 1, 2, 3, 1, ... by code point of the source, null last. One row a source."""
-    rank = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last()))
+    rank = F.row_number().over(Window.orderBy(*reversed(_SOURCE)))
     return sources.withColumn("weight", ((rank - 1) % 3 + 1).cast("long"))
 
 
 def plan_mix(narrow: DataFrame, max_epochs: int = MAX_EPOCHS) -> DataFrame:
     """For each (source, bucket): source_size, target, whole repetitions, words of the fraction, words before."""
-    sums = materialise(narrow.groupBy("source", _BUCKET).agg(F.sum("__size").alias("words")), "mix-buckets")
-    sources = sums.groupBy("source").agg(F.sum("words").alias("source_size"))
+    sums = materialise(narrow.groupBy(*_SOURCE, _BUCKET).agg(F.sum("__size").alias("words")), "mix-buckets")
+    sources = sums.groupBy(*_SOURCE).agg(F.sum("words").alias("source_size"))
     sources = materialise(source_weights(sources), "mix-sources")
     total = sources.agg(F.coalesce(F.sum("source_size"), F.lit(0))).first()[0]
     filled = water_fill(sources, total, max_epochs)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     filled = filled.withColumn("whole", whole).withColumn("part", F.col("target") - F.col("whole") * F.col("source_size"))
-    before = F.sum("words").over(Window.partitionBy("source").orderBy(_BUCKET).rowsBetween(Window.unboundedPreceding, -1))
+    before = F.sum("words").over(Window.partitionBy(*_SOURCE).orderBy(_BUCKET).rowsBetween(Window.unboundedPreceding, -1))
     buckets = sums.withColumn("before", F.coalesce(before, F.lit(0)))
-    return (
-        buckets.alias("b").join(filled.alias("s"), F.col("b.source").eqNullSafe(F.col("s.source")))
-        .select("b.source", _BUCKET, "source_size", "target", "whole", "part", "before")
-    )
+    return buckets.join(filled, _SOURCE).select(*_SOURCE, _BUCKET, "source_size", "target", "whole", "part", "before")
 
 
 def _repetitions(rows: DataFrame, plan: DataFrame) -> DataFrame:
     """``rows`` with source_size, target and __reps."""
-    inside = Window.partitionBy("source", _BUCKET).orderBy(_KEY, "doc_id", "__size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy(*_SOURCE, _BUCKET).orderBy(_KEY, "doc_id", "__size").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("__inside", F.coalesce(F.sum("__size").over(inside), F.lit(0)))
-    plan = plan.withColumnsRenamed({"source": "__s", _BUCKET: "__b"})
-    joined = rows.join(plan, F.col("source").eqNullSafe(F.col("__s")) & (F.col(_BUCKET) == F.col("__b")))
+    joined = rows.join(plan, [*_SOURCE, _BUCKET])
     more = 2 * (F.col("before") + F.col("__inside")) + F.col("__size") <= 2 * F.col("part")
     return joined.withColumn("__reps", F.col("whole") + F.when((F.col("part") > 0) & more, 1).otherwise(0))
 
@@ -90,7 +89,7 @@ def mix(docs: DataFrame, seed: str = SEED, max_epochs: int = MAX_EPOCHS) -> Data
     """``docs`` with every row as often as the mix takes it; rows taken 0 times go. ``copy`` counts from 0."""
     docs = docs.drop("copy")
     featured = _narrow(docs, seed)
-    narrow = materialise(featured.select("doc_id", "source", "__size", _KEY, _BUCKET), "mix-narrow")
+    narrow = materialise(featured.select("doc_id", *_SOURCE, "__size", _KEY, _BUCKET), "mix-narrow")
     clash = {c: f"__in_{c}" for c in docs.columns if c in ("source_size", "target", "whole", "part", "before")}
     taken = _repetitions(featured.withColumnsRenamed(clash), plan_mix(narrow, max_epochs)).where("__reps > 0")
     copies = taken.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("__reps").cast("int") - 1)))

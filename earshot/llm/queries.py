@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, mixing, secret_scan, sharding, tokens, warc
+from . import ann, decontam, langid, mixing, neardup, pii, secret_scan, sharding, tokens, warc
 from .common import table
 
 
@@ -24,6 +24,14 @@ def op2_vector_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.digest(table(spark, sf_dir, "documents"))
 
 
+def op3_one_bit_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.digest(table(spark, sf_dir, "embeddings"))
+
+
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.digest(table(spark, sf_dir, "pages"))
 
@@ -32,6 +40,10 @@ def op6_water_filling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.digest(table(spark, sf_dir, "documents"))
 
 
+def op7_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(table(spark, sf_dir, "documents"))
+
+
 def op8_token_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.digest(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -40,7 +52,14 @@ def op9_language_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.digest(table(spark, sf_dir, "documents"))
 
 
+def op10_odd_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.digest(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_secret_scan, op2_vector_sharding, op5_warc_revisits, op6_water_filling, op8_token_sequences, op9_language_filters)
+    for f in (
+        op1_secret_scan, op2_vector_sharding, op3_one_bit_codes, op4_decontamination, op5_warc_revisits, op6_water_filling,
+        op7_disclosure, op8_token_sequences, op9_language_filters, op10_odd_sketches,
+    )
 }
