@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, spread
 
 NEAREST, EPSILON = 20, 3.0
 BLOCK_ROWS, QUERY_ROWS = 4096, 8192
@@ -127,6 +127,7 @@ def search(embeddings: DataFrame, queries: DataFrame, k: int = NEAREST) -> DataF
         found = block_nearest(*matrix(left), *matrix(right), k)
         return pa.table(dict(zip(("query_id", "vec_id", "score"), found, strict=True)))
 
+    own, asked = (spread(x, "block", "turn", tasks=blocks * turns) for x in (own, asked))
     partial = own.groupBy("block", "turn").cogroup(asked.groupBy("block", "turn")).applyInArrow(task, _OUT)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return partial.withColumn("rank", F.row_number().over(best).cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -15,7 +15,13 @@ WORD = r"[^\x20\x09-\x0D]+"
 HOT_SHARE = 1000
 
 
+def safe_unions(spark: SparkSession) -> None:
+    """Spark 4.1 may take a union of differently merged partitions as partitioned by their key, and group wrongly."""
+    spark.conf.set("spark.sql.unionOutputPartitioning", "false")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    safe_unions(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -35,11 +41,18 @@ def new_folder(spark: SparkSession, label: str) -> str:
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Cut the lineage: write ``df`` as Parquet in the shared folder and read it again."""
     spark = df.sparkSession
+    safe_unions(spark)
     path = new_folder(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, *keys: str, tasks: int | None = None) -> DataFrame:
+    """Deal few rows that stand for much work over ``tasks`` tasks, or as many as shuffles have. A number that is
+    given keeps Spark from merging tasks by the size of their input."""
+    return df.repartition(tasks or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
@@ -54,6 +67,7 @@ def split_join(left: DataFrame, right: DataFrame, keys: list[str], hot: DataFram
     ``hot`` lists at most HOT_SHARE keys (see ``hot_keys``). Their rows of ``right`` are broadcast, the others
     are shuffled, so that no task gets more than one in HOT_SHARE of the rows of ``left`` for one key.
     """
+    safe_unions(left.sparkSession)
     hot = F.broadcast(hot.select(*keys))
     few = F.broadcast(right.join(hot, keys, "left_semi"))
     return (

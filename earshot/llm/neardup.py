@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import hot_keys, materialise, split_join
+from .common import hot_keys, materialise, split_join, spread
 
 SHINGLE = 5
 SAMPLES, BANDS, ROWS, BITS = 256, 24, 5, 1024
@@ -247,7 +247,7 @@ def _rest_pairs(nodes: DataFrame, members: DataFrame, buckets: DataFrame, labels
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     rows = rows.select("key", "node", "comp", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
     rows = rows.join(nodes.select("node", "sketch"), "node")
-    pairs = rows.groupBy("key", "lo", "hi").applyInArrow(_tile, "a long, b long")
+    pairs = spread(rows, "key", "lo", "hi").groupBy("key", "lo", "hi").applyInArrow(_tile, "a long, b long")
     return materialise(pairs.distinct(), "near-rest")
 
 

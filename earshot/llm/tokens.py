@@ -2,9 +2,10 @@
 
 Documents are range-partitioned by doc_id, so that files in order of their partitions hold the corpus in order.
 A task packs its documents, each with the end id, into sequences of ``SEQUENCE`` ids. A file's batches have the
-columns ``ids`` (fixed-size list of uint32), ``mask`` (fixed-size list of uint8: 0 padding, 1 id, 2 last id of
-a document) and ``ends`` (the doc_ids that end in the sequence). A reader maps the file and takes any sequence
-and its mask without a copy. Only a file's last sequence is padded.
+columns ``ids`` (fixed-size list of uint16, or uint32 for vocabularies over 65,536), ``mask`` and ``last``
+(fixed-size lists of bits: which ids are real, which end a document) and ``ends`` (the doc_ids that end in the
+sequence). A reader maps the file and views any sequence and its bitmaps without a copy; so buffers are not
+compressed. Only a file's last sequence is padded.
 
 Each distinct piece of text that the tokenizer's splitting rule gives is encoded once and its ids are kept, in
 a store of bounded size; a text's ids are those of its pieces in order.
@@ -31,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, new_folder
+from .common import materialise, new_folder, spread
 
 SEQUENCE, BATCH_SEQUENCES, END_ID = 2048, 256, 1
 #: Distinct pieces of text whose ids a worker keeps.
@@ -121,16 +122,15 @@ def _encoder(path: str) -> Encoder:
 class _Packer:
     """Sequences from documents that are added one by one."""
 
-    def __init__(self, length: int) -> None:
-        self.length, self.ids, self.mask, self.ends, self.size = length, [], [], [], 0
+    def __init__(self, length: int, kind: str) -> None:
+        self.length, self.ids, self.ends, self.size = length, [], [], 0
         self.schema = pa.schema([
-            ("ids", pa.list_(pa.uint32(), length)), ("mask", pa.list_(pa.uint8(), length)), ("ends", pa.list_(pa.int64()))])
+            ("ids", pa.list_(pa.from_numpy_dtype(kind), length)), ("mask", pa.list_(pa.bool_(), length)),
+            ("last", pa.list_(pa.bool_(), length)), ("ends", pa.list_(pa.int64()))])
+        self.kind = kind
 
     def add(self, doc_id: int | None, ids: np.ndarray) -> None:
-        mask = np.ones(len(ids), np.uint8)
-        mask[-1] = 2
-        self.ids.append(ids)
-        self.mask.append(mask)
+        self.ids.append(ids.astype(self.kind))
         self.size += len(ids)
         self.ends.append((self.size - 1, doc_id))
 
@@ -139,17 +139,17 @@ class _Packer:
         n = -(-self.size // self.length) if last else self.size // self.length
         if not n:
             return None
-        ids, mask = np.concatenate(self.ids), np.concatenate(self.mask)
-        cut = n * self.length
-        pad = max(0, cut - len(ids))
-        head = [np.pad(x, (0, pad))[:cut] for x in (ids, mask)]
+        ids, cut = np.concatenate(self.ids), n * self.length
+        real, stops = np.arange(cut) < len(ids), np.zeros(cut, bool)
         done = [e for e in self.ends if e[0] < cut]
+        stops[[at for at, _ in done]] = True
         ends: list[list[int | None]] = [[] for _ in range(n)]
         for at, doc_id in done:
             ends[at // self.length].append(doc_id)
-        self.ids, self.mask, self.size = [ids[cut:]], [mask[cut:]], max(0, self.size - cut)
+        head = np.pad(ids, (0, max(0, cut - len(ids))))[:cut]
+        self.ids, self.size = [ids[cut:]], max(0, self.size - cut)
         self.ends = [(at - cut, d) for at, d in self.ends[len(done):]]
-        lists = [pa.FixedSizeListArray.from_arrays(pa.array(x), self.length) for x in head]
+        lists = [pa.FixedSizeListArray.from_arrays(pa.array(x), self.length) for x in (head, real, stops)]
         return pa.RecordBatch.from_arrays([*lists, pa.array(ends, pa.list_(pa.int64()))], schema=self.schema)
 
 
@@ -159,7 +159,7 @@ def write_sequences(docs: DataFrame, folder: str, tokenizer: str, length: int =
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, base = fs.FileSystem.from_uri(folder)
         store.create_dir(base, recursive=True)
-        packer, writer, sink, n_docs, n_ids = _Packer(length), None, None, 0, 0
+        packer, writer, sink, n_docs, n_ids = _Packer(length, kind), None, None, 0, 0
         file = f"{uuid.uuid4().hex}.arrow"
         end = np.array([END_ID], "<u4").tobytes()
         for batch in batches:
@@ -179,6 +179,7 @@ def write_sequences(docs: DataFrame, folder: str, tokenizer: str, length: int =
             sink.close()
             yield pa.RecordBatch.from_pydict({"part": [TaskContext.get().partitionId()], "path": [f"{folder}/{file}"], "n_docs": [n_docs], "n_ids": [n_ids]})
 
+    kind = "uint16" if Encoder(tokenizer).tokenizer.get_vocab_size() <= 1 << 16 else "uint32"
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
     rows = docs.select("doc_id", "text").repartitionByRange(*order).sortWithinPartitions(*order)
     return materialise(rows.mapInArrow(task, "part long, path string, n_docs long, n_ids long"), "token-manifest")
@@ -194,21 +195,22 @@ class SequenceFile:
         self.batches = self.file.num_record_batches
         self.length = self.file.schema.field("ids").type.list_size
 
-    def batch(self, i: int) -> tuple[np.ndarray, np.ndarray, list[list[int | None]]]:
-        """Ids and masks, a row a sequence, and the documents that end in each."""
+    def batch(self, i: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[list[int | None]]]:
+        """A row a sequence: ids, bits of mask and last packed from the low bit up, and the documents that end in it."""
         got = self.file.get_batch(i)
-        views = [got.column(k).flatten().to_numpy(zero_copy_only=True).reshape(-1, self.length) for k in (0, 1)]
-        return views[0], views[1], got.column(2).to_pylist()
+        ids = got.column(0).flatten().to_numpy(zero_copy_only=True).reshape(-1, self.length)
+        bits = [np.frombuffer(got.column(k).flatten().buffers()[1], np.uint8)[:ids.size // 8].reshape(len(ids), -1) for k in (1, 2)]
+        return ids, *bits, got.column(3).to_pylist()
 
     def documents(self) -> Iterator[tuple[int | None, np.ndarray]]:
         """(doc_id, ids with the end id) in order."""
         carried: list[np.ndarray] = []
         for i in range(self.batches):
-            ids, mask, ends = self.batch(i)
-            real = mask.ravel() > 0
-            ids, last = ids.ravel()[real], np.flatnonzero(mask.ravel()[real] == 2) + 1
+            ids, mask, last, ends = self.batch(i)
+            real, stop_bits = (np.unpackbits(x.ravel(), bitorder="little").view(bool) for x in (mask, last))
+            ids, stops = ids.ravel()[real], np.flatnonzero(stop_bits[real]) + 1
             at = 0
-            for doc_id, stop in zip([d for e in ends for d in e], last, strict=True):
+            for doc_id, stop in zip([d for e in ends for d in e], stops, strict=True):
                 yield doc_id, np.concatenate([*carried, ids[at:stop]]) if carried else ids[at:stop]
                 carried, at = [], stop
             if at < len(ids):
@@ -240,7 +242,7 @@ def read_documents(manifest: DataFrame) -> DataFrame:
     fields = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
     before = F.sum("n_ids").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))  # a row a file
     files = manifest.withColumn("first", F.coalesce(before, F.lit(0))).select("path", "n_ids", "first")
-    return files.repartition(F.col("path")).mapInArrow(task, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return spread(files, "path").mapInArrow(task, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def digest(docs: DataFrame, tokenizer: str) -> DataFrame:

@@ -24,7 +24,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hot_keys, materialise, new_folder, split_join, text_or_empty
+from .common import hot_keys, materialise, new_folder, split_join, spread, text_or_empty
 
 MIN_BYTES = 100
 ARCHIVE_BYTES = 256 << 20
@@ -170,8 +170,7 @@ def read_archives(manifest: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_pylist(rows, schema=fields)
 
     fields = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())])
-    # One archive a task: a manifest row is a file of up to ARCHIVE_BYTES.
-    return manifest.select("path").repartition(F.col("path")).mapInArrow(task, _FIELDS)
+    return spread(manifest.select("path"), "path").mapInArrow(task, _FIELDS)
 
 
 def digest(pages: DataFrame) -> DataFrame:
