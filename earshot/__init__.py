@@ -1,0 +1 @@
+"""A PySpark engine for preparing, indexing, searching and evaluating spoken-word transcript corpora."""
