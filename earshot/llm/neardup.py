@@ -223,7 +223,7 @@ def _tile(rows: pa.Table) -> pa.Table:
     """Pairs of one tile of a bucket: agreeing sketches, different components. A tile on the diagonal holds one block."""
     lo, hi, block = (rows.column(c).to_numpy() for c in ("lo", "hi", "block"))
     node, comp = (rows.column(c).to_numpy() for c in ("node", "comp"))
-    sketch = rows.column("sketch").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, BITS // 64)
+    sketch = rows.column("sketch").combine_chunks().flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, BITS // 64)
     left, right = np.flatnonzero(block == lo), np.flatnonzero(block == hi)
     found_a, found_b = [], []
     for i in left:
