@@ -8,9 +8,10 @@ Documents of equal sets form a class, known by a 64-bit digest; all later steps
    BITS / 2 * (1 - exp(-4 * SAMPLES * (1 - J) / BITS)) bits, most precise for similarities near 1.
 2. A bucket (band key with several classes) links each class to its least one: candidates in number of the rows,
    not their square. Those whose sketches agree are confirmed on full shingle sets.
-3. Buckets that still hold several components are compared in full, by sketch, in tiles of bounded size; pairs
-   of different components whose sketches agree are confirmed too. So a link is missed only if no band or sketch
-   shows it: at similarity 0.85 with odds of about 1 in a million.
+3. Buckets that still hold several components are compared in full, in tiles of bounded size: pairs of different
+   components whose sketches agree are confirmed on the full sets, the nearest first, and a tile returns only the
+   links that join components. So a component is missed only if no band or sketch shows its links: at similarity
+   0.85 with odds of about 1 in a million for each.
 4. Components come from propagating least labels with pointer jumping, in tables. Nothing is gathered at the
    driver but counts and a Bloom filter of fixed size, which picks the texts whose sets have to be made again.
 
@@ -36,7 +37,7 @@ SAMPLES, BANDS, ROWS, BITS = 256, 24, 5, 1024
 #: Links have 100 * intersection >= PERCENT * union. Sketches agree down to LEAST_ESTIMATE, five deviations less.
 PERCENT, LEAST_ESTIMATE = 85, 0.74
 MOST_XOR = int(BITS / 2 * (1 - np.exp(-4 * SAMPLES * (1 - LEAST_ESTIMATE) / BITS)))
-TILE = 1024
+TILE = 512
 BLOOM_BITS = 1 << 24
 _KEPT_WORDS = 500_000
 
@@ -154,10 +155,9 @@ def _bloom(ids: DataFrame) -> np.ndarray:
     return out
 
 
-def _sets(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """node and its set as bytes, of all nodes in ``pairs``. One document of each makes it: that of the least id."""
-    ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = materialise(nodes.select("node", "rep").join(ends, "node", "left_semi"), "near-wanted")
+def _sets(docs: DataFrame, nodes: DataFrame, asked: DataFrame) -> DataFrame:
+    """node and its set as bytes, of the nodes asked for. One document of each makes it: that of the least id."""
+    wanted = materialise(nodes.select("node", "rep").join(asked.select("node").distinct(), "node", "left_semi"), "near-wanted")
     bloom = docs.sparkSession.sparkContext.broadcast(_bloom(wanted.select("rep")))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,23 +183,27 @@ def _sets(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     return materialise(made.join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"]), "near-sets")
 
 
+def _linked(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two sets, sorted, are similar enough."""
+    if len(a) > len(b):
+        a, b = b, a
+    if 100 * len(a) < PERCENT * len(b):
+        return False
+    at = np.searchsorted(b, a)
+    at[at == len(b)] = 0
+    both = int((b[at] == a).sum())
+    return 100 * both >= PERCENT * (len(a) + len(b) - both)
+
+
 def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of (a, b, set_a, set_b), the pairs that are links."""
     for batch in batches:
-        good = []
-        for a, b in zip(batch.column(2), batch.column(3), strict=True):
-            a, b = np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)
-            if len(a) > len(b):
-                a, b = b, a
-            at = np.searchsorted(b, a)
-            at[at == len(b)] = 0
-            both = int((b[at] == a).sum())
-            good.append(100 * both >= PERCENT * (len(a) + len(b) - both))
+        good = [_linked(np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)) for a, b in zip(batch.column(2), batch.column(3), strict=True)]
         yield pa.RecordBatch.from_arrays([c.filter(pa.array(good, pa.bool_())) for c in batch.columns[:2]], names=["a", "b"])
 
 
 def _confirm(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
-    sets = _sets(docs, nodes, pairs)
+    sets = _sets(docs, nodes, pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))))
     first = pairs.join(sets.withColumnsRenamed({"node": "a", "set": "set_a"}), "a")
     both = first.join(sets.withColumnsRenamed({"node": "b", "set": "set_b"}), "b").select("a", "b", "set_a", "set_b")
     return materialise(both.mapInArrow(_similar, "a long, b long"), "near-links")
@@ -220,35 +224,50 @@ def _star_pairs(nodes: DataFrame, members: DataFrame, buckets: DataFrame) -> Dat
 
 
 def _tile(rows: pa.Table) -> pa.Table:
-    """Pairs of one tile of a bucket: agreeing sketches, different components. A tile on the diagonal holds one block."""
-    lo, hi, block = (rows.column(c).to_numpy() for c in ("lo", "hi", "block"))
-    node, comp = (rows.column(c).to_numpy() for c in ("node", "comp"))
-    sketch = rows.column("sketch").combine_chunks().flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, BITS // 64)
+    """Links of one tile of a bucket, by which components join: as many as make the joins, each confirmed on the
+    full sets. Pairs are taken by sketch, the nearest first, unless an earlier band holds them too. A tile on the
+    diagonal holds one block."""
+    lo, hi, block, band = (rows.column(c).to_numpy() for c in ("lo", "hi", "block", "band"))
+    node, comp = rows.column("node").to_numpy(), rows.column("comp").to_pylist()
+    sketch, bands = (rows.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(rows.num_rows, -1) for c in ("sketch", "bands"))
+    sketch, bands = sketch.view(np.uint64), bands[:, :band[0]]
+    sets = [np.frombuffer(s.as_buffer(), np.uint64) for s in rows.column("set")]
+    root = {c: c for c in comp}
+
+    def find(c: int) -> int:
+        while root[c] != c:
+            root[c] = root[root[c]]
+            c = root[c]
+        return c
+
     left, right = np.flatnonzero(block == lo), np.flatnonzero(block == hi)
-    found_a, found_b = [], []
+    found: list[tuple[int, int]] = []
     for i in left:
-        others = right[(comp[right] != comp[i]) & (node[right] > node[i])] if lo[0] == hi[0] else right[comp[right] != comp[i]]
-        n = np.bitwise_count(sketch[others] ^ sketch[i]).sum(axis=1, dtype=np.int64)
-        near = others[n <= MOST_XOR]
-        found_a.append(np.full(len(near), node[i]))
-        found_b.append(node[near])
-    a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (found_a, found_b))
-    return pa.table({"a": np.maximum(a, b), "b": np.minimum(a, b)})
-
-
-def _rest_pairs(nodes: DataFrame, members: DataFrame, buckets: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs within buckets, between different components so far, whose sketches agree. A pair may come again."""
-    labelled = members.join(buckets.select("key", "n"), "key").join(labels, "node", "left")
+        others = right[node[right] > node[i]] if lo[0] == hi[0] else right
+        apart = np.bitwise_count(sketch[others] ^ sketch[i]).sum(axis=1, dtype=np.int64)
+        others, apart = others[apart <= MOST_XOR], apart[apart <= MOST_XOR]
+        first = ~(bands[others] == bands[i]).any(axis=1)
+        for j in others[first][np.argsort(apart[first], kind="stable")]:
+            x, y = find(comp[i]), find(comp[j])
+            if x != y and _linked(sets[i], sets[j]):
+                root[x] = y
+                found.append((max(node[i], node[j]), min(node[i], node[j])))
+    return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
+
+
+def _rest_links(docs: DataFrame, nodes: DataFrame, members: DataFrame, buckets: DataFrame, labels: DataFrame) -> DataFrame:
+    """Links between different components so far that share a bucket, as many as join what can be joined."""
+    labelled = members.join(buckets.select("key", "n"), "key").where("n > 2").join(labels, "node", "left")
     labelled = materialise(labelled.withColumn("comp", F.coalesce("comp", "node")), "near-members")
-    mixed = labelled.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("n")).where("x != y and n > 2")
-    rows = labelled.drop("n").join(mixed.select("key", "n"), "key")
-    tiles = F.ceil(F.col("n") / TILE).cast("int")
-    rows = rows.withColumn("tiles", tiles).withColumn("block", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
+    mixed = labelled.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x != y").select("key")
+    rows = materialise(labelled.join(mixed, "key"), "near-mixed")
+    known = nodes.select("node", "sketch", "bands").join(_sets(docs, nodes, rows), "node")
+    rows = rows.withColumn("tiles", F.ceil(F.col("n") / TILE).cast("int"))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    rows = rows.select("key", "node", "comp", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
-    rows = rows.join(nodes.select("node", "sketch"), "node")
-    pairs = spread(rows, "key", "lo", "hi").groupBy("key", "lo", "hi").applyInArrow(_tile, "a long, b long")
-    return materialise(pairs.distinct(), "near-rest")
+    rows = rows.select("key", "band", "node", "comp", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
+    links = spread(rows.join(known, "node"), "key", "lo", "hi").groupBy("key", "lo", "hi").applyInArrow(_tile, "a long, b long")
+    return materialise(links.distinct(), "near-rest")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -274,16 +293,15 @@ def classify(docs: DataFrame) -> DataFrame:
     nodes = made.where("node is not null").groupBy("node").agg(
         F.min("doc_id").alias("rep"), F.count("*").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
     nodes = materialise(nodes, "near-nodes")
-    members = nodes.select("node", F.explode("bands").alias("key"))
+    members = nodes.select("node", F.posexplode("bands").alias("band", "key"))
     buckets = members.groupBy("key").agg(F.min("node").alias("least"), F.count("*").alias("n")).where("n > 1")
     buckets = materialise(buckets, "near-buckets")
     members = materialise(members.join(buckets.select("key"), "key"), "near-in-buckets")
     links = _confirm(docs, nodes, _star_pairs(nodes, members, buckets))
     labels = components(links)
-    rest = _rest_pairs(nodes, members, buckets, labels)
+    rest = _rest_links(docs, nodes, members, buckets, labels)
     if rest.limit(1).count():
-        links = links.unionByName(_confirm(docs, nodes, rest))
-        labels = components(links)
+        labels = components(links.unionByName(rest))
     reps = nodes.select("node", "rep", "n").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     least = reps.join(labels.select("node"), "node", "left_semi").groupBy("comp").agg(F.min("rep").alias("least"))
     known = reps.join(least, "comp", "left").select("node", "n", F.coalesce("least", "rep").alias("component"))

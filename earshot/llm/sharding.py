@@ -1,7 +1,8 @@
 """Sharding as vector bin packing: bytes, tokens and rows are balanced jointly.
 
 Rows with equal texts form a group. Groups are hashed into a bounded number of buckets; a group that
-outweighs a mean bucket is dealt over several by its ids, so no key has to fit one task. The buckets' sums
+outweighs one in ``HOT_PART`` of a shard is dealt over several by its ids, so no key has to fit one task, and
+others stay together. The buckets' sums
 (bytes, tokens, rows) are at most ``MAX_BUCKETS`` vectors, which the driver packs: heaviest first, each into
 the shard where the dot product of vector and residual capacity is highest. Rows then find shard and slot
 through a broadcast of that bounded map and a window inside each bucket.
@@ -23,6 +24,8 @@ from .common import materialise, text_or_empty, word_count
 ROW_OVERHEAD = 16
 #: Bounds on the buckets: at least so many a shard, one for so many rows, and at most so many in all.
 BUCKETS_A_SHARD, ROWS_A_BUCKET, MAX_BUCKETS = 256, 50_000, 65_536
+#: A group over one in HOT_PART of a shard is hot: at most shards * HOT_PART groups are.
+HOT_PART = 16
 #: Weight of bytes, tokens and rows in the dot product. Bytes are the law, so they weigh most.
 DIMENSIONS = (4.0, 0.5, 0.5)
 
@@ -33,7 +36,7 @@ _SIZE, _TOKENS, _GROUP, _BUCKET, _PIECES = "__bytes", "__tokens", "__group", "__
 class ShardPlan:
     shards: int
     buckets: int
-    hot: DataFrame  # group -> pieces, at most `buckets` rows
+    hot: DataFrame  # group -> pieces, at most shards * HOT_PART rows
     placed: DataFrame  # bucket -> shard, first slot; at most MAX_BUCKETS rows
 
 
@@ -76,11 +79,11 @@ def plan_shards(featured: DataFrame, shards: int) -> ShardPlan:
     spark = featured.sparkSession
     rows, size = featured.agg(F.count("*"), F.coalesce(F.sum(_SIZE), F.lit(0))).first()
     buckets = int(min(MAX_BUCKETS // shards * shards, shards * max(BUCKETS_A_SHARD, -(-rows // (shards * ROWS_A_BUCKET)))))
-    mean = max(1, size // buckets)
+    most = max(1, size // (shards * HOT_PART))
     hot = (
         featured.groupBy(_GROUP).agg(F.sum(_SIZE).alias("b"), F.count("*").alias("n"))
-        .where((F.col("b") > mean) & (F.col("n") > 1))
-        .select(_GROUP, F.ceil(F.col("b") / mean).alias(_PIECES))
+        .where((F.col("b") > most) & (F.col("n") > 1))
+        .select(_GROUP, F.ceil(F.col("b") / most * 4).alias(_PIECES))
     )
     hot = materialise(hot, "shard-hot")
     sums = (
