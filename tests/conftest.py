@@ -43,7 +43,9 @@ def duck(sf):
 
 def plain(value):
     """One form for equal values of both engines."""
-    if value is None or value != value if not hasattr(value, "__len__") else False:
+    import pandas as pd
+
+    if not hasattr(value, "__len__") and pd.isna(value):
         return None
     if hasattr(value, "item"):
         value = value.item()
