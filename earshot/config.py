@@ -12,6 +12,11 @@ STRIPPED_MARKS = "，。！？；：、…“”‘’（）《》【】—～·
 STRIPPED = string.punctuation + string.whitespace + STRIPPED_MARKS
 UNSPACED_LANGUAGES = ("zh", "ja")
 AUDIO_EXTENSIONS = (".mp3", ".m4a", ".mp4", ".ogg", ".opus", ".wav", ".aac")
+MIME_EXTENSIONS = {
+    "audio/mpeg": ".mp3", "audio/mp3": ".mp3", "audio/mp4": ".m4a", "audio/x-m4a": ".m4a", "audio/ogg": ".ogg",
+    "audio/opus": ".opus", "audio/wav": ".wav", "audio/x-wav": ".wav", "audio/aac": ".aac",
+}
+RETRIED_STATUSES = (429, 500, 502, 503, 504)
 APPLE_HOSTS = ("podcasts.apple.com", "itunes.apple.com")
 SENTENCE_MARKS = "。！？；.!?;"
 FULL_WIDTH_MARKS = "，。？！、；：…"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..config import APPLE_HOSTS, AUDIO_EXTENSIONS
+from ..config import APPLE_HOSTS, AUDIO_EXTENSIONS, MIME_EXTENSIONS
 
 
 def _empty_to_null(value: Column) -> Column:
@@ -70,7 +70,3 @@ def file_extension(url: Column, mime: Column) -> Column:
     kind = F.lower(F.trim(F.substring_index(mime, ";", 1)))
     by_type = F.element_at(F.create_map(*[F.lit(x) for kv in MIME_EXTENSIONS.items() for x in kv]), kind)
     return F.coalesce(out, by_type, F.lit(".mp3"))
-
-
-# Extensions of audio types.
-MIME_EXTENSIONS = {"audio/mpeg": ".mp3", "audio/mp4": ".m4a", "audio/x-m4a": ".m4a", "audio/ogg": ".ogg", "audio/wav": ".wav", "audio/aac": ".aac"}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import WORD
@@ -23,19 +23,17 @@ def episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """episode_id, podcast_name, language, segments: a line of text each, as array of
-    (text, start_ms, end_ms, words), in order; words take WORD_MS each from 0 on."""
+    """episode_id, podcast_name, language, segment_no, words, first_word: a row for each line of text that has words;
+    first_word is the number of words before it in the episode."""
     rows = episodes(spark, sf_dir)
     words = F.filter(F.transform(F.split("text", "\n"), lambda line: F.regexp_extract_all(line, F.lit(WORD), 0)), lambda w: F.size(w) > 0)
     rows = rows.select("episode_id", "podcast_name", "language", F.posexplode(words).alias("segment_no", "words"))
-    from pyspark.sql import Window
-
     before = Window.partitionBy("episode_id").orderBy("segment_no").rowsBetween(Window.unboundedPreceding, -1)
     return rows.withColumn("first_word", F.coalesce(F.sum(F.size("words")).over(before), F.lit(0)).cast("long"))
 
 
 def transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """episode_id, language, segments: array of (text, start, end, words (word, start, end)), by one row an episode."""
+    """episode_id, podcast_name, language, lines: the words of each line that has some, a row an episode."""
     rows = episodes(spark, sf_dir)
     lines = F.filter(F.transform(F.split("text", "\n"), lambda line: F.regexp_extract_all(line, F.lit(WORD), 0)), lambda w: F.size(w) > 0)
     return rows.select("episode_id", "podcast_name", "language", lines.alias("lines"))
