@@ -66,21 +66,18 @@ def near_copies(rng, n_families=12, size=12, words=150, change=4):
     return out
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_links_about_the_limit(spark, seed):
-    texts = near_copies(np.random.default_rng(seed))
-    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
-    assert got_components(docs) == brute_components(texts)
-
-
-def test_chains_and_buckets_without_a_common_centre(spark):
-    """Each text is near the next one alone, so that components are long paths."""
+def test_groups_against_brute_force(spark):
+    """Families about the limit; a chain whose texts are near the next one alone; short sets and empty texts."""
+    texts = {}
+    for seed in (1, 2):
+        texts |= {1000 * seed + i: t for i, t in near_copies(np.random.default_rng(seed)).items()}
     words = [f"c{i}" for i in range(400)]
-    texts = {i: " ".join(words[7 * i:7 * i + 140]) for i in range(30)}
-    docs = spark.createDataFrame([(29 - i, t) for i, t in texts.items()], "doc_id long, text string")
-    got = got_components(docs)
-    assert got == brute_components({29 - i: t for i, t in texts.items()})
-    assert {c for _, c in got.values()} == {0}
+    chain = {5029 - i: " ".join(words[7 * i:7 * i + 140]) for i in range(30)}
+    short = ["a b c d e f g", "A b c d e f g", "a b c d e f h", "a b", "B a", "A  b", "", " ", "a b c d e"]
+    texts |= chain | {9000 + i: t for i, t in enumerate(short)}
+    got = got_components(spark.createDataFrame(list(texts.items()), "doc_id long, text string"))
+    assert got == brute_components(texts)
+    assert {got[i][1] for i in chain} == {5000}
 
 
 def test_large_bucket_is_tiled(spark, monkeypatch):
@@ -90,12 +87,6 @@ def test_large_bucket_is_tiled(spark, monkeypatch):
     assert got_components(docs) == brute_components(texts)
 
 
-def test_short_sets(spark):
-    rows = {0: "a b c d e f g", 1: "A b c d e f g", 2: "a b c d e f h", 3: "a b", 4: "B a", 5: "A  b", 6: "", 7: " ", 8: "a b c d e"}
-    docs = spark.createDataFrame(list(rows.items()), "doc_id long, text string")
-    assert got_components(docs) == brute_components(rows)
-
-
 def test_sketches_estimate_high_similarities():
     rng = np.random.default_rng(5)
     for similar in (0.95, 0.9, 0.85):
