@@ -94,7 +94,7 @@ def auto_merge(candidates: DataFrame, parents: DataFrame | None = None, threshol
             F.transform(F.array_sort(F.collect_list(F.struct("rank", "chunk_id"))), lambda m: m["chunk_id"]).alias("children"),
         ).where(F.col("n") >= threshold).drop("n")
         if parents is not None:
-            groups = groups.join(F.broadcast(parents.select("parent_id").join(groups.select("parent_id").distinct(), "parent_id", "left_semi")), "parent_id")
+            groups = groups.join(parents.select("parent_id"), "parent_id", "left_semi")
     merged = groups.select("query_id", F.col("slot").cast("int"), F.lit("parent").alias("level"), F.col("parent_id").alias("id"), "score", "children")
     rest = leaf.join(groups.select("query_id", "parent_id"), ["query_id", "parent_id"], "left_anti")
     rest = rest.select("query_id", F.col("rank").cast("int").alias("slot"), F.lit("leaf").alias("level"), F.col("chunk_id").alias("id"), "score", F.array().cast("array<long>").alias("children"))
