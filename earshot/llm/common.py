@@ -14,14 +14,19 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: A key is hot when it holds more than one in HOT_SHARE of the rows, so at most HOT_SHARE keys are.
 HOT_SHARE = 1000
 
+#: Rows in a batch that Python gets at once.
+ARROW_ROWS = 1000
 
-def safe_unions(spark: SparkSession) -> None:
-    """Spark 4.1 may take a union of differently merged partitions as partitioned by their key, and group wrongly."""
+
+def settle(spark: SparkSession) -> None:
+    """Settings that the operators rely on. Arrow batches hold whole texts, so they get few rows. Spark 4.1 may take a
+    union of differently merged partitions as partitioned by their key, and group wrongly."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
     spark.conf.set("spark.sql.unionOutputPartitioning", "false")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    safe_unions(spark)
+    settle(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -41,7 +46,7 @@ def new_folder(spark: SparkSession, label: str) -> str:
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Cut the lineage: write ``df`` as Parquet in the shared folder and read it again."""
     spark = df.sparkSession
-    safe_unions(spark)
+    settle(spark)
     path = new_folder(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -67,7 +72,7 @@ def split_join(left: DataFrame, right: DataFrame, keys: list[str], hot: DataFram
     ``hot`` lists at most HOT_SHARE keys (see ``hot_keys``). Their rows of ``right`` are broadcast, the others
     are shuffled, so that no task gets more than one in HOT_SHARE of the rows of ``left`` for one key.
     """
-    safe_unions(left.sparkSession)
+    settle(left.sparkSession)
     hot = F.broadcast(hot.select(*keys))
     few = F.broadcast(right.join(hot, keys, "left_semi"))
     return (

@@ -39,7 +39,7 @@ PERCENT, LEAST_ESTIMATE = 85, 0.74
 MOST_XOR = int(BITS / 2 * (1 - np.exp(-4 * SAMPLES * (1 - LEAST_ESTIMATE) / BITS)))
 TILE = 512
 BLOOM_BITS = 1 << 24
-_KEPT_WORDS = 500_000
+_KEPT_WORDS = 200_000
 
 _rng = np.random.default_rng(10)
 _SPREAD = _rng.integers(1 << 62, 1 << 63, SHINGLE + 1, np.uint64) | np.uint64(1)
