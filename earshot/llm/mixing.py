@@ -85,12 +85,13 @@ def digest(docs: DataFrame, seed: str = SEED, max_epochs: int = MAX_EPOCHS) -> D
         "doc_id", F.col("__size").alias("size"), "source_size", "target", (F.col("__size") * F.col("__reps")).alias("taken"))
 
 
-def mix(docs: DataFrame, seed: str = SEED, max_epochs: int = MAX_EPOCHS) -> DataFrame:
-    """``docs`` with every row as often as the mix takes it; rows taken 0 times go. ``copy`` counts from 0."""
-    docs = docs.drop("copy")
+def mix(docs: DataFrame, seed: str = SEED, max_epochs: int = MAX_EPOCHS, numbered: bool = True) -> DataFrame:
+    """``docs`` with every row as often as the mix takes it; rows taken 0 times go. If ``numbered``, ``copy`` counts
+    a row's copies from 0; otherwise the columns are those of ``docs``."""
+    docs = docs.drop("copy") if numbered else docs
     featured = _narrow(docs, seed)
     narrow = materialise(featured.select("doc_id", *_SOURCE, "__size", _KEY, _BUCKET), "mix-narrow")
     clash = {c: f"__in_{c}" for c in docs.columns if c in ("source_size", "target", "whole", "part", "before")}
     taken = _repetitions(featured.withColumnsRenamed(clash), plan_mix(narrow, max_epochs)).where("__reps > 0")
-    copies = taken.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("__reps").cast("int") - 1)))
-    return copies.select(*[F.col(clash.get(c, c)).alias(c) for c in docs.columns], "copy")
+    copies = taken.withColumn("__copy", F.explode(F.sequence(F.lit(0), F.col("__reps").cast("int") - 1)))
+    return copies.select(*[F.col(clash.get(c, c)).alias(c) for c in docs.columns], *[F.col("__copy").alias("copy")] * numbered)
