@@ -5,8 +5,8 @@ a word of ``LEAST_LETTERS`` letters or more within ``WINDOW`` words of a mention
 
     PMI(term, entity) / IC(entity),  PMI = log(n(t, e) * N / (n(t) * n(e))),  IC = log(N / n(e))
 
-with numbers of documents of the whole corpus; 1 says that the term occurs with the entity alone. A term with
-``LEAST_TEXTS`` different texts as evidence is generalised from ``GENERALISE`` on and removed from ``REMOVE`` on,
+with numbers of documents of the whole corpus; 1 says that the term occurs with the entity alone. One document, or
+copies of one text, are evidence like any other. A term is generalised from ``GENERALISE`` on and removed from ``REMOVE`` on,
 at its places beside mentions of that entity: spans of kind ``term``, which never meet a base span. Documents
 without a mention stay as they are.
 
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from .common import hot_keys, materialise, split_join
 
 KINDS = ("email", "ip", "card", "phone")
-WINDOW, LEAST_LETTERS, LEAST_TEXTS = 8, 4, 2
+WINDOW, LEAST_LETTERS = 8, 4
 GENERALISE, REMOVE = 0.8, 0.95
 MOST_TERMS = 200_000
 _FLUSH = 200_000
@@ -159,9 +159,8 @@ def _term_documents(docs: DataFrame, terms: DataFrame) -> DataFrame:
 def disclosures(docs: DataFrame, scanned: DataFrame) -> DataFrame:
     """entity, term, share: the pairs whose terms disclose the entity to GENERALISE or more."""
     n = scanned.count()
-    held = scanned.where(F.size("near") > 0).select("text_hash", F.explode(F.array_distinct(F.transform("near", lambda c: F.struct(c["entity"], c["term"])))).alias("p"))
-    pairs = held.groupBy("p.entity", "p.term", "text_hash").count().groupBy("entity", "term").agg(
-        F.sum("count").alias("n_te"), F.count("*").alias("texts")).where(F.col("texts") >= LEAST_TEXTS)
+    held = scanned.where(F.size("near") > 0).select(F.explode(F.array_distinct(F.transform("near", lambda c: F.struct(c["entity"], c["term"])))).alias("p"))
+    pairs = held.groupBy("p.entity", "p.term").agg(F.count("*").alias("n_te"))
     pairs = materialise(pairs, "pii-pairs")
     entities = scanned.where(F.size("near") > 0).select(F.explode(F.array_distinct(F.col("near.entity"))).alias("entity")).groupBy("entity").agg(F.count("*").alias("n_e"))
     terms = materialise(pairs.select("term").distinct(), "pii-terms")

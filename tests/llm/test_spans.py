@@ -123,6 +123,18 @@ def test_disclosing_terms(spark):
     assert "zebrafish" not in clean[100] and "[email]" in clean[100] and clean[5] == text[5]
 
 
+def test_one_text_is_evidence(spark):
+    """Terms of an entity that one text holds, once or in many copies, get spans in op7's result."""
+    filler = "plain common words and mail that are found everywhere here"
+    rows = [(i, filler) for i in range(60)] + [(100, f"{filler} quokka ann@example.org {filler}")]
+    rows += [(200 + i, f"{filler} walrus sue@example.org {filler}") for i in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    spans = {r.doc_id: r.spans.split(",") for r in pii.digest(docs).collect()}
+    for i, term in [(100, "quokka"), *((200 + i, "walrus") for i in range(5))]:
+        at = dict(rows)[i].index(term)
+        assert [s for s in spans[i] if s.startswith("term")] == [f"term:{at}:{at + 6}"]
+
+
 def test_words_shuffled_or_broadcast_alike(spark, documents, monkeypatch):
     once = sorted(map(tuple, pii.digest(documents).collect()))
     monkeypatch.setattr(pii, "MOST_TERMS", 0)
