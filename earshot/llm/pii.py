@@ -1,17 +1,19 @@
 """Personal data: fixed patterns, and terms that give a protected entity away by co-occurrence.
 
 The patterns give the base spans; the entities that they hold (an address, a card number) are protected. A term,
-a word of ``LEAST_LETTERS`` letters or more within ``WINDOW`` words of a mention, discloses its entity by
+a word of ``LEAST_LETTERS`` letters or more anywhere in a document that mentions the entity, discloses it by
 
     PMI(term, entity) / IC(entity),  PMI = log(n(t, e) * N / (n(t) * n(e))),  IC = log(N / n(e))
 
-with numbers of documents of the whole corpus; 1 says that the term occurs with the entity alone. One document, or
-copies of one text, are evidence like any other. A term is generalised from ``GENERALISE`` on and removed from ``REMOVE`` on,
-at its places beside mentions of that entity: spans of kind ``term``, which never meet a base span. Documents
-without a mention stay as they are.
+with numbers of whole documents of the whole corpus; 1 says that the term occurs with the entity alone. One document,
+or copies of one text, are evidence like any other. A term that discloses some entity is generalised from
+``GENERALISE`` on and removed from ``REMOVE`` on, wherever it stands in a document with a base span: spans of kind
+``term``, which never meet a base span. Documents without base spans stay as they are.
 
-All counts are tables keyed by entity and term. The terms' document counts take one more pass over the texts; if
-the terms asked for are at most ``MOST_TERMS`` they are broadcast as a set, otherwise the words are shuffled.
+Counting works on distinct texts with their numbers of rows; entities of the same texts have the same counts and are
+one group. A share of GENERALISE needs n(t) <= n(e) * (N / n(e)) ** (1 - GENERALISE), so commoner terms never meet a
+group. The terms' document counts take one more pass over the texts; if the terms asked for are at most
+``MOST_TERMS`` they are broadcast as a set, otherwise the words that pass a Bloom filter of them are shuffled.
 
 Defined cases: null texts are empty and have no spans; null ids and repeated rows are handled like others, each
 row counting as a document; empty tables give empty results.
@@ -21,22 +23,24 @@ from __future__ import annotations
 
 import hashlib
 import re
-from bisect import bisect_left
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import hot_keys, materialise, split_join
+from .neardup import _bloom, _bloom_slots
 
 KINDS = ("email", "ip", "card", "phone")
-WINDOW, LEAST_LETTERS = 8, 4
+LEAST_LETTERS = 4
 GENERALISE, REMOVE = 0.8, 0.95
 MOST_TERMS = 200_000
 _FLUSH = 200_000
+_CHARS = 1 << 20
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -93,96 +97,133 @@ def _entity(kind: str, found: str) -> str:
     return f"{kind}:{found.lower() if kind in ('email', 'ip') else re.sub('[^0-9]', '', found)}"
 
 
-def contexts(text: str, base: list[tuple[int, int, str]]) -> list[dict]:
-    """Terms near each mention, outside the base spans: entity, term, start, end."""
+def _terms(text: str) -> set[str]:
+    return {w.lower() for w in set(_WORD.findall(text))}
+
+
+def places(text: str, base: list[tuple[int, int, str]]) -> dict[str, list[dict]]:
+    """The terms of a text that has base spans, and where each stands outside them."""
     if not base:
-        return []
+        return {}
     taken = bytearray(len(text))
     for a, b, _ in base:
         taken[a:b] = b"\x01" * (b - a)
-    words = [(m.start(), m.end()) for m in _WORD.finditer(text) if not any(taken[m.start():m.end()])]
-    starts = [w[0] for w in words]
-    out = set()
-    for a, b, kind in base:
-        entity = _entity(kind, text[a:b])
-        i = bisect_left(starts, a)
-        for s, e in words[max(0, i - WINDOW):i + WINDOW]:
-            out.add((entity, text[s:e].lower(), s, e))
-    return [dict(zip(("entity", "term", "start", "end"), x, strict=True)) for x in sorted(out)]
+    out: dict[str, list[dict]] = {}
+    for m in _WORD.finditer(text):
+        own = out.setdefault(m[0].lower(), [])
+        if 1 not in taken[m.start():m.end()]:
+            own.append({"start": m.start(), "end": m.end()})
+    return out
 
 
 _SPAN = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string())])
-_CONTEXT = pa.struct([("entity", pa.string()), ("term", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
-_SCAN = "doc_id long, text_hash long, base array<struct<start:long,end:long,kind:string>>, near array<struct<entity:string,term:string,start:long,end:long>>"
+_PLACES = pa.struct([("term", pa.string()), ("places", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))])
+_SCAN = "doc_id long, text_hash long, base array<struct<start:long,end:long,kind:string>>, entities array<string>, terms array<struct<term:string,places:array<struct<start:long,end:long>>>>"
+_SCANNED = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("base", pa.list_(_SPAN)), ("entities", pa.list_(pa.string())), ("terms", pa.list_(_PLACES))])
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """Base spans and contexts of each row; text_hash tells texts apart."""
+    """Base spans of each row, with its entities and terms if there are some; text_hash tells texts apart."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hashes, bases, nears = [], [], []
-            for value in batch.column(1):
+            rows, size = [], 0
+            for doc_id, value in zip(batch.column(0), batch.column(1), strict=True):
                 text = value.as_py() or ""
                 base = base_spans(text)
-                hashes.append(xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63))
-                bases.append([dict(zip(("start", "end", "kind"), s, strict=True)) for s in base])
-                nears.append(contexts(text, base))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(hashes, pa.int64()), pa.array(bases, pa.list_(_SPAN)), pa.array(nears, pa.list_(_CONTEXT))],
-                names=["doc_id", "text_hash", "base", "near"])
+                rows.append({
+                    "doc_id": doc_id.as_py(), "text_hash": xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63),
+                    "base": [dict(zip(("start", "end", "kind"), s, strict=True)) for s in base],
+                    "entities": sorted({_entity(kind, text[a:b]) for a, b, kind in base}),
+                    "terms": [{"term": t, "places": p} for t, p in places(text, base).items()]})
+                size += len(text) if base else 0
+                if size > _CHARS:
+                    yield pa.RecordBatch.from_pylist(rows, schema=_SCANNED)
+                    rows, size = [], 0
+            yield pa.RecordBatch.from_pylist(rows, schema=_SCANNED)
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(task, _SCAN)
 
 
+def _ids(terms: Iterable[str]) -> np.ndarray:
+    return np.array([xxhash.xxh3_64_intdigest(t.encode("utf-8", "surrogatepass")) for t in terms], np.uint64).view(np.int64)
+
+
+def _term_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.RecordBatch.from_pydict({"id": _ids(batch.column(0).to_pylist())})
+
+
 def _term_documents(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """term and the number n_t of documents that hold it, of the given terms."""
     few = terms.count() <= MOST_TERMS
     wanted = docs.sparkSession.sparkContext.broadcast(frozenset(r.term for r in terms.collect()) if few else None)
+    bloom = docs.sparkSession.sparkContext.broadcast(None if few else _bloom(terms.select("term").mapInArrow(_term_ids, "id long")))
+
+    def counts(seen: Counter) -> pa.RecordBatch:
+        batch = pa.RecordBatch.from_pydict({"term": pa.array(list(seen), pa.string()), "n": pa.array(list(seen.values()), pa.int64())})
+        if bloom.value is None or not seen:
+            return batch
+        slots = _bloom_slots(_ids(seen)).reshape(2, -1)
+        return batch.filter(pa.array((bloom.value[slots >> 6] >> (slots & 63) & 1).all(axis=0)))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         only, seen = wanted.value, Counter()
         for batch in batches:
             for value in batch.column(0):
-                words = set(_WORD.findall((value.as_py() or "").lower()))
+                words = _terms(value.as_py() or "")
                 seen.update(words if only is None else words & only)
                 if len(seen) > _FLUSH:
-                    yield pa.RecordBatch.from_pydict({"term": list(seen), "n": list(seen.values())})
+                    yield counts(seen)
                     seen.clear()
         if seen:
-            yield pa.RecordBatch.from_pydict({"term": list(seen), "n": list(seen.values())})
+            yield counts(seen)
 
     counted = docs.select("text").mapInArrow(task, "term string, n long").groupBy("term").agg(F.sum("n").alias("n_t"))
     return counted if few else counted.join(terms, "term", "left_semi")
 
 
-def disclosures(docs: DataFrame, scanned: DataFrame) -> DataFrame:
-    """entity, term, share: the pairs whose terms disclose the entity to GENERALISE or more."""
-    n = scanned.count()
-    held = scanned.where(F.size("near") > 0).select(F.explode(F.array_distinct(F.transform("near", lambda c: F.struct(c["entity"], c["term"])))).alias("p"))
-    pairs = held.groupBy("p.entity", "p.term").agg(F.count("*").alias("n_te"))
-    pairs = materialise(pairs, "pii-pairs")
-    entities = scanned.where(F.size("near") > 0).select(F.explode(F.array_distinct(F.col("near.entity"))).alias("entity")).groupBy("entity").agg(F.count("*").alias("n_e"))
-    terms = materialise(pairs.select("term").distinct(), "pii-terms")
-    joined = pairs.join(entities, "entity").join(_term_documents(docs, terms), "term")
+def _groups(texts: DataFrame) -> DataFrame:
+    """text_hash, m, and n_e, x, y of the groups of entities that it mentions: those of one group have the same texts."""
+    held = materialise(texts.select("text_hash", "m", F.explode("entities").alias("entity")), "pii-held")
+    marks = [F.bit_xor(F.xxhash64("text_hash", F.lit(k))).alias(k) for k in ("x", "y")]
+    entities = materialise(held.groupBy("entity").agg(F.sum("m").alias("n_e"), F.count("*").alias("n"), *marks), "pii-entities")
+    hot = materialise(hot_keys(entities, held.count()), "pii-hot")
+    return materialise(split_join(held, entities.drop("n"), ["entity"], hot, "inner").drop("entity").distinct(), "pii-groups")
+
+
+def disclosures(docs: DataFrame, n: int, texts: DataFrame, words: DataFrame, counted: DataFrame, hot: DataFrame) -> DataFrame:
+    """term and share: the terms that disclose an entity to GENERALISE or more, with their largest share."""
+    groups = _groups(texts)
+    most = groups.agg(F.max("n_e")).first()[0] or 0
+    known = _term_documents(docs, counted.select("term"))
+    known = materialise(known.where(F.col("n_t") <= 1.001 * most * (n / max(1, most)) ** (1 - GENERALISE)), "pii-rare")
+    rows = split_join(words.select("text_hash", "term"), known, ["term"], hot, "inner").join(groups, "text_hash")
+    rows = rows.where(F.col("n_t") <= 1.001 * F.col("n_e") * F.pow(float(n) / F.col("n_e"), F.lit(1 - GENERALISE)))
+    pairs = rows.groupBy("n_e", "x", "y", "term").agg(F.sum("m").alias("n_te"), F.first("n_t").alias("n_t"))
     pmi = F.log(F.col("n_te") * float(n) / (F.col("n_t") * F.col("n_e")))
     ic = F.log(F.lit(float(n)) / F.col("n_e"))
-    return joined.where(ic > 0).select("entity", "term", (pmi / ic).alias("share")).where(F.col("share") >= GENERALISE)
+    return pairs.where(ic > 0).groupBy("term").agg(F.max(pmi / ic).alias("share")).where(F.col("share") >= GENERALISE)
 
 
 def find(docs: DataFrame) -> DataFrame:
     """doc_id, text_hash, base and terms (start, end, share) of each row."""
     scanned = materialise(scan(docs), "pii-scan")
-    flagged = materialise(disclosures(docs, scanned), "pii-terms-found")
-    near = scanned.where(F.size("near") > 0).select("doc_id", "text_hash", "near").distinct().select("doc_id", "text_hash", F.explode("near").alias("c")).select("doc_id", "text_hash", "c.*")
-    counted = near.join(flagged, ["entity", "term"], "left_semi").groupBy("entity", "term").count()
-    hot = materialise(hot_keys(counted, near.count(), "count"), "pii-hot")
-    met = split_join(near, flagged, ["entity", "term"], hot, "inner")
-    spans = met.groupBy("doc_id", "text_hash", "start", "end").agg(F.max("share").alias("share")).groupBy("doc_id", "text_hash").agg(
-        F.array_sort(F.collect_list(F.struct("start", "end", "share"))).alias("terms"))
-    spans = spans.withColumnsRenamed({"doc_id": "__id", "text_hash": "__hash"})
+    rows = scanned.select("doc_id", "text_hash", "base")
+    texts = scanned.where(F.size("base") > 0).groupBy("text_hash").agg(
+        F.count("*").alias("m"), F.first("entities").alias("entities"), F.first("terms").alias("terms"))
+    texts = materialise(texts, "pii-texts")
+    words = materialise(texts.select("text_hash", F.explode("terms").alias("t")).select("text_hash", "t.*"), "pii-words")
+    counted = materialise(words.groupBy("term").count(), "pii-terms")
+    hot = materialise(hot_keys(counted, words.count(), "count"), "pii-hot")
+    flagged = materialise(disclosures(docs, scanned.count(), texts, words, counted, hot), "pii-terms-found")
+    met = split_join(words, flagged, ["term"], hot, "inner").select("text_hash", "share", F.explode("places").alias("p"))
+    spans = met.groupBy("text_hash").agg(F.array_sort(F.collect_list(F.struct("p.start", "p.end", "share"))).alias("terms"))
+    spans = materialise(spans, "pii-spans")
     none = F.array().cast("array<struct<start:long,end:long,share:double>>")
-    out = scanned.join(spans, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_hash") == F.col("__hash")), "left")
+    copies = materialise(hot_keys(texts.select("text_hash", "m"), rows.where(F.size("base") > 0).count(), "m"), "pii-copies")
+    marked = split_join(rows.where(F.size("base") > 0), spans, ["text_hash"], copies)
+    out = marked.unionByName(rows.where(F.size("base") == 0).withColumn("terms", none))
     return out.select("doc_id", "text_hash", "base", F.coalesce("terms", none).alias("terms"))
 
 

@@ -135,6 +135,20 @@ def test_one_text_is_evidence(spark):
         assert [s for s in spans[i] if s.startswith("term")] == [f"term:{at}:{at + 6}"]
 
 
+def test_terms_of_whole_documents(spark):
+    """A term far from the mention in half of its documents is counted and marked in all of them, and so is its place
+    in a document that mentions another entity alone."""
+    far = " ".join(["plain common words"] * 10)
+    rows = [(i, far) for i in range(200)]
+    rows += [(1000 + i, f"{far} {'zebrafish' if i % 2 else ''} bob@example.org {far} {'' if i % 2 else 'Zebrafish'}") for i in range(20)]
+    rows += [(2000, f"ann@example.org {far} zebrafish")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc_id: r for r in pii.find(docs).collect()}
+    for i, text in rows:
+        terms = [text[t.start:t.end].lower() for t in found[i].terms]
+        assert terms.count("zebrafish") == (i >= 1000) and not {"plain", "common", "words"} & set(terms)
+
+
 def test_words_shuffled_or_broadcast_alike(spark, documents, monkeypatch):
     once = sorted(map(tuple, pii.digest(documents).collect()))
     monkeypatch.setattr(pii, "MOST_TERMS", 0)
