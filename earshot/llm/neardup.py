@@ -3,15 +3,15 @@
 A text's set holds its distinct shingles of five words (of ASCII lower-cased words; fewer words are one shingle).
 Documents of equal sets form a class, known by a 64-bit digest; all later steps work on classes.
 
-1. Of each class: ``SAMPLES`` MinHash values. The first ``BANDS * ROWS`` give band keys. All are folded into an
+1. Of each class: ``SAMPLES`` MinHash values. The first give band keys, ``ROWS`` a band. All are folded into an
    odd sketch: each (number, value) flips one of ``BITS`` bits, so that the XOR of two sketches has about
    BITS / 2 * (1 - exp(-4 * SAMPLES * (1 - J) / BITS)) bits, most precise for similarities near 1.
 2. A bucket (band key with several classes) links each class to its least one: candidates in number of the rows,
    not their square. Those whose sketches agree are confirmed on full shingle sets.
 3. Buckets that still hold several components are compared in full, in tiles of bounded size: pairs of different
    components whose sketches agree are confirmed on the full sets, the nearest first, and a tile returns only the
-   links that join components. So a component is missed only if no band or sketch shows its links: at similarity
-   0.85 with odds of about 1 in a million for each.
+   links that join components. So a component is missed only if no band or sketch shows its links: at the least
+   similarity, from which the number of bands follows, with odds of about 1 in a million for each.
 4. Components come from propagating least labels with pointer jumping, in tables. Nothing is gathered at the
    driver but counts and a Bloom filter of fixed size, which picks the texts whose sets have to be made again.
 
@@ -33,10 +33,9 @@ from pyspark.sql import functions as F
 from .common import hot_keys, materialise, split_join, spread
 
 SHINGLE = 5
-SAMPLES, BANDS, ROWS, BITS = 256, 24, 5, 1024
-#: Links have 100 * intersection >= PERCENT * union. Sketches agree down to LEAST_ESTIMATE, five deviations less.
-PERCENT, LEAST_ESTIMATE = 85, 0.74
-MOST_XOR = int(BITS / 2 * (1 - np.exp(-4 * SAMPLES * (1 - LEAST_ESTIMATE) / BITS)))
+SAMPLES, ROWS, BITS = 256, 5, 1024
+#: Links have 100 * intersection >= percent * union: PERCENT in op10.
+PERCENT = 85
 TILE = 512
 BLOOM_BITS = 1 << 24
 _KEPT_WORDS = 200_000
@@ -52,6 +51,20 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def n_bands(percent: int) -> int:
+    """Bands that miss a pair of just this similarity once in a million: 24 at 85, 35 at 80."""
+    n = int(np.ceil(np.log(1e-6) / np.log1p(-((percent / 100) ** ROWS))))
+    if n * ROWS > SAMPLES:
+        raise ValueError(f"{percent} % needs more than {SAMPLES} samples")
+    return n
+
+
+def most_xor(percent: int) -> int:
+    """Bits in which sketches of linked sets differ at most: those at five deviations less than the similarity."""
+    least = percent / 100 - 5 * np.sqrt(percent / 100 * (1 - percent / 100) / SAMPLES)
+    return int(BITS / 2 * (1 - np.exp(-4 * SAMPLES * (1 - least) / BITS)))
+
+
 class _Words(dict):
     def __missing__(self, word: bytes) -> int:
         self[word] = h = xxhash.xxh3_64_intdigest(word)
@@ -87,9 +100,9 @@ def min_hashes(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def band_keys(hashes: np.ndarray) -> np.ndarray:
-    rows = hashes[:, :BANDS * ROWS].reshape(-1, BANDS, ROWS).astype(np.uint64)
-    total = np.arange(BANDS, dtype=np.uint64) * _SPREAD[SHINGLE]
+def band_keys(hashes: np.ndarray, n: int) -> np.ndarray:
+    rows = hashes[:, :n * ROWS].reshape(-1, n, ROWS).astype(np.uint64)
+    total = np.arange(n, dtype=np.uint64) * _SPREAD[SHINGLE]
     total = np.broadcast_to(total, rows.shape[:2]).copy()
     for k in range(ROWS):
         total += _mix(rows[:, :, k] + np.uint64(k << 40)) * _SPREAD[k]
@@ -118,8 +131,9 @@ def _lists(values: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.arange(0, (len(values) + 1) * width, width, dtype=np.int32)), pa.array(values.ravel()))
 
 
-def features(docs: DataFrame) -> DataFrame:
+def features(docs: DataFrame, percent: int) -> DataFrame:
     """doc_id, text_hash, n_shingles, node (null for empty sets), bands, sketch."""
+    n = n_bands(percent)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -129,7 +143,7 @@ def features(docs: DataFrame) -> DataFrame:
                 hashes = min_hashes(sets)
                 yield pa.RecordBatch.from_arrays([
                     part.column(0), part.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array([_node(s) for s in sets], pa.int64()),
-                    _lists(band_keys(hashes)), _lists(odd_sketches(hashes)),
+                    _lists(band_keys(hashes, n)), _lists(odd_sketches(hashes)),
                 ], names=["doc_id", "text_hash", "n_shingles", "node", "bands", "sketch"])
 
     rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), "text")
@@ -183,47 +197,46 @@ def _sets(docs: DataFrame, nodes: DataFrame, asked: DataFrame) -> DataFrame:
     return materialise(made.join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"]), "near-sets")
 
 
-def _linked(a: np.ndarray, b: np.ndarray) -> bool:
+def _linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     """Whether two sets, sorted, are similar enough."""
     if len(a) > len(b):
         a, b = b, a
-    if 100 * len(a) < PERCENT * len(b):
+    if 100 * len(a) < percent * len(b):
         return False
     at = np.searchsorted(b, a)
     at[at == len(b)] = 0
     both = int((b[at] == a).sum())
-    return 100 * both >= PERCENT * (len(a) + len(b) - both)
+    return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of (a, b, set_a, set_b), the pairs that are links."""
-    for batch in batches:
-        good = [_linked(np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)) for a, b in zip(batch.column(2), batch.column(3), strict=True)]
-        yield pa.RecordBatch.from_arrays([c.filter(pa.array(good, pa.bool_())) for c in batch.columns[:2]], names=["a", "b"])
-
+def _confirm(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of (a, b, set_a, set_b), the pairs that are links."""
+        for batch in batches:
+            good = [_linked(np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64), percent) for a, b in zip(batch.column(2), batch.column(3), strict=True)]
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(good, pa.bool_())) for c in batch.columns[:2]], names=["a", "b"])
 
-def _confirm(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     sets = _sets(docs, nodes, pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))))
     first = pairs.join(sets.withColumnsRenamed({"node": "a", "set": "set_a"}), "a")
     both = first.join(sets.withColumnsRenamed({"node": "b", "set": "set_b"}), "b").select("a", "b", "set_a", "set_b")
-    return materialise(both.mapInArrow(_similar, "a long, b long"), "near-links")
+    return materialise(both.mapInArrow(similar, "a long, b long"), "near-links")
 
 
 def _xor(x: Column, y: Column) -> Column:
     return F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, n: s + n)
 
 
-def _star_pairs(nodes: DataFrame, members: DataFrame, buckets: DataFrame) -> DataFrame:
+def _star_pairs(nodes: DataFrame, members: DataFrame, buckets: DataFrame, percent: int) -> DataFrame:
     pairs = members.join(buckets.select("key", F.col("least").alias("b")), "key").where("node != b")
     pairs = materialise(pairs.select(F.col("node").alias("a"), "b").distinct(), "near-stars")
     hot = materialise(hot_keys(pairs.groupBy("b").count(), pairs.count(), "count"), "near-hot")
     known = nodes.select("node", "sketch")
     paired = pairs.join(known.withColumnsRenamed({"node": "a", "sketch": "sa"}), "a")
     paired = split_join(paired, known.withColumnsRenamed({"node": "b", "sketch": "sb"}), ["b"], hot, "inner")
-    return materialise(paired.where(_xor(F.col("sa"), F.col("sb")) <= MOST_XOR).select("a", "b"), "near-pairs")
+    return materialise(paired.where(_xor(F.col("sa"), F.col("sb")) <= most_xor(percent)).select("a", "b"), "near-pairs")
 
 
-def _tile(rows: pa.Table) -> pa.Table:
+def _tile(rows: pa.Table, percent: int) -> pa.Table:
     """Links of one tile of a bucket, by which components join: as many as make the joins, each confirmed on the
     full sets. Pairs are taken by sketch, the nearest first, unless an earlier band holds them too. A tile on the
     diagonal holds one block."""
@@ -232,7 +245,7 @@ def _tile(rows: pa.Table) -> pa.Table:
     sketch, bands = (rows.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(rows.num_rows, -1) for c in ("sketch", "bands"))
     sketch, bands = sketch.view(np.uint64), bands[:, :band[0]]
     sets = [np.frombuffer(s.as_buffer(), np.uint64) for s in rows.column("set")]
-    root = {c: c for c in comp}
+    root, most = {c: c for c in comp}, most_xor(percent)
 
     def find(c: int) -> int:
         while root[c] != c:
@@ -245,17 +258,17 @@ def _tile(rows: pa.Table) -> pa.Table:
     for i in left:
         others = right[node[right] > node[i]] if lo[0] == hi[0] else right
         apart = np.bitwise_count(sketch[others] ^ sketch[i]).sum(axis=1, dtype=np.int64)
-        others, apart = others[apart <= MOST_XOR], apart[apart <= MOST_XOR]
+        others, apart = others[apart <= most], apart[apart <= most]
         first = ~(bands[others] == bands[i]).any(axis=1)
         for j in others[first][np.argsort(apart[first], kind="stable")]:
             x, y = find(comp[i]), find(comp[j])
-            if x != y and _linked(sets[i], sets[j]):
+            if x != y and _linked(sets[i], sets[j], percent):
                 root[x] = y
                 found.append((max(node[i], node[j]), min(node[i], node[j])))
     return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
 
 
-def _rest_links(docs: DataFrame, nodes: DataFrame, members: DataFrame, buckets: DataFrame, labels: DataFrame) -> DataFrame:
+def _rest_links(docs: DataFrame, nodes: DataFrame, members: DataFrame, buckets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     """Links between different components so far that share a bucket, as many as join what can be joined."""
     labelled = members.join(buckets.select("key", "n"), "key").where("n > 2").join(labels, "node", "left")
     labelled = materialise(labelled.withColumn("comp", F.coalesce("comp", "node")), "near-members")
@@ -266,7 +279,11 @@ def _rest_links(docs: DataFrame, nodes: DataFrame, members: DataFrame, buckets:
     rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     rows = rows.select("key", "band", "node", "comp", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
-    links = spread(rows.join(known, "node"), "key", "lo", "hi").groupBy("key", "lo", "hi").applyInArrow(_tile, "a long, b long")
+
+    def tile(table: pa.Table) -> pa.Table:
+        return _tile(table, percent)
+
+    links = spread(rows.join(known, "node"), "key", "lo", "hi").groupBy("key", "lo", "hi").applyInArrow(tile, "a long, b long")
     return materialise(links.distinct(), "near-rest")
 
 
@@ -286,10 +303,10 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def classify(docs: DataFrame) -> DataFrame:
+def classify(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, text_hash, n_shingles, component_id and kept of each row of ``docs`` (doc_id, text)."""
     docs = docs.select("doc_id", "text")
-    made = materialise(features(docs), "near-features")
+    made = materialise(features(docs, percent), "near-features")
     nodes = made.where("node is not null").groupBy("node").agg(
         F.min("doc_id").alias("rep"), F.count("*").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
     nodes = materialise(nodes, "near-nodes")
@@ -297,9 +314,9 @@ def classify(docs: DataFrame) -> DataFrame:
     buckets = members.groupBy("key").agg(F.min("node").alias("least"), F.count("*").alias("n")).where("n > 1")
     buckets = materialise(buckets, "near-buckets")
     members = materialise(members.join(buckets.select("key"), "key"), "near-in-buckets")
-    links = _confirm(docs, nodes, _star_pairs(nodes, members, buckets))
+    links = _confirm(docs, nodes, _star_pairs(nodes, members, buckets, percent), percent)
     labels = components(links)
-    rest = _rest_links(docs, nodes, members, buckets, labels)
+    rest = _rest_links(docs, nodes, members, buckets, labels, percent)
     if rest.limit(1).count():
         labels = components(links.unionByName(rest))
     reps = nodes.select("node", "rep", "n").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
@@ -317,8 +334,8 @@ def digest(docs: DataFrame) -> DataFrame:
     return classify(docs).drop("text_hash")
 
 
-def deduplicate(docs: DataFrame) -> DataFrame:
+def deduplicate(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The rows of ``docs`` that are kept: of each component the document with the least id."""
-    kept = classify(docs).where("kept").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
+    kept = classify(docs, percent).where("kept").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
     same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__hash"))
     return docs.join(kept, same, "left_semi")

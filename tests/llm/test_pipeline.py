@@ -40,6 +40,18 @@ def test_one_of_each_group_stays(stages):
     assert ids(after) == wanted and after.count() == len(wanted)
 
 
+def test_threshold_is_a_parameter(spark):
+    """Sets of 100 shingles of which 89 are common (0.80 of the union) are near, 88 (0.79) are not, if the threshold is 80."""
+    rows = []
+    for k in range(40):
+        words = [f"w{k}x{i}" for i in range(104)]
+        rows += [(10 * k, " ".join(words)), (10 * k + 1, " ".join(words[:93] + [f"u{k}x{i}" for i in range(11)]))]
+        rows += [(10 * k + 2, " ".join([f"v{k}x{i}" for i in range(12)] + words[12:]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert ids(P.neardup.deduplicate(docs, 80)) == {i for i, _ in rows if i % 10 != 1}
+    assert ids(P.neardup.deduplicate(docs)) == {i for i, _ in rows}
+
+
 def test_no_benchmark_item_is_left(spark, sf, stages):
     before, after = stages["decontamination"]
     items = {r.item_id: r.text for r in P.table(spark, sf, "benchmark").collect()}
