@@ -174,7 +174,8 @@ class Index:
         after[:-1] = np.where(key[1:] == key[:-1] + 1, total[1:], 0)
         item = key // blocks % len(self.ids)
         found = key[total + after >= self.need[item]]
-        # Where only the later block holds a heavy share, the passage that begins there has it too.
+        # A block that is enough alone may hold the end of an item whose light words stand in the one before, without a cell.
+        found = np.concatenate([found, key[(total >= self.need[item]) & (key % blocks > 0)] - 1])
         return sorted(set(zip((found // blocks // len(self.ids)).tolist(), (found % blocks).tolist(), strict=True)))
 
     def confirm(self, item: int, passage: np.ndarray) -> tuple[float, float, float] | None:

@@ -280,6 +280,16 @@ def test_leaks_against_brute_force(spark, sf, documents, texts):
     assert {r.doc_id for r in decontam.remove(docs, benchmark).collect()} == (set(texts) | set(extra)) - dirty
 
 
+def test_shared_lead_in_at_every_offset(spark):
+    """An item whose light lead-in ends one block and whose heavy words begin the next is found whole."""
+    lead = " ".join(f"lead{k}" for k in range(10))
+    texts = [f"{lead} {' '.join(f'own{i}x{k}' for k in range(14))}" for i in range(40)]
+    (index,) = decontam.build(spark.createDataFrame(list(enumerate(texts)), "item_id long, text string"))
+    for i in (0, 17):
+        docs = [f"{'before ' * at}{texts[i]}{' after' * 60}" for at in range(3 * index.block_words)]
+        assert [[index.ids[x.item] for x in of] for of in decontam.leaks(docs, index)] == [[i]] * len(docs)
+
+
 def test_block_max_search_equals_full_scores(spark):
     rng = np.random.default_rng(4)
     words = np.array([f"t{i}" for i in range(60)])
