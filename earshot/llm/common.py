@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A word of the contracts: a run without space, tab, line feed, vertical tab, form feed, carriage return.
@@ -30,17 +31,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Folders made since each ``conclude`` that is under way began, the innermost last.
+_made: list[list[str]] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or one of our own where it is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where it is unset, a session of one
+    machine gets one of its own; a cluster must name one."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         path = "file://" + tempfile.mkdtemp(prefix="earshot-shared-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
 
 def new_folder(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/earshot-{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/earshot-{label}-{uuid.uuid4().hex}"
+    if _made:
+        _made[-1].append(path)
+    return path
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
@@ -52,6 +63,25 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def conclude(spark: SparkSession, label: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """Materialise what ``make`` gives, then delete the folders that were made on the way."""
+    result = new_folder(spark, label)
+    _made.append([])
+    try:
+        out = make()
+        settle(spark)
+        out.write.parquet(result)
+    finally:
+        delete(spark, _made.pop())
+    return spark.read.schema(out.schema).parquet(result)
+
+
+def delete(spark: SparkSession, folders: list[str]) -> None:
+    for folder in folders:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def spread(df: DataFrame, *keys: str, tasks: int | None = None) -> DataFrame:
     """Deal few rows that stand for much work over ``tasks`` tasks, or as many as shuffles have. A number that is
     given keeps Spark from merging tasks by the size of their input."""
@@ -84,3 +114,21 @@ def split_join(left: DataFrame, right: DataFrame, keys: list[str], hot: DataFram
 def hot_keys(counted: DataFrame, n_rows: int, count: str = "n") -> DataFrame:
     """Of a table with one row a key and its count, the keys over n_rows / HOT_SHARE: at most HOT_SHARE."""
     return counted.where(F.col(count) > max(1, n_rows // HOT_SHARE)) if n_rows else counted.limit(0)
+
+
+def running(df: DataFrame, order: list[Column], sums: dict[str, Column], label: str) -> DataFrame:
+    """``df``, materialised, with sums (long) over all rows before each in ``order``, which has to be total. Rows are
+    sorted by range over tasks; of each task one row of sums comes to the driver."""
+    spark = df.sparkSession
+    parted = df.withColumns({f"__{k}": v.cast("long") for k, v in sums.items()}).repartitionByRange(*order)
+    parted = materialise(parted.withColumn("__task", F.spark_partition_id()), label)
+    totals = parted.groupBy("__task").agg(*[F.sum(f"__{k}").alias(k) for k in sums]).orderBy("__task").collect()
+    rows, so_far = [], [0] * len(sums)
+    for r in totals:
+        rows.append((r["__task"], *so_far))
+        so_far = [a + (b or 0) for a, b in zip(so_far, r[1:], strict=True)]
+    firsts = spark.createDataFrame(rows, ", ".join(["__task int", *(f"__first_{k} long" for k in sums)]))
+    before = Window.partitionBy("__task").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    out = parted.join(F.broadcast(firsts), "__task")
+    out = out.withColumns({k: F.col(f"__first_{k}") + F.coalesce(F.sum(f"__{k}").over(before), F.lit(0)) for k in sums})
+    return out.select(*df.columns, *sums)

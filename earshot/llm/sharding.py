@@ -1,14 +1,18 @@
 """Sharding as vector bin packing: bytes, tokens and rows are balanced jointly.
 
-Rows with equal texts form a group. Groups are hashed into a bounded number of buckets; a group that
-outweighs one in ``HOT_PART`` of a shard is dealt over several by its ids, so no key has to fit one task, and
-others stay together. The buckets' sums
-(bytes, tokens, rows) are at most ``MAX_BUCKETS`` vectors, which the driver packs: heaviest first, each into
-the shard where the dot product of vector and residual capacity is highest. Rows then find shard and slot
-through a broadcast of that bounded map and a window inside each bucket.
+Rows with equal texts form a group. The vectors (bytes, tokens, rows) of units are packed by the driver: heaviest
+first, each into the shard where the dot product of vector and residual capacity is highest. Units are
+
+* each group over one in ``PLACED`` of the whole in some dimension, of which there are at most 3 * PLACED;
+* of a group over half a shard, which could not be kept whole, pieces of about one in ``PIECES`` of a shard, dealt by
+  a hash of all of a row's columns;
+* the lighter groups, hashed into PLACED buckets.
+
+So what the driver gets, and what is broadcast, is bounded by the shards alone. Slots are counted in cells of about
+``ROWS_A_CELL`` rows, so that no unit has to be numbered in one task; rows that are equal in every column share a cell.
 
 Defined cases: a null text has 0 bytes and 0 tokens; null ids are placed like others; equal rows get slots of
-their own; an empty table gives an empty result; input columns called like results are replaced.
+their own; an empty table gives an empty result; input columns called shard and slot are replaced, others stay.
 """
 
 from __future__ import annotations
@@ -22,29 +26,33 @@ from pyspark.sql import functions as F
 from .common import materialise, text_or_empty, word_count
 
 ROW_OVERHEAD = 16
-#: Bounds on the buckets: at least so many a shard, one for so many rows, and at most so many in all.
-BUCKETS_A_SHARD, ROWS_A_BUCKET, MAX_BUCKETS = 256, 50_000, 65_536
-#: A group over one in HOT_PART of a shard is hot: at most shards * HOT_PART groups are.
-HOT_PART = 16
+#: Groups over one in PLACED of the whole are units of their own; the others fill PLACED buckets.
+PLACED = 8192
+#: Pieces of a shard that a group over half a shard is dealt in.
+PIECES = 32
+ROWS_A_CELL = 100_000
 #: Weight of bytes, tokens and rows in the dot product. Bytes are the law, so they weigh most.
 DIMENSIONS = (4.0, 0.5, 0.5)
 
-_SIZE, _TOKENS, _GROUP, _BUCKET, _PIECES = "__bytes", "__tokens", "__group", "__bucket", "__pieces"
+_SIZE, _TOKENS, _GROUP, _ROW = "__bytes", "__tokens", "__group", "__row"
+_UNIT, _CELL, _CELLS, _FIRST, _PIECES, _BEFORE = "__unit", "__cell", "__cells", "__first", "__pieces", "__before"
+_HELPERS = (_SIZE, _TOKENS, _GROUP, _ROW)
 
 
 @dataclass(frozen=True)
 class ShardPlan:
-    shards: int
-    buckets: int
-    hot: DataFrame  # group -> pieces, at most shards * HOT_PART rows
-    placed: DataFrame  # bucket -> shard, first slot; at most MAX_BUCKETS rows
+    heavy: DataFrame  # group -> its first unit and number of pieces; at most 3 * PLACED rows
+    units: DataFrame  # unit -> shard and number of cells; a row a bucket, heavy group or piece
+    cells: DataFrame  # unit, cell -> shard and first slot; about a row for ROWS_A_CELL rows
 
 
 def with_features(docs: DataFrame) -> DataFrame:
-    return docs.withColumns({
+    own = [c for c in docs.columns if c not in ("shard", "slot")]
+    return docs.select(*own).withColumns({
         _SIZE: F.octet_length(text_or_empty()).cast("long") + ROW_OVERHEAD,
         _TOKENS: word_count(text_or_empty()),
         _GROUP: F.xxhash64(text_or_empty(), F.octet_length(text_or_empty())),
+        _ROW: F.xxhash64("doc_id", *[F.col(c).cast("string") for c, t in docs.dtypes if c in own and t in ("string", "long", "bigint", "int", "double", "date", "timestamp")]),
     })
 
 
@@ -65,58 +73,53 @@ def pack(vectors: np.ndarray, shards: int, weights: tuple[float, ...] = DIMENSIO
     return out
 
 
-def _bucketed(featured: DataFrame, hot: DataFrame, buckets: int) -> DataFrame:
-    piece = F.when(F.col(_PIECES).isNull(), 0).otherwise(F.pmod(F.xxhash64("doc_id"), F.col(_PIECES)))
-    return (
-        featured.join(F.broadcast(hot), _GROUP, "left")
-        .withColumn(_BUCKET, F.pmod(F.xxhash64(_GROUP, piece.cast("long")), F.lit(buckets)).cast("int"))
-        .drop(_PIECES)
-    )
+def _in_units(featured: DataFrame, heavy: DataFrame) -> DataFrame:
+    piece = F.col(_FIRST) + F.pmod(F.col(_ROW), F.col(_PIECES))
+    bucket = F.pmod(F.xxhash64(_GROUP), F.lit(PLACED))
+    return featured.join(F.broadcast(heavy), _GROUP, "left").withColumn(_UNIT, F.coalesce(piece, bucket).cast("long")).drop(_FIRST, _PIECES)
+
+
+def _in_cells(featured: DataFrame, heavy: DataFrame, units: DataFrame) -> DataFrame:
+    of = _in_units(featured, heavy).join(F.broadcast(units.select(_UNIT, _CELLS)), _UNIT)
+    return of.withColumn(_CELL, F.pmod(F.xxhash64(_ROW), F.col(_CELLS)).cast("int")).drop(_CELLS)
 
 
 def plan_shards(featured: DataFrame, shards: int) -> ShardPlan:
     """``featured``: doc_id and the columns of ``with_features``; it is read a few times, so give a narrow table."""
     spark = featured.sparkSession
-    rows, size = featured.agg(F.count("*"), F.coalesce(F.sum(_SIZE), F.lit(0))).first()
-    buckets = int(min(MAX_BUCKETS // shards * shards, shards * max(BUCKETS_A_SHARD, -(-rows // (shards * ROWS_A_BUCKET)))))
-    most = max(1, size // (shards * HOT_PART))
-    hot = (
-        featured.groupBy(_GROUP).agg(F.sum(_SIZE).alias("b"), F.count("*").alias("n"))
-        .where((F.col("b") > most) & (F.col("n") > 1))
-        .select(_GROUP, F.ceil(F.col("b") / most * 4).alias(_PIECES))
-    )
-    hot = materialise(hot, "shard-hot")
-    sums = (
-        _bucketed(featured, hot, buckets).groupBy(_BUCKET)
-        .agg(F.sum(_SIZE).alias("b"), F.sum(_TOKENS).alias("t"), F.count("*").alias("n"))
-        .orderBy(_BUCKET).collect()
-    )
-    of = pack(np.array([[r.b, r.t, r.n] for r in sums], float).reshape(-1, 3), shards)
-    first, placed = [0] * shards, []
-    for r, j in zip(sums, of.tolist(), strict=True):
-        placed.append((r[_BUCKET], j, first[j]))
-        first[j] += r.n
-    return ShardPlan(shards, buckets, hot, spark.createDataFrame(placed, f"{_BUCKET} int, shard int, first long"))
+    sums = [F.sum(_SIZE).alias("b"), F.sum(_TOKENS).alias("t"), F.count("*").alias("n")]
+    total = featured.agg(*sums).first()
+    groups = featured.groupBy(_GROUP).agg(*sums)
+    share = F.greatest(*[F.col(c) / float(total[c] or 1) for c in ("b", "t", "n")])
+    large = groups.select(_GROUP, "n", share.alias("share")).where(F.col("share") > 1 / PLACED).orderBy(_GROUP).collect()  # at most 3 * PLACED
+    heavy, first = [], PLACED
+    for r in large:
+        pieces = int(min(r.n, np.ceil(r.share * shards * PIECES))) if 2 * r.share * shards > 1 else 1
+        heavy.append((r[_GROUP], first, pieces))
+        first += pieces
+    heavy = spark.createDataFrame(heavy, f"{_GROUP} long, {_FIRST} long, {_PIECES} int")
+    found = _in_units(featured, heavy).groupBy(_UNIT).agg(*sums).orderBy(_UNIT).collect()  # a row a unit
+    of = pack(np.array([[r.b, r.t, r.n] for r in found], float).reshape(-1, 3), shards).tolist()
+    units = spark.createDataFrame([(r[_UNIT], j, -(-r.n // ROWS_A_CELL)) for r, j in zip(found, of, strict=True)], f"{_UNIT} long, shard int, {_CELLS} long")
+    counted = _in_cells(featured, heavy, units).groupBy(_UNIT, _CELL).agg(F.count("*").alias("n")).join(F.broadcast(units.select(_UNIT, "shard")), _UNIT)
+    before = Window.partitionBy("shard").orderBy(_UNIT, _CELL).rowsBetween(Window.unboundedPreceding, -1)  # of cells, not rows
+    cells = counted.select(_UNIT, _CELL, "shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias(_BEFORE))
+    return ShardPlan(heavy, units, materialise(cells, "shard-cells"))
 
 
 def apply_plan(featured: DataFrame, plan: ShardPlan) -> DataFrame:
     """``featured`` with shard and slot; slots are gapless from 0 in each shard."""
-    own = [c for c in featured.columns if c not in ("shard", "slot", "first")]
-    order = Window.partitionBy(_BUCKET).orderBy("doc_id", _GROUP)
-    return (
-        _bucketed(featured.select(*own), plan.hot, plan.buckets)
-        .withColumn("slot", F.row_number().over(order) - 1)
-        .join(F.broadcast(plan.placed), _BUCKET)
-        .withColumn("slot", (F.col("slot") + F.col("first")).cast("long"))
-        .drop("first", _BUCKET)
-    )
+    inside = Window.partitionBy(_UNIT, _CELL).orderBy(_ROW, "doc_id", _SIZE)
+    rows = _in_cells(featured, plan.heavy, plan.units).withColumn(_FIRST, F.row_number().over(inside) - 1)
+    rows = rows.join(plan.cells, [_UNIT, _CELL])
+    return rows.withColumn("slot", (F.col(_FIRST) + F.col(_BEFORE)).cast("long")).drop(_UNIT, _CELL, _FIRST, _BEFORE)
 
 
 def shard(docs: DataFrame, shards: int = 40) -> DataFrame:
     """``docs`` with the columns shard (int) and slot (long)."""
     featured = with_features(docs)
-    narrow = materialise(featured.select("doc_id", _SIZE, _TOKENS, _GROUP), "shard-features")
-    return apply_plan(featured, plan_shards(narrow, shards)).drop(_SIZE, _TOKENS, _GROUP)
+    narrow = materialise(featured.select("doc_id", *_HELPERS), "shard-features")
+    return apply_plan(featured, plan_shards(narrow, shards)).drop(*_HELPERS)
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = 40) -> None:
