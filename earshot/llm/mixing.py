@@ -2,15 +2,16 @@
 
 Each source should give a share of the budget in proportion to its weight, but never more than ``max_epochs``
 times its own size. Sources above that cap are clamped, and what they leave is dealt among the others by weight,
-again until none is above; the loop runs on the table of sources, of which only sums come to the driver.
+again until none is above. That ends at the level where the capped sources are those of the least cap for their
+weight; so it is read off running sums over the sources in that order, in one pass however many sources there are.
 
 A source with target t and size s takes every document floor(t / s) times, and a seeded selection of documents
 once more: in the order of md5(seed:doc_id), a document is taken while the words before it and half its own stay
 within the fraction. So a source misses its target by less than half a document, and reruns agree. The order's
 running sums come from (source, 3 hex digits) buckets, so that a hot source is dealt over 4096 keys.
 
-Defined cases: a null text has 0 words; null sources form one source, the last; null ids hash as the empty id;
-equal rows count one by one; an empty table gives an empty result; extra columns stay, ``copy`` is replaced.
+Defined cases: a null text has 0 words; null sources form one source, the last; of null ids the
+text is hashed instead; equal rows count one by one; an empty table gives an empty result; extra columns stay, ``copy`` is replaced.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, text_or_empty, word_count
+from .common import materialise, running, text_or_empty, word_count
 
 MAX_EPOCHS, SEED = 3, "mix-1"
 _KEY, _BUCKET = "__key", "__bucket"
@@ -27,7 +28,7 @@ _SOURCE = ["__source", "__no_source"]
 
 
 def _narrow(docs: DataFrame, seed: str) -> DataFrame:
-    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text:"), F.md5(text_or_empty())))))
     source = {_SOURCE[0]: F.coalesce("source", F.lit("")), _SOURCE[1]: F.col("source").isNull()}
     return docs.withColumns({"__size": word_count(text_or_empty()), _KEY: key, **source}).withColumn(
         _BUCKET, F.conv(F.substring(_KEY, 1, 3), 16, 10).cast("int"))
@@ -37,23 +38,20 @@ def water_fill(sources: DataFrame, total: int, max_epochs: int = MAX_EPOCHS) ->
     """``sources`` (source, source_size, weight) with target: min(cap, level * weight), at the level that spends
     ``total``, or the caps if they are less."""
     cap = F.col("source_size") * max_epochs
-    level, capped = 0.0, -1
-    above = F.lit(False)
-    while True:
-        w, c, n = sources.agg(
-            F.sum(F.when(above, 0).otherwise(F.col("weight"))), F.sum(F.when(above, cap).otherwise(0)), F.count_if(above)
-        ).first()
-        if n == capped or not w:
-            break
-        capped, level = n, float(total - c) / float(w)
-        above = above | (F.lit(level) * F.col("weight") > cap)
-    return sources.withColumn("target", F.when(above, cap.cast("double")).otherwise(F.lit(level) * F.col("weight")))
+    order = [F.try_divide(cap, F.col("weight")).asc_nulls_last(), F.xxhash64(*[c for c in sources.columns if c not in ("source_size", "weight")])]
+    rows = running(sources, order, {"__caps": cap, "__weights": F.col("weight")}, "mix-levels")
+    weights = sources.agg(F.coalesce(F.sum("weight"), F.lit(0))).first()[0]
+    # The level if just the sources before a row are capped; the right one is the least at which that row isn't above.
+    level = F.try_divide((F.lit(total) - F.col("__caps")).cast("double"), (F.lit(weights) - F.col("__weights")).cast("double"))
+    first = rows.withColumn("__level", level).where(F.col("__level") * F.col("weight") <= cap).agg(F.min_by("__level", "__weights")).first()[0]
+    target = cap.cast("double") if first is None else F.least(cap.cast("double"), F.lit(first) * F.col("weight"))
+    return rows.withColumn("target", target).drop("__caps", "__weights")
 
 
 def source_weights(sources: DataFrame) -> DataFrame:
     """Weights 1, 2, 3, 1, ... by code point of the source, null last. One row a source."""
-    rank = F.row_number().over(Window.orderBy(*reversed(_SOURCE)))
-    return sources.withColumn("weight", ((rank - 1) % 3 + 1).cast("long"))
+    rows = running(sources, [F.col(c).asc() for c in reversed(_SOURCE)], {"__rank": F.lit(1)}, "mix-ranks")
+    return rows.withColumn("weight", F.col("__rank") % 3 + 1).drop("__rank")
 
 
 def plan_mix(narrow: DataFrame, max_epochs: int = MAX_EPOCHS) -> DataFrame:
