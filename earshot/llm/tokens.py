@@ -4,11 +4,13 @@ Documents are range-partitioned by doc_id, so that files in order of their parti
 A task packs its documents, each with the end id, into sequences of ``SEQUENCE`` ids. A file's batches have the
 columns ``ids`` (fixed-size list of uint16, or uint32 for vocabularies over 65,536), ``mask`` and ``last``
 (fixed-size lists of bits: which ids are real, which end a document) and ``ends`` (the doc_ids that end in the
-sequence). A reader maps the file and views any sequence and its bitmaps without a copy; so buffers are not
-compressed. Only a file's last sequence is padded.
+sequence). Every batch but a file's last holds ``BATCH_SEQUENCES``, so the place of sequence i is known; a reader maps
+the file and views any sequence and its bitmaps without a copy; so buffers are not compressed. Only a file's last
+sequence is padded.
 
-Each distinct piece of text that the tokenizer's splitting rule gives is encoded once and its ids are kept, in
-a store of bounded size; a text's ids are those of its pieces in order.
+With a tokenizer whose normaliser and splitting rule are those that are known here, each distinct piece of text is
+encoded once and its ids are kept, in a store of bounded size; a text's ids are those of its pieces in order. With
+any other tokenizer the library encodes whole texts.
 
 Defined cases: a null text is empty and has the end id alone; null ids come first; rows with equal ids are
 ordered by text; repeated rows are written each; an empty table gives no file.
@@ -16,6 +18,7 @@ ordered by text; repeated rows are written each; an empty table gives no file.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import unicodedata
@@ -74,10 +77,26 @@ class _Store(dict):
             self.clear()
 
 
+#: The parts of a tokenizer file whose effect on texts below U+0100 ``_latin_pattern`` repeats.
+_KNOWN = {
+    "normalizer": {"type": "Sequence", "normalizers": [
+        {"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]},
+}
+
+
+def _is_known(parts: dict) -> bool:
+    """Whether texts may be split here: all parts are known, and special tokens are marked as ``_simple`` expects."""
+    marks = all(t["content"].startswith("<|") and not t["normalized"] for t in parts.get("added_tokens") or [])
+    return marks and all(parts.get(k) == v for k, v in _KNOWN.items()) and not parts.get("truncation") and not parts.get("padding")
+
+
 class Encoder:
     """Ids, as little-endian uint32 bytes, of texts by the library's tokenizer in a file.
 
-    Texts below U+0100 are split here as the tokenizer splits them, and each distinct piece goes through its
+    If the tokenizer isn't a known one, the library gets whole texts. Otherwise texts below U+0100 are split here as the tokenizer splits them, and each distinct piece goes through its
     byte mapping and model once. Other texts are split at ASCII white space, which its pieces never hold; their
     runs are handled the same way or, above U+00FF or with the mark of a special token, by the whole tokenizer.
     """
@@ -87,6 +106,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.known = _is_known(json.loads(self.tokenizer.to_str()))
         self.model = self.tokenizer.model
         self.find = _latin_pattern().findall
         self.pieces = _Store(self._piece)
@@ -101,6 +121,8 @@ class Encoder:
         return array("I", self.tokenizer.encode(run, add_special_tokens=False).ids).tobytes()
 
     def encode(self, text: str) -> bytes:
+        if not self.known:
+            return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
         out = self._run(text) if _simple(text) else b"".join(map(self._run, re.split(r"[\x20\x09-\x0D]+", text)))
         self.pieces.turn(KEPT_PIECES)
         return out
@@ -134,11 +156,8 @@ class _Packer:
         self.size += len(ids)
         self.ends.append((self.size - 1, doc_id))
 
-    def take(self, last: bool = False) -> pa.RecordBatch | None:
-        """The full sequences so far; at the end also the rest, padded."""
-        n = -(-self.size // self.length) if last else self.size // self.length
-        if not n:
-            return None
+    def take(self, n: int) -> pa.RecordBatch:
+        """The next n sequences, of which the last is padded if there are no more ids."""
         ids, cut = np.concatenate(self.ids), n * self.length
         real, stops = np.arange(cut) < len(ids), np.zeros(cut, bool)
         done = [e for e in self.ends if e[0] < cut]
@@ -170,11 +189,11 @@ def write_sequences(docs: DataFrame, folder: str, tokenizer: str, length: int =
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 packer.add(doc_id, got := np.frombuffer(encode(text.as_py() or "") + end, "<u4"))
                 n_docs, n_ids = n_docs + 1, n_ids + len(got)
-                if packer.size >= BATCH_SEQUENCES * length:
-                    writer.write_batch(packer.take())
+                while packer.size >= BATCH_SEQUENCES * length:
+                    writer.write_batch(packer.take(BATCH_SEQUENCES))
         if writer is not None:
-            if (rest := packer.take(last=True)) is not None:
-                writer.write_batch(rest)
+            if packer.size:
+                writer.write_batch(packer.take(-(-packer.size // length)))
             writer.close()
             sink.close()
             yield pa.RecordBatch.from_pydict({"part": [TaskContext.get().partitionId()], "path": [f"{folder}/{file}"], "n_docs": [n_docs], "n_ids": [n_ids]})
@@ -202,6 +221,15 @@ class SequenceFile:
         bits = [np.frombuffer(got.column(k).flatten().buffers()[1], np.uint8)[:ids.size // 8].reshape(len(ids), -1) for k in (1, 2)]
         return ids, *bits, got.column(3).to_pylist()
 
+    def __len__(self) -> int:
+        """Number of sequences."""
+        return (self.batches - 1) * BATCH_SEQUENCES + self.file.get_batch(self.batches - 1).num_rows if self.batches else 0
+
+    def sequence(self, i: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Views of sequence i: its ids, and its bits of mask and last."""
+        ids, mask, last, _ = self.batch(i // BATCH_SEQUENCES)
+        return tuple(x[i % BATCH_SEQUENCES] for x in (ids, mask, last))
+
     def documents(self) -> Iterator[tuple[int | None, np.ndarray]]:
         """(doc_id, ids with the end id) in order."""
         carried: list[np.ndarray] = []
