@@ -5,8 +5,8 @@ and their AND give all the languages that contain an n-gram. A text's popcounts
 rate of false positives that each language's fill implies, decide.
 
 It is learned from a bounded sample: about ``SAMPLE_DOCS`` whole documents a language, chosen by hashes of their
-ids. An n-gram enters the filter of a language if at least ``LEAST_DOCS`` of its sampled documents hold it and
-if it is there at least ``RELATIVE`` times as common as where it is most common.
+ids. An n-gram enters the filter of a language if at least ``LEAST_DOCS`` of its sampled documents hold it (all of
+them, where they are fewer) and if it is there at least ``RELATIVE`` times as common as where it is most common.
 
 Defined cases: ``und`` with score 0 for a null text, a text without letters, or if nothing could be learned; a
 text whose n-grams are in no filter gets the language with the most sampled documents, score 0; null ids count
@@ -118,9 +118,9 @@ def train(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
 
     seen = sample.select("text", "lang").mapInArrow(task, "lang long, gram long, n long").groupBy("gram", "lang").agg(F.sum("n").alias("n"))
     size = F.element_at(F.create_map(*[F.lit(x) for k, v in docs.items() for x in (index[k], float(v))]), F.col("lang").cast("int"))
-    seen = seen.withColumn("rate", F.col("n") / size)
-    by_gram = seen.groupBy("gram").agg(F.max("rate").alias("most"), F.collect_list(F.struct("lang", "n", "rate")).alias("langs"))
-    kept = by_gram.select("gram", F.explode("langs").alias("x"), "most").where(f"x.n >= {LEAST_DOCS} and x.rate >= {RELATIVE} * most")
+    seen = seen.withColumn("rate", F.col("n") / size).withColumn("least", F.least(F.lit(float(LEAST_DOCS)), size))
+    by_gram = seen.groupBy("gram").agg(F.max("rate").alias("most"), F.collect_list(F.struct("lang", "n", "rate", "least")).alias("langs"))
+    kept = by_gram.select("gram", F.explode("langs").alias("x"), "most").where(f"x.n >= x.least and x.rate >= {RELATIVE} * most")
     n_words = -(-len(langs) // 64)
 
     def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
