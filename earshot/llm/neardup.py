@@ -1,19 +1,25 @@
 """MinHash near-duplicates, with odd sketches for banded candidates.
 
 A text's set holds its distinct shingles of five words (of ASCII lower-cased words; fewer words are one shingle).
-Documents of equal sets form a class, known by a 64-bit digest; all later steps work on classes.
+Documents of equal sets form a class, known by a 128-bit digest; all later steps work on classes.
 
 1. Of each class: ``SAMPLES`` MinHash values. The first give band keys, ``ROWS`` a band. All are folded into an
    odd sketch: each (number, value) flips one of ``BITS`` bits, so that the XOR of two sketches has about
    BITS / 2 * (1 - exp(-4 * SAMPLES * (1 - J) / BITS)) bits, most precise for similarities near 1.
 2. A bucket (band key with several classes) links each class to its least one: candidates in number of the rows,
    not their square. Those whose sketches agree are confirmed on full shingle sets.
-3. Buckets that still hold several components are compared in full, in tiles of bounded size: pairs of different
-   components whose sketches agree are confirmed on the full sets, the nearest first, and a tile returns only the
-   links that join components. So a component is missed only if no band or sketch shows its links: at the least
-   similarity, from which the number of bands follows, with odds of about 1 in a million for each.
-4. Components come from propagating least labels with pointer jumping, in tables. Nothing is gathered at the
-   driver but counts and a Bloom filter of fixed size, which picks the texts whose sets have to be made again.
+3. In buckets that still hold several components, blocks of bounded size link their classes to central ones, whose
+   sketches are nearest to the majority of each bit: the texts that others are copies of. Again pairs are in number
+   of the rows, and confirmed.
+4. In buckets that even then hold several components, sketches alone (128 bytes a class) are compared, in tiles of
+   bounded size. Only classes with a partner in another component, whose sketch agrees and whose size allows a link,
+   go on with their full sets to tiles of at most 2 * ``TILE`` classes, which confirm the nearest pairs first and
+   return only the links that join components. So a component is missed only if no band or sketch shows its links: at
+   the least similarity, from which the number of bands follows, with odds of about 1 in a million for each.
+5. Components come from propagating least labels with pointer jumping, in tables. Nothing is gathered at the
+   driver but counts and a Bloom filter of bounded size, which picks the texts whose sets have to be made again.
+
+Hot band keys, hubs of links, large components and classes of many copies are split over tasks (``split_join``).
 
 Defined cases: texts that are null or have no words have an empty set and link to nothing; null ids are no
 component's least id unless a class has no other; repeated rows get equal results; an empty table gives an empty
@@ -30,14 +36,20 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import hot_keys, materialise, split_join, spread
+from .common import conclude, hot_keys, materialise, split_join, spread
 
 SHINGLE = 5
 SAMPLES, ROWS, BITS = 256, 5, 1024
 #: Links have 100 * intersection >= percent * union: PERCENT in op10.
 PERCENT = 85
-TILE = 512
-BLOOM_BITS = 1 << 24
+#: Classes whose sets a task compares at once, as two blocks, and blocks whose sketches it compares at once.
+TILE, WIDE = 512, 8
+#: Links of one class that are confirmed in one place.
+HUB = 256
+#: Central classes that a block tries.
+CENTRES = 4
+#: A Bloom filter has 16 bits for each id, and at most so many: 32 MB.
+MOST_BLOOM_BITS = 1 << 28
 _KEPT_WORDS = 200_000
 
 _rng = np.random.default_rng(10)
@@ -122,8 +134,8 @@ def estimate(xor_bits: int) -> float:
     return 1 + BITS / (4 * SAMPLES) * float(np.log(max(1e-9, 1 - 2 * xor_bits / BITS)))
 
 
-def _node(s: np.ndarray) -> int | None:
-    return xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63) if len(s) else None
+def _node(s: np.ndarray) -> bytes | None:
+    return xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None
 
 
 def _lists(values: np.ndarray) -> pa.Array:
@@ -142,58 +154,64 @@ def features(docs: DataFrame, percent: int) -> DataFrame:
                 sets = [shingles(t.as_py()) for t in part.column(2)]
                 hashes = min_hashes(sets)
                 yield pa.RecordBatch.from_arrays([
-                    part.column(0), part.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array([_node(s) for s in sets], pa.int64()),
+                    part.column(0), part.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array([_node(s) for s in sets], pa.binary()),
                     _lists(band_keys(hashes, n)), _lists(odd_sketches(hashes)),
                 ], names=["doc_id", "text_hash", "n_shingles", "node", "bands", "sketch"])
 
     rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), "text")
-    return rows.mapInArrow(task, "doc_id long, text_hash long, n_shingles long, node long, bands array<long>, sketch array<long>")
+    return rows.mapInArrow(task, "doc_id long, text_hash long, n_shingles long, node binary, bands array<long>, sketch array<long>")
 
 
-def _bloom_slots(ids: np.ndarray) -> np.ndarray:
+def _bloom_slots(ids: np.ndarray, bits: int) -> np.ndarray:
     mixed = _mix(ids.astype(np.int64).view(np.uint64))
-    return np.concatenate([(mixed >> np.uint64(s)) % np.uint64(BLOOM_BITS) for s in (0, 24)]).astype(np.int64)
+    return np.concatenate([(mixed >> np.uint64(s)) % np.uint64(bits) for s in (0, 32)]).astype(np.int64)
 
 
 def _bloom(ids: DataFrame) -> np.ndarray:
-    """Bits of a column of ids, made in tasks: BLOOM_BITS / 64 longs at most come to the driver."""
+    """Bits, as longs, of a filter of a column of ids. It is made in tasks; only its longs come to the driver."""
+    bits = min(MOST_BLOOM_BITS, 1 << max(16, (16 * ids.count()).bit_length()))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            slots = np.unique(_bloom_slots(batch.column(0).drop_null().to_numpy(zero_copy_only=False)))
+            slots = np.unique(_bloom_slots(batch.column(0).drop_null().to_numpy(zero_copy_only=False), bits))
             yield pa.RecordBatch.from_pydict({"word": slots >> 6, "bits": (np.uint64(1) << (slots & 63).astype(np.uint64)).astype(np.int64)})
 
     words = ids.mapInArrow(task, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
-    out = np.zeros(BLOOM_BITS >> 6, np.int64)
+    out = np.zeros(bits >> 6, np.int64)
     out[words.column(0).to_numpy()] = words.column(1).to_numpy()
     return out
 
 
+def _in_bloom(ids: np.ndarray, words: np.ndarray) -> np.ndarray:
+    slots = _bloom_slots(ids, len(words) << 6).reshape(2, -1)
+    return (words[slots >> 6] >> (slots & 63) & 1).all(axis=0)
+
+
+_SET = pa.schema([("node", pa.binary()), ("set", pa.binary())])
+
+
 def _sets(docs: DataFrame, nodes: DataFrame, asked: DataFrame) -> DataFrame:
     """node and its set as bytes, of the nodes asked for. One document of each makes it: that of the least id."""
     wanted = materialise(nodes.select("node", "rep").join(asked.select("node").distinct(), "node", "left_semi"), "near-wanted")
     bloom = docs.sparkSession.sparkContext.broadcast(_bloom(wanted.select("rep")))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = bloom.value
         for batch in batches:
             ids = batch.column(0)
-            slots = _bloom_slots(ids.fill_null(0).to_numpy(zero_copy_only=False)).reshape(2, -1)
-            maybe = (bits[slots >> 6] >> (slots & 63) & 1).all(axis=0) | ids.is_null().to_numpy(zero_copy_only=False)
-            rows: list[tuple[int | None, bytes]] = []
+            maybe = _in_bloom(ids.fill_null(0).to_numpy(zero_copy_only=False), bloom.value) | ids.is_null().to_numpy(zero_copy_only=False)
+            rows: list[dict] = []
             size = 0
             for i in np.flatnonzero(maybe):
                 s = shingles(batch.column(1)[int(i)].as_py())
                 if len(s):
-                    rows.append((_node(s), s.tobytes()))
+                    rows.append({"node": _node(s), "set": s.tobytes()})
                     size += 8 * len(s)
                 if size > 8 << 20:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int64(), pa.binary()))], names=["node", "set"])
+                    yield pa.RecordBatch.from_pylist(rows, schema=_SET)
                     rows, size = [], 0
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int64(), pa.binary()))], names=["node", "set"])
+            yield pa.RecordBatch.from_pylist(rows, schema=_SET)
 
-    made = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(task, "node long, set binary")
+    made = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(task, "node binary, set binary")
     return materialise(made.join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"]), "near-sets")
 
 
@@ -210,6 +228,8 @@ def _linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 
 def _confirm(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that are links. A hub's set is copied, and its pairs are dealt over the copies."""
+
     def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Of (a, b, set_a, set_b), the pairs that are links."""
         for batch in batches:
@@ -217,18 +237,23 @@ def _confirm(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, percent: int)
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(good, pa.bool_())) for c in batch.columns[:2]], names=["a", "b"])
 
     sets = _sets(docs, nodes, pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))))
-    first = pairs.join(sets.withColumnsRenamed({"node": "a", "set": "set_a"}), "a")
-    both = first.join(sets.withColumnsRenamed({"node": "b", "set": "set_b"}), "b").select("a", "b", "set_a", "set_b")
-    return materialise(both.mapInArrow(similar, "a long, b long"), "near-links")
+    hubs = materialise(pairs.groupBy("b").count().withColumn("copies", F.ceil(F.col("count") / HUB).cast("int")), "near-hubs")
+    hot = materialise(hot_keys(hubs, pairs.count(), "count"), "near-hot")
+    dealt = split_join(pairs, hubs.drop("count"), ["b"], hot, "inner").withColumn("copy", F.pmod(F.xxhash64("a"), "copies").cast("int")).drop("copies")
+    first = dealt.join(sets.withColumnsRenamed({"node": "a", "set": "set_a"}), "a")
+    copied = sets.withColumnsRenamed({"node": "b", "set": "set_b"}).join(hubs.drop("count"), "b")
+    copied = copied.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1))).drop("copies")
+    both = first.join(copied, ["b", "copy"]).select("a", "b", "set_a", "set_b")
+    return materialise(both.mapInArrow(similar, "a binary, b binary"), "near-links")
 
 
 def _xor(x: Column, y: Column) -> Column:
     return F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, n: s + n)
 
 
-def _star_pairs(nodes: DataFrame, members: DataFrame, buckets: DataFrame, percent: int) -> DataFrame:
-    pairs = members.join(buckets.select("key", F.col("least").alias("b")), "key").where("node != b")
-    pairs = materialise(pairs.select(F.col("node").alias("a"), "b").distinct(), "near-stars")
+def _star_pairs(nodes: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    pairs = members.where("node != least").select(F.col("node").alias("a"), F.col("least").alias("b"))
+    pairs = materialise(pairs.distinct(), "near-stars")
     hot = materialise(hot_keys(pairs.groupBy("b").count(), pairs.count(), "count"), "near-hot")
     known = nodes.select("node", "sketch")
     paired = pairs.join(known.withColumnsRenamed({"node": "a", "sketch": "sa"}), "a")
@@ -236,16 +261,77 @@ def _star_pairs(nodes: DataFrame, members: DataFrame, buckets: DataFrame, percen
     return materialise(paired.where(_xor(F.col("sa"), F.col("sb")) <= most_xor(percent)).select("a", "b"), "near-pairs")
 
 
+def _columns(rows: pa.Table, *names: str) -> list[np.ndarray]:
+    return [rows.column(c).to_numpy() for c in names]
+
+
+def _matrix(rows: pa.Table, name: str) -> np.ndarray:
+    return rows.column(name).combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(rows.num_rows, -1)
+
+
+def _numbered(column: pa.ChunkedArray) -> np.ndarray:
+    """Equal values as equal small numbers."""
+    return column.combine_chunks().dictionary_encode().indices.to_numpy()
+
+
+def _possible(i: int, others: np.ndarray, size: np.ndarray, sketch: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of ``others``, those that may be linked with i by size and sketch, and the bits in which their sketches differ."""
+    others = others[100 * np.minimum(size[others], size[i]) >= percent * np.maximum(size[others], size[i])]
+    apart = np.bitwise_count(sketch[others] ^ sketch[i]).sum(axis=1, dtype=np.int64)
+    return others[apart <= most_xor(percent)], apart[apart <= most_xor(percent)]
+
+
+_LINK = pa.schema([("a", pa.binary()), ("b", pa.binary())])
+
+
+def _centre_pairs(rows: pa.Table, percent: int) -> pa.Table:
+    """Pairs of a block's classes with up to CENTRES central ones of other components that may be linked with them."""
+    (size,), sketch, comp = _columns(rows, "n_shingles"), _matrix(rows, "sketch").view(np.uint64), _numbered(rows.column("comp"))
+    node, left, found = rows.column("node").combine_chunks(), np.arange(rows.num_rows), []
+    for _ in range(CENTRES):
+        if len(left) < 2:
+            break
+        bits = np.unpackbits(sketch[left].view(np.uint8), axis=1)
+        middle = np.packbits(2 * bits.sum(axis=0, dtype=np.int64) > len(left)).view(np.uint64)
+        centre = left[np.bitwise_count(sketch[left] ^ middle).sum(axis=1, dtype=np.int64).argmin()]
+        near, _ = _possible(centre, left[comp[left] != comp[centre]], size, sketch, percent)
+        found.append(pa.table([node.take(pa.array(near)), node.take(pa.array(np.full(len(near), centre)))], schema=_LINK))
+        left = left[(comp[left] != comp[centre]) & ~np.isin(left, near)]
+    return pa.concat_tables([_LINK.empty_table(), *found])
+
+
+_HELD = "key long, band int, lo int, hi int, node binary, comp binary, place int"
+
+
+def _partners(rows: pa.Table, percent: int) -> pa.Table:
+    """Of one wide tile of a bucket, the classes that may be linked with one of another component, once for each pair
+    of narrow blocks that has to confirm it. Pairs that share an earlier band are left to that."""
+    lo, hi, block, band, size, place = _columns(rows, "lo", "hi", "block", "band", "n_shingles", "place")
+    sketch, bands, comp = _matrix(rows, "sketch").view(np.uint64), _matrix(rows, "bands")[:, :band[0]], _numbered(rows.column("comp"))
+    left, right = np.flatnonzero(block == lo), np.flatnonzero(block == hi)
+    wide = int(place.max()) + 1
+    wanted: list[np.ndarray] = []
+    for k, i in enumerate(left):
+        others = right[k + 1:] if lo[0] == hi[0] else right
+        near, _ = _possible(i, others[comp[others] != comp[i]], size, sketch, percent)
+        near = near[~(bands[near] == bands[i]).any(axis=1)]
+        if len(near):
+            wanted += [np.unique(i * wide + place[near]), near * wide + place[i]]
+    at = np.unique(np.concatenate(wanted)) if wanted else np.zeros(0, np.int64)
+    of, other = at // wide, (at % wide).astype(np.int32)
+    got = rows.select(["key", "band", "node", "comp", "place"]).take(pa.array(of))
+    got = got.append_column("lo", pa.array(np.minimum(place[of], other))).append_column("hi", pa.array(np.maximum(place[of], other)))
+    return got.select([c.split()[0] for c in _HELD.split(", ")])
+
+
 def _tile(rows: pa.Table, percent: int) -> pa.Table:
-    """Links of one tile of a bucket, by which components join: as many as make the joins, each confirmed on the
-    full sets. Pairs are taken by sketch, the nearest first, unless an earlier band holds them too. A tile on the
-    diagonal holds one block."""
-    lo, hi, block, band = (rows.column(c).to_numpy() for c in ("lo", "hi", "block", "band"))
-    node, comp = rows.column("node").to_numpy(), rows.column("comp").to_pylist()
-    sketch, bands = (rows.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(rows.num_rows, -1) for c in ("sketch", "bands"))
-    sketch, bands = sketch.view(np.uint64), bands[:, :band[0]]
+    """Links between two narrow blocks by which components join: as many as make the joins, the nearest first, each
+    confirmed on the full sets."""
+    lo, hi, band, size, place = _columns(rows, "lo", "hi", "band", "n_shingles", "place")
+    sketch, bands = _matrix(rows, "sketch").view(np.uint64), _matrix(rows, "bands")[:, :band[0]]
+    comp, node = _numbered(rows.column("comp")), rows.column("node").to_pylist()
     sets = [np.frombuffer(s.as_buffer(), np.uint64) for s in rows.column("set")]
-    root, most = {c: c for c in comp}, most_xor(percent)
+    root = np.arange(rows.num_rows)
 
     def find(c: int) -> int:
         while root[c] != c:
@@ -253,37 +339,56 @@ def _tile(rows: pa.Table, percent: int) -> pa.Table:
             c = root[c]
         return c
 
-    left, right = np.flatnonzero(block == lo), np.flatnonzero(block == hi)
-    found: list[tuple[int, int]] = []
-    for i in left:
-        others = right[node[right] > node[i]] if lo[0] == hi[0] else right
-        apart = np.bitwise_count(sketch[others] ^ sketch[i]).sum(axis=1, dtype=np.int64)
-        others, apart = others[apart <= most], apart[apart <= most]
-        first = ~(bands[others] == bands[i]).any(axis=1)
-        for j in others[first][np.argsort(apart[first], kind="stable")]:
+    left, right = np.flatnonzero(place == lo), np.flatnonzero(place == hi)
+    found: list[dict] = []
+    for k, i in enumerate(left):
+        others = right[k + 1:] if lo[0] == hi[0] else right
+        near, apart = _possible(i, others[comp[others] != comp[i]], size, sketch, percent)
+        first = ~(bands[near] == bands[i]).any(axis=1)
+        for j in near[first][np.argsort(apart[first], kind="stable")]:
             x, y = find(comp[i]), find(comp[j])
             if x != y and _linked(sets[i], sets[j], percent):
                 root[x] = y
-                found.append((max(node[i], node[j]), min(node[i], node[j])))
-    return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
+                found.append({"a": max(node[i], node[j]), "b": min(node[i], node[j])})
+    return pa.Table.from_pylist(found, schema=_LINK)
 
 
-def _rest_links(docs: DataFrame, nodes: DataFrame, members: DataFrame, buckets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """Links between different components so far that share a bucket, as many as join what can be joined."""
-    labelled = members.join(buckets.select("key", "n"), "key").where("n > 2").join(labels, "node", "left")
+def _mixed(members: DataFrame, hot: DataFrame, labels: DataFrame) -> DataFrame:
+    """key, band, node, comp, place, places, block, blocks of the members of buckets that hold several components."""
+    labelled = members.where("n > 2").join(labels, "node", "left")
     labelled = materialise(labelled.withColumn("comp", F.coalesce("comp", "node")), "near-members")
     mixed = labelled.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x != y").select("key")
-    rows = materialise(labelled.join(mixed, "key"), "near-mixed")
-    known = nodes.select("node", "sketch", "bands").join(_sets(docs, nodes, rows), "node")
-    rows = rows.withColumn("tiles", F.ceil(F.col("n") / TILE).cast("int"))
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    rows = rows.select("key", "band", "node", "comp", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
-
-    def tile(table: pa.Table) -> pa.Table:
+    rows = split_join(labelled, materialise(mixed, "near-mixed-keys"), ["key"], hot, "inner")
+    rows = rows.withColumn("places", F.ceil(F.col("n") / TILE).cast("int"))
+    rows = rows.withColumn("place", F.pmod(F.xxhash64("node"), "places").cast("int"))
+    rows = rows.withColumn("block", F.floor(F.col("place") / WIDE).cast("int")).withColumn("blocks", F.ceil(F.col("places") / WIDE).cast("int"))
+    return materialise(rows.drop("n", "least"), "near-mixed")
+
+
+def _centre_links(docs: DataFrame, nodes: DataFrame, mixed: DataFrame, percent: int) -> DataFrame:
+    def centres(table: pa.Table) -> pa.Table:
+        return _centre_pairs(table, percent)
+
+    rows = mixed.select("key", "block", "node", "comp").join(nodes.select("node", "sketch", "n_shingles"), "node")
+    pairs = rows.groupBy("key", "block").applyInArrow(centres, "a binary, b binary").distinct()
+    return _confirm(docs, nodes, materialise(pairs, "near-centres"), percent)
+
+
+def _rest_links(docs: DataFrame, nodes: DataFrame, mixed: DataFrame, percent: int) -> DataFrame:
+    """Links between different components that share a bucket, as many as join what can be joined."""
+    def wide(table: pa.Table) -> pa.Table:
+        return _partners(table, percent)
+
+    def narrow(table: pa.Table) -> pa.Table:
         return _tile(table, percent)
 
-    links = spread(rows.join(known, "node"), "key", "lo", "hi").groupBy("key", "lo", "hi").applyInArrow(tile, "a long, b long")
+    rows = mixed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("key", "band", "node", "comp", "place", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
+    rows = rows.join(nodes.select("node", "sketch", "bands", "n_shingles"), "node")
+    held = spread(rows, "key", "lo", "hi").groupBy("key", "lo", "hi").applyInArrow(wide, _HELD).distinct()
+    held = materialise(held, "near-held")
+    known = nodes.select("node", "sketch", "bands", "n_shingles").join(_sets(docs, nodes, held), "node")
+    links = spread(held.join(known, "node"), "key", "lo", "hi").groupBy("key", "lo", "hi").applyInArrow(narrow, "a binary, b binary")
     return materialise(links.distinct(), "near-rest")
 
 
@@ -291,51 +396,76 @@ def components(links: DataFrame) -> DataFrame:
     """node and comp, the least node that it reaches, of all nodes in ``links`` (a, b)."""
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     both = materialise(both.distinct(), "near-edges")
+    hubs = materialise(hot_keys(both.groupBy("b").count(), both.count(), "count"), "near-hot")
     labels = materialise(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("comp")), "near-labels")
+    n = labels.count()
     while True:
-        near = both.join(labels.select(F.col("node").alias("b"), "comp"), "b").groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("near"))
+        near = split_join(both, labels.select(F.col("node").alias("b"), "comp"), ["b"], hubs, "inner")
+        near = near.groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("near"))
         hooked = labels.join(near, "node").select("node", F.col("comp").alias("was"), F.least("comp", "near").alias("comp"))
         hooked = materialise(hooked, "near-hooked")
         jump = hooked.select(F.col("node").alias("comp"), F.col("comp").alias("far"))
-        new = materialise(hooked.join(jump, "comp").select("node", "was", F.least("comp", "far").alias("comp")), "near-labels")
+        large = materialise(hot_keys(hooked.groupBy("comp").count(), n, "count"), "near-hot")
+        new = split_join(hooked, jump, ["comp"], large, "inner").select("node", "was", F.least("comp", "far").alias("comp"))
+        new = materialise(new, "near-labels")
         labels = new.select("node", "comp")
         if not new.where("comp != was").limit(1).count():
             return labels
 
 
-def classify(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """doc_id, text_hash, n_shingles, component_id and kept of each row of ``docs`` (doc_id, text)."""
-    docs = docs.select("doc_id", "text")
+def _classify(docs: DataFrame, percent: int) -> DataFrame:
     made = materialise(features(docs, percent), "near-features")
     nodes = made.where("node is not null").groupBy("node").agg(
-        F.min("doc_id").alias("rep"), F.count("*").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+        F.min("doc_id").alias("rep"), F.count("*").alias("n"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
     nodes = materialise(nodes, "near-nodes")
     members = nodes.select("node", F.posexplode("bands").alias("band", "key"))
     buckets = members.groupBy("key").agg(F.min("node").alias("least"), F.count("*").alias("n")).where("n > 1")
     buckets = materialise(buckets, "near-buckets")
-    members = materialise(members.join(buckets.select("key"), "key"), "near-in-buckets")
-    links = _confirm(docs, nodes, _star_pairs(nodes, members, buckets, percent), percent)
+    hot = materialise(hot_keys(buckets, buckets.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]), "near-hot")
+    members = materialise(split_join(members, buckets, ["key"], hot, "inner"), "near-in-buckets")
+    links = _confirm(docs, nodes, _star_pairs(nodes, members, percent), percent)
     labels = components(links)
-    rest = _rest_links(docs, nodes, members, buckets, labels, percent)
-    if rest.limit(1).count():
-        labels = components(links.unionByName(rest))
+    for more in (_centre_links, _rest_links):
+        mixed = _mixed(members, hot, labels)
+        if not mixed.limit(1).count():
+            break
+        found = more(docs, nodes, mixed, percent)
+        if found.limit(1).count():
+            links = links.unionByName(found)
+            labels = components(links)
     reps = nodes.select("node", "rep", "n").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    least = reps.join(labels.select("node"), "node", "left_semi").groupBy("comp").agg(F.min("rep").alias("least"))
-    known = reps.join(least, "comp", "left").select("node", "n", F.coalesce("least", "rep").alias("component"))
-    known = materialise(known, "near-known")
+    reps = materialise(reps, "near-reps")
+    least = materialise(reps.groupBy("comp").agg(F.min("rep").alias("component"), F.count("*").alias("classes")), "near-least")
+    large = materialise(hot_keys(least, nodes.count(), "classes"), "near-hot")
+    known = materialise(split_join(reps, least.drop("classes"), ["comp"], large, "inner").select("node", "n", "comp", "component"), "near-known")
     rows = made.drop("bands", "sketch")
     linked = split_join(rows.where("node is not null"), known.drop("n"), ["node"], materialise(hot_keys(known.select("node", "n"), made.count()), "near-hot"))
-    alone = rows.where("node is null").withColumn("component", F.col("doc_id"))
+    alone = rows.where("node is null").withColumns({"comp": F.lit(None).cast("binary"), "component": F.col("doc_id")})
     out = linked.unionByName(alone)
-    return out.select("doc_id", "text_hash", "n_shingles", F.col("component").alias("component_id"), F.col("doc_id").eqNullSafe(F.col("component")).alias("kept"))
+    return out.select("doc_id", "text_hash", "comp", "n_shingles", F.col("component").alias("component_id"), F.col("doc_id").eqNullSafe(F.col("component")).alias("kept"))
+
+
+def classify(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """doc_id, text_hash, comp (a key of the component, null for empty sets), n_shingles, component_id and kept of each
+    row of ``docs`` (doc_id, text)."""
+    docs = docs.select("doc_id", "text")
+    return conclude(docs.sparkSession, "near-classes", lambda: _classify(docs, percent))
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    return classify(docs).drop("text_hash")
+    return classify(docs).drop("text_hash", "comp")
 
 
 def deduplicate(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The rows of ``docs`` that are kept: of each component the document with the least id."""
-    kept = classify(docs, percent).where("kept").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
-    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__hash"))
-    return docs.join(kept, same, "left_semi")
+    """The rows of ``docs`` that are kept: one of each component, that with the least id (of equal ids or none, the
+    least text hash; of rows that repeat both, any one). Rows without words all stay: they are linked with nothing."""
+    kept = classify(docs, percent).where("kept").groupBy("comp", "doc_id", "text_hash").count()
+    least = kept.where("comp is not null").groupBy("comp").agg(F.min(F.struct("doc_id", "text_hash", "count")).alias("x")).select("x.*")
+    kept = least.unionByName(kept.where("comp is null").select("doc_id", "text_hash", F.lit(1).cast("long").alias("count")))
+    kept = kept.withColumnsRenamed({"doc_id": "__id", "text_hash": "__hash"})
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__hash"))
+    once = docs.join(kept.where("count = 1"), same, "left_semi")
+    if not kept.where("count > 1").limit(1).count():
+        return once
+    many = docs.join(kept.where("count > 1"), same, "left_semi").withColumn("__hash", F.xxhash64("text"))
+    return once.unionByName(many.dropDuplicates(["doc_id", "__hash"]).drop("__hash"))
