@@ -6,8 +6,8 @@ a word of ``LEAST_LETTERS`` letters or more anywhere in a document that mentions
     PMI(term, entity) / IC(entity),  PMI = log(n(t, e) * N / (n(t) * n(e))),  IC = log(N / n(e))
 
 with numbers of whole documents of the whole corpus; 1 says that the term occurs with the entity alone. One document,
-or copies of one text, are evidence like any other. A term that discloses some entity is generalised from
-``GENERALISE`` on and removed from ``REMOVE`` on, wherever it stands in a document with a base span: spans of kind
+or copies of one text, are evidence like any other. A term that discloses some entity is generalised (to its
+script and whether it is a name or word) from ``GENERALISE`` on and removed from ``REMOVE`` on, wherever it stands in a document with a base span: spans of kind
 ``term``, which never meet a base span. Documents without base spans stay as they are.
 
 Counting works on distinct texts with their numbers of rows; entities of the same texts have the same counts and are
@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
@@ -32,8 +33,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hot_keys, materialise, split_join
-from .neardup import _bloom, _bloom_slots
+from .common import conclude, hot_keys, materialise, split_join
+from .neardup import _bloom, _in_bloom
 
 KINDS = ("email", "ip", "card", "phone")
 LEAST_LETTERS = 4
@@ -128,11 +129,11 @@ def scan(docs: DataFrame) -> DataFrame:
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, size = [], 0
-            for doc_id, value in zip(batch.column(0), batch.column(1), strict=True):
+            for doc_id, text_hash, value in zip(*batch.columns, strict=True):
                 text = value.as_py() or ""
                 base = base_spans(text)
                 rows.append({
-                    "doc_id": doc_id.as_py(), "text_hash": xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63),
+                    "doc_id": doc_id.as_py(), "text_hash": text_hash.as_py(),
                     "base": [dict(zip(("start", "end", "kind"), s, strict=True)) for s in base],
                     "entities": sorted({_entity(kind, text[a:b]) for a, b, kind in base}),
                     "terms": [{"term": t, "places": p} for t, p in places(text, base).items()]})
@@ -142,7 +143,7 @@ def scan(docs: DataFrame) -> DataFrame:
                     rows, size = [], 0
             yield pa.RecordBatch.from_pylist(rows, schema=_SCANNED)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(task, _SCAN)
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text"), "text").mapInArrow(task, _SCAN)
 
 
 def _ids(terms: Iterable[str]) -> np.ndarray:
@@ -164,8 +165,7 @@ def _term_documents(docs: DataFrame, terms: DataFrame) -> DataFrame:
         batch = pa.RecordBatch.from_pydict({"term": pa.array(list(seen), pa.string()), "n": pa.array(list(seen.values()), pa.int64())})
         if bloom.value is None or not seen:
             return batch
-        slots = _bloom_slots(_ids(seen)).reshape(2, -1)
-        return batch.filter(pa.array((bloom.value[slots >> 6] >> (slots & 63) & 1).all(axis=0)))
+        return batch.filter(pa.array(_in_bloom(_ids(seen), bloom.value)))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         only, seen = wanted.value, Counter()
@@ -208,6 +208,10 @@ def disclosures(docs: DataFrame, n: int, texts: DataFrame, words: DataFrame, cou
 
 def find(docs: DataFrame) -> DataFrame:
     """doc_id, text_hash, base and terms (start, end, share) of each row."""
+    return conclude(docs.sparkSession, "pii-found", lambda: _find(docs))
+
+
+def _find(docs: DataFrame) -> DataFrame:
     scanned = materialise(scan(docs), "pii-scan")
     rows = scanned.select("doc_id", "text_hash", "base")
     texts = scanned.where(F.size("base") > 0).groupBy("text_hash").agg(
@@ -227,11 +231,18 @@ def find(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "text_hash", "base", F.coalesce("terms", none).alias("terms"))
 
 
+def broader(term: str) -> str:
+    """What a generalised term becomes: whether it is a name, and its script."""
+    script = unicodedata.name(term[0], "OTHER").split(" ")[0].split("-")[0].lower()
+    return f"[{script} {'acronym' if term.isupper() and term.lower() != term.upper() else 'name' if term[0].isupper() else 'word'}]"
+
+
 def clean(text: str, base: list, terms: list) -> str:
-    """``text`` with base spans as [kind], terms as [term], or nothing from REMOVE on; of spans that meet, the first wins."""
+    """``text`` with base spans as [kind], terms as their broader class, or nothing from REMOVE on; of spans that meet,
+    the first wins."""
     out, at = [], 0
     spans = [(s["start"], s["end"], f"[{s['kind']}]") for s in base]
-    spans += [(s["start"], s["end"], "" if s["share"] >= REMOVE else "[term]") for s in terms]
+    spans += [(s["start"], s["end"], "" if s["share"] >= REMOVE else broader(text[s["start"]:s["end"]])) for s in terms]
     for a, b, by in sorted(spans):
         if a >= at:
             out += [text[at:a], by]
@@ -250,10 +261,8 @@ def sanitise(docs: DataFrame) -> DataFrame:
             columns["text"] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_pydict(columns)
 
-    digest_of = F.udf(lambda t: xxhash.xxh3_64_intdigest((t or "").encode("utf-8", "surrogatepass")) - (1 << 63), "long")
     found = find(docs).where((F.size("base") > 0)).distinct().select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__h"), F.col("base").alias("__base"), F.col("terms").alias("__terms"))
-    rows = docs.withColumn("__hash", digest_of("text"))
-    rows = rows.join(found, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__h")), "left")
+    rows = docs.join(found, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__h")), "left")
     return rows.select(*docs.columns, "__base", "__terms").mapInArrow(task, docs.schema)
 
 
