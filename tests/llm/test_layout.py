@@ -180,3 +180,115 @@ def test_edges(edge_docs, no_docs):
     assert tokens.digest(no_docs, tokenizer_path()).count() == 0
 
 
+
+
+def test_pack_against_plain_python():
+    """The rule restated without arrays: heaviest first, the highest dot product among shards that have room."""
+    rng = np.random.default_rng(3)
+    for shards in (3, 7):
+        vectors = rng.integers(1, 50, (120, 3)).astype(float)
+        total, left, wanted = vectors.sum(axis=0), [[1.0] * 3 for _ in range(shards)], {}
+        shares = [[v * shards / t for v, t in zip(vec, total)] for vec in vectors]
+        weight = lambda s: max(x * w**0.5 for x, w in zip(s, sharding.DIMENSIONS))
+        for i in sorted(range(len(shares)), key=lambda i: (-weight(shares[i]), i)):
+            s = shares[i]
+            dots = [sum(r * x * w for r, x, w in zip(res, s, sharding.DIMENSIONS)) for res in left]
+            room = [all(r >= x - 1e-12 for r, x in zip(res, s)) for res in left]
+            j = max((k for k in range(shards) if room[k] or not any(room)), key=lambda k: (round(dots[k], 9), -k))
+            left[j] = [r - x for r, x in zip(left[j], s)]
+            wanted[i] = j
+        got = sharding.pack(vectors, shards)
+        assert np.mean([got[i] == j for i, j in wanted.items()]) > 0.98  # sums in another order may break near ties otherwise
+        loads = np.array([vectors[got == k].sum(axis=0) for k in range(shards)])
+        assert (np.ptp(loads, axis=0) / loads.mean(axis=0)).max() < 0.2
+
+
+def test_sharding_keeps_columns_and_places_large_groups_whole(spark):
+    docs = spark.range(9000).selectExpr(
+        "id as doc_id", "if(id % 90 = 0, concat('big ', floor(id / 900)), concat('own ', sha2(cast(id as string), 256))) as text", "id as first", "id as __before_x", "'s' as shard")
+    got = sharding.shard(docs)
+    assert set(got.columns) == {"doc_id", "text", "first", "__before_x", "shard", "slot"}
+    assert got.where("first = doc_id").count() == 9000
+    per = got.where("text like 'big%'").groupBy("text").agg({"shard": "approx_count_distinct"}).collect()
+    assert len(per) == 10 and all(r[1] == 1 for r in per)
+
+
+def test_many_cells(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "ROWS_A_CELL", 5)
+    docs = spark.range(3000).selectExpr("id as doc_id", "if(id % 3 = 0, 'hot text', concat('own ', id)) as text")
+    got = sharding.digest(docs).toPandas()
+    assert len(got) == 3000
+    for _, s in got.groupby("shard"):
+        assert sorted(s.slot) == list(range(len(s)))
+
+
+def test_water_filling_against_rounds(spark):
+    """Targets equal those of clamping round by round, with many sources and ties."""
+    rng = np.random.default_rng(1)
+    rows = [(f"s{i:04d}", int(rng.integers(0, 1000)) * int(rng.integers(0, 2)), int(i % 3 + 1)) for i in range(500)]
+    for total in (0, 1000, sum(n for _, n, _ in rows), 10**7):
+        capped: set[str] = set()
+        while True:
+            left = total - sum(3 * n for s, n, _ in rows if s in capped)
+            free = sum(w for s, _, w in rows if s not in capped)
+            level = left / free if free else 0.0
+            more = {s for s, n, w in rows if s not in capped and level * w > 3 * n}
+            if not more:
+                break
+            capped |= more
+        wanted = {s: float(3 * n) if s in capped else level * w for s, n, w in rows}
+        got = {r.source: r.target for r in mixing.water_fill(spark.createDataFrame(rows, "source string, source_size long, weight long"), total).collect()}
+        assert got == pytest.approx(wanted)
+
+
+def test_revisits_without_payloads(spark, monkeypatch):
+    """Filters that hold everything, and filters that hold just what they must, give the same archives."""
+    rows = spark.range(1, 3000).selectExpr("id as page_id", "'u' as url", f"concat('{BIG}', repeat('long text ', 500), floor(id / if(id % 7 = 0, 1, 2))) as html")
+    plain = lambda: sorted((r.page_id, r.record_type, r.refers_to or -1) for r in warc.digest(rows).collect())
+    want, first = [], {}
+    for r in sorted(rows.collect()):
+        want.append((r.page_id, "revisit" if r.html in first else "response", first.setdefault(r.html, -1)))
+        first[r.html] = first[r.html] if first[r.html] >= 0 else r.page_id
+    assert plain() == want and any(t == "revisit" for _, t, _ in want)
+    monkeypatch.setattr(warc, "_in_bloom", lambda ids, words: np.ones(len(ids), bool))
+    assert plain() == want
+
+
+def test_records_are_http_responses(spark):
+    import gzip
+
+    folder = new_folder(spark, "t")
+    rows = [(1, "http://x/1", BIG, "x", "y"), (2, "http://x/2", BIG, "x", "y"), (3, "http://x/3", "tiny " * 100_000, "x", "y")]
+    manifest = warc.write_archives(warc.resolve(pages(spark, rows)), folder).collect()
+    raw = b"".join(gzip.open(m.path.removeprefix("file://"), "rb").read() for m in manifest)
+    assert raw.count(b"HTTP/1.1 200 OK\r\n") == 3 and raw.count(b"Content-Type: application/http;msgtype=response") == 3
+    assert raw.count(BIG.encode()) == 1 and b"2000-01-01T00" not in raw
+    assert f"Content-Length: {len(BIG.encode())}\r\n\r\n".encode() in raw
+
+
+def test_any_sequence_by_number(spark, documents, monkeypatch):
+    monkeypatch.setattr(tokens, "BATCH_SEQUENCES", 4)
+    long = documents.select("doc_id", "text").limit(40).unionByName(spark.createDataFrame([(10**7, "many words here " * 4000)], "doc_id long, text string"))
+    (m,) = tokens.write_sequences(long.coalesce(1), new_folder(spark, "seq"), tokenizer_path(), length=64).orderBy("part").collect()[-1:]
+    file = tokens.SequenceFile(m.path)
+    flat = np.concatenate([x for _, x in file.documents()])
+    assert len(file) == -(-len(flat) // 64)
+    for i in (0, 3, 4, len(file) // 2, len(file) - 1):
+        ids, mask, last = file.sequence(i)
+        real = np.unpackbits(mask, bitorder="little")[:64].astype(bool)
+        assert ids[real].tolist() == flat[64 * i:64 * i + 64].tolist() and not ids.flags.owndata
+    file.close()
+
+
+def test_unknown_tokenizer_goes_to_the_library(tmp_path):
+    import json
+
+    from tokenizers import Tokenizer
+
+    parts = json.load(open(tokenizer_path()))
+    parts["normalizer"] = None
+    path = tmp_path / "other.json"
+    path.write_text(json.dumps(parts))
+    text = "Some UPPER case's Words"
+    got = np.frombuffer(tokens.Encoder(str(path)).encode(text), "<u4").tolist()
+    assert got == Tokenizer.from_file(str(path)).encode(text, add_special_tokens=False).ids != direct([text])[0][:-1]

@@ -326,3 +326,53 @@ def test_word_hashes():
     assert first.tolist() == [0, 2, 2, 4, 6]
     assert hashes[0] == hashes[3] and hashes[1] == hashes[2] and len(set(hashes.tolist())) == 4
     assert len(shingle_hashes(hashes[:3])) == 1 and len(shingle_hashes(hashes)) == 2
+
+
+def test_narrow_tiles(spark, monkeypatch):
+    """Many sketch tiles and confirming tiles find what one finds."""
+    monkeypatch.setattr(neardup, "TILE", 4)
+    monkeypatch.setattr(neardup, "WIDE", 2)
+    monkeypatch.setattr(neardup, "HUB", 2)
+    monkeypatch.setattr(neardup, "CENTRES", 1)
+    texts = near_copies(np.random.default_rng(9), n_families=2, size=50, words=60, change=6)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert got_components(docs) == brute_components(texts)
+
+
+def test_repeated_rows_and_null_ids_leave_one(spark):
+    text = "one two three four five six seven eight nine ten"
+    rows = [(1, text), (1, text), (2, text), (None, "a b c d e f g"), (None, "a b c d e f g"), (None, "A b c d e f g"), (7, ""), (7, "")]
+    got = neardup.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or -1, (r.text or "").lower()) for r in got) == [(-1, "a b c d e f g"), (1, text), (7, ""), (7, "")]
+
+
+def test_language_with_few_documents(spark):
+    rows = [(i, "alpha beta gamma delta " * 9, "aa") for i in range(0, 40)] + [(100, "onetwo threefour fivesix " * 9, "bb")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(docs)
+    assert {r.doc_id for r in langid.accept(docs, model).collect()} == {r[0] for r in rows}
+
+
+def test_popcounts_against_sets(spark):
+    """Scores equal shares of n-grams by plain sets, but for false positives of the filters."""
+    texts = {"aa": ["the cat sat on the mat again", "the dog ran over the hill"] * 3, "bb": ["el gato duerme en la casa", "un perro corre por el campo"] * 3}
+    rows = [(i, t, k) for i, (k, t) in enumerate((k, t) for k, ts in texts.items() for t in ts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(docs)
+
+    def of(t):
+        t = f" {t} "
+        return [t[i:i + 4] for i in range(len(t) - 3)]
+
+    holders = {k: {} for k in texts}
+    for k, ts in texts.items():
+        for t in ts:
+            for g in set(of(t)):
+                holders[k][g] = holders[k].get(g, 0) + 1
+    rate = lambda k, g: holders[k].get(g, 0) / len(texts[k])
+    kept = {k: {g for g, n in holders[k].items() if n >= 3 and rate(k, g) >= 0.2 * max(rate(x, g) for x in texts)} for k in texts}
+    for t in ("the cat ran over the casa", "un gato en la mat"):
+        share, total, _ = langid.score([t], model)
+        assert abs(total[0] - len(of(t))) <= 2
+        for i, k in enumerate(model.langs):
+            assert share[0][i] == pytest.approx(sum(g in kept[k] for g in of(t)) / len(of(t)), abs=0.05)
