@@ -5,14 +5,21 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from ..config import FULL_WIDTH_MARKS, HALF_WIDTH_MARKS, SEGMENT_MARKS
 
-#: A mark (a half-width one only if no ASCII letter or digit follows), space, a run of ASCII, or one other character.
-_MARK = f"[{FULL_WIDTH_MARKS}]|[{re.escape(HALF_WIDTH_MARKS)}](?![0-9A-Za-z])"
-_PART = re.compile(rf"(?P<mark>{_MARK})|(?P<space>\s)|(?P<run>(?:(?!{_MARK})[^\s\x80-\U0010ffff])+)|(?P<one>.)", re.S)
+#: A mark: a half-width one only if no ASCII letter or digit follows.
+_MARK = f"(?:[{FULL_WIDTH_MARKS}]|[{re.escape(HALF_WIDTH_MARKS)}](?![0-9A-Za-z]))"
+#: A run of ASCII or one other character, and what stands between it and the next: marks and white space.
+_TOKEN = re.compile(rf"((?:(?!{_MARK})[^\s\x80-\U0010ffff])+|(?!{_MARK})\S)((?:\s*{_MARK})*)")
+#: The same for the JVM, without what stands between; white space as Python has it.
+_SPACE = r"\t-\r\x1c-\x20\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+_JVM_TOKEN = rf"(?:(?!{_MARK})[^{_SPACE}\x{{80}}-\x{{10ffff}}])+|(?!{_MARK})[^{_SPACE}]"
 
 
 class TokenMismatch(ValueError):
@@ -21,29 +28,37 @@ class TokenMismatch(ValueError):
 
 def tokenise(text: str) -> list[tuple[str, str]]:
     """(token, marks after it): an ASCII run or one other character each; marks before the first token are lost."""
-    out: list[tuple[str, str]] = []
-    for part in _PART.finditer(text):
-        if part["mark"] is not None:
-            if out:
-                out[-1] = (out[-1][0], out[-1][1] + part["mark"])
-        elif part["space"] is None:
-            out.append((part[0], ""))
-    return out
+    return [(t, m if not m or m.isprintable() and " " not in m else "".join(m.split())) for t, m in _TOKEN.findall(text)]
+
+
+def token_count(text: Column) -> Column:
+    """Number of tokens of a text, in the JVM."""
+    return F.regexp_count(text, F.lit(_JVM_TOKEN))
 
 
-def to_segments(text: str | None, stamps: list[list[int]] | None) -> list[dict]:
+def to_segments(text: str | None, stamps: list[list[int]] | np.ndarray | None, words: bool = True) -> list[dict]:
     """Segments (text, start, end, words) closed after a sentence's mark; milliseconds become seconds."""
-    tokens, stamps = tokenise(text or ""), stamps or []
     if not (text or "").strip():
         return []
+    tokens, stamps = [t + m for t, m in tokenise(text)], [] if stamps is None else stamps
     if len(tokens) != len(stamps):
         raise TokenMismatch(f"{len(tokens)} tokens and {len(stamps)} timestamps")
-    out: list[list[dict]] = [[]]
-    for (token, marks), (start, end) in zip(tokens, stamps, strict=True):
-        out[-1].append({"word": token + marks, "start": start / 1000, "end": end / 1000})
-        if marks[-1:] and marks[-1] in SEGMENT_MARKS:
-            out.append([])
-    return [{"text": "".join(w["word"] for w in s), "start": s[0]["start"], "end": s[-1]["end"], "words": s} for s in out if s]
+    if not tokens:
+        return []
+    times = (np.asarray(stamps, float) / 1000).tolist()
+    stops = [i + 1 for i, t in enumerate(tokens) if t[-1] in SEGMENT_MARKS and _closes(t)]
+    if not stops or stops[-1] < len(tokens):
+        stops.append(len(tokens))
+    out = []
+    for a, b in zip([0, *stops], stops):
+        own = [{"word": t, "start": x, "end": y} for t, (x, y) in zip(tokens[a:b], times[a:b])] if words else None
+        out.append({"text": "".join(tokens[a:b]), "start": times[a][0], "end": times[b - 1][1], "words": own})
+    return out
+
+
+def _closes(token: str) -> bool:
+    """Whether the last character is a mark after the token, not the token itself."""
+    return len(token) > 1 or token not in FULL_WIDTH_MARKS + HALF_WIDTH_MARKS
 
 
 WORD = pa.struct([("word", pa.string()), ("start", pa.float64()), ("end", pa.float64())])
@@ -51,16 +66,17 @@ SEGMENT = pa.struct([("text", pa.string()), ("start", pa.float64()), ("end", pa.
 SEGMENTS_DDL = "array<struct<text:string,start:double,end:double,words:array<struct<word:string,start:double,end:double>>>>"
 
 
-def segment_rows(raw: DataFrame) -> DataFrame:
-    """key, segments, error of ``raw`` (key, text, timestamp); a mismatch is an error of its row alone."""
+def segment_rows(raw: DataFrame, words: bool = True) -> DataFrame:
+    """key, segments, error of ``raw`` (key, text, timestamp); a mismatch is an error of its row alone. Without
+    ``words`` those of the segments are null."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made: list[list | None] = []
             errors: list[str | None] = []
-            for text, stamps in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            for text, stamps in zip(batch.column(1).to_pylist(), _stamps(batch.column(2)), strict=True):
                 try:
-                    made.append(to_segments(text, stamps))
+                    made.append(to_segments(text, stamps, words))
                     errors.append(None)
                 except TokenMismatch as e:
                     made.append(None)
@@ -70,6 +86,21 @@ def segment_rows(raw: DataFrame) -> DataFrame:
     return raw.selectExpr("cast(key as string) key", "text", "timestamp").mapInArrow(task, f"key string, segments {SEGMENTS_DDL}, error string")
 
 
+def _stamps(column: pa.Array) -> Iterator[np.ndarray | list]:
+    """The timestamps of each row, as views of the flat values where each has a start and an end."""
+    inner = column.flatten()
+    sizes = pa.compute.fill_null(pa.compute.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    pairs = pa.compute.all(pa.compute.equal(pa.compute.list_value_length(inner), 2), min_count=0).as_py()
+    values = inner.flatten()
+    if not pairs or values.null_count or inner.null_count:
+        yield from (x or [] for x in column.to_pylist())
+        return
+    flat, first = values.to_numpy(zero_copy_only=False).reshape(-1, 2), 0
+    for n in sizes:
+        yield flat[first:first + n]
+        first += n
+
+
 def token_rows(texts: DataFrame) -> DataFrame:
     """key, n_tokens, n_marks of ``texts`` (key, text)."""
 

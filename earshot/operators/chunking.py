@@ -8,15 +8,17 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import SENTENCE_MARKS, SNAP_SHARE, Bounds, Settings, Tier
-from ..functions.text import span_separator
+from ..functions.text import is_spaced, span_separator
 
 Counter = Callable[[str], int]
 _TOKEN = re.compile("[㐀-鿿]|[^\\s㐀-鿿]+")
@@ -92,6 +94,7 @@ def split_long(segment: dict, bounds: Bounds, separator: str, count: Counter = c
     """A segment past a maximum, in about equal shares of tokens, cut at the nearest word or at a sentence's end
     within SNAP_SHARE of a share. Segments of fewer than two words stay whole."""
     words = segment.get("words") or []
+    words = words[:] if isinstance(words, TimedWords) else words
     seconds = segment["end"] - segment["start"]
     wanted = max(math.ceil(count(segment["text"] or "") / bounds.max_tokens), math.ceil(seconds / bounds.max_seconds))
     parts = min(wanted, len(words))
@@ -115,14 +118,44 @@ def split_long(segment: dict, bounds: Bounds, separator: str, count: Counter = c
     return [_piece(words[a:b], separator, times[a], times[b]) for a, b in zip(cuts, cuts[1:])]
 
 
-def _bounds_of(words: list[dict], start: float, end: float) -> tuple[float, float]:
-    starts = [w["start"] for w in words if w.get("start") is not None]
-    ends = [w["end"] for w in words if w.get("end") is not None]
-    return starts[0] if starts else start, ends[-1] if ends else end
+class TimedWords(Sequence):
+    """Words first to stop of flat child arrays: dicts are made only of those that are asked for. Times are floats,
+    nan where they are missing."""
+
+    def __init__(self, texts: pa.Array, starts: np.ndarray, ends: np.ndarray, first: int, stop: int) -> None:
+        self.texts, self.starts, self.ends, self.first, self.stop = texts, starts, ends, first, stop
+
+    def __len__(self) -> int:
+        return self.stop - self.first
+
+    def __getitem__(self, i):
+        if isinstance(i, slice):
+            return [self[k] for k in range(*i.indices(len(self)))]
+        at = self.first + range(len(self))[i]
+        return {"word": self.texts[at].as_py(), **{k: None if np.isnan(v[at]) else float(v[at]) for k, v in (("start", self.starts), ("end", self.ends))}}
+
+    def known(self) -> tuple[float | None, float | None]:
+        starts, ends = (np.flatnonzero(~np.isnan(x[self.first:self.stop])) for x in (self.starts, self.ends))
+        return (
+            float(self.starts[self.first + starts[0]]) if len(starts) else None, float(self.ends[self.first + ends[-1]]) if len(ends) else None)
+
+
+def _known(words: Sequence[dict]) -> tuple[float | None, float | None]:
+    """The first start and the last end that some words have."""
+    if isinstance(words, TimedWords):
+        return words.known()
+    starts = (w["start"] for w in words if w.get("start") is not None)
+    ends = (w["end"] for w in reversed(words) if w.get("end") is not None)
+    return next(starts, None), next(ends, None)
+
+
+def _bounds_of(parts: Iterable[Sequence[dict]], start: float, end: float) -> tuple[float, float]:
+    known = [_known(words) for words in parts]
+    return next((a for a, _ in known if a is not None), start), next((b for _, b in reversed(known) if b is not None), end)
 
 
 def _piece(words: list[dict], separator: str, start: float, end: float) -> dict:
-    begin, stop = _bounds_of(words, start, end)
+    begin, stop = _bounds_of([words], start, end)
     return {"text": separator.join(w["word"] for w in words if w.get("word") is not None), "start": begin, "end": stop, "words": words}
 
 
@@ -139,8 +172,7 @@ def build_leaves(segments: list[dict], bounds: Bounds, language: str | None, cou
     out = []
     for span in gate([(n, p["start"], p["end"]) for p, n in parts], bounds):
         own = [p for p, _ in parts[span.first:span.stop]]
-        words = [w for p in own for w in p.get("words") or []]
-        start, end = _bounds_of(words, own[0]["start"], own[-1]["end"])
+        start, end = _bounds_of([p.get("words") or [] for p in own], own[0]["start"], own[-1]["end"])
         text = separator.join((p["text"] or "").strip() for p in own)
         out.append({"text": text, "start": start, "end": end, "tokens": sum(n for _, n in parts[span.first:span.stop]), "segments": len(own)})
     return out
@@ -170,6 +202,24 @@ def tier_column(seconds, tiers: Iterable[Tier] = Settings().tiers):
     return out
 
 
+def _flat_segments(segments: pa.Array) -> Iterator[list[dict]]:
+    """The segments of each row of an array<struct<text, start, end, words, ...>>, with words as ``TimedWords``."""
+    own = segments.flatten()
+    field = {n: own.field(n) for n in ("text", "start", "end")}
+    texts, starts, ends = field["text"].to_pylist(), field["start"].to_pylist(), field["end"].to_pylist()
+    words = own.field("words")
+    at = np.concatenate([[0], np.cumsum(pa.compute.fill_null(pa.compute.list_value_length(words), 0).to_numpy(zero_copy_only=False))]).astype(np.int64)
+    inner = words.flatten()
+    times = [inner.field(n).cast(pa.float64()).to_numpy(zero_copy_only=False) for n in ("start", "end")]
+    of_row = pa.compute.fill_null(pa.compute.list_value_length(segments), 0).to_pylist()
+    begin = 0
+    for n in of_row:
+        yield [
+            {"text": texts[i], "start": starts[i], "end": ends[i], "words": TimedWords(inner.field("word"), *times, int(at[i]), int(at[i + 1]))}
+            for i in range(begin, begin + n)]
+        begin += n
+
+
 _LEAF = "episode_id long, chunk_no int, text string, start double, end double, tokens int, segments int, parent_no int"
 
 
@@ -179,14 +229,14 @@ def index_transcripts(transcripts: DataFrame, settings: Settings = Settings(), p
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                tier = choose_tier(row["duration_seconds"], tiers)
-                own = build_leaves(row["segments"] or [], tier.leaf, row["language"], count, policy)
-                of = {i: p for p, g in enumerate(group_parents(own, tier.parent, row["language"], count, policy)) for i in g["leaf_indices"]}
-                if own:
-                    yield pa.RecordBatch.from_pylist([
-                        {"episode_id": row["episode_id"], "chunk_no": i, **c, "parent_no": of[i]} for i, c in enumerate(own)
-                    ], schema=schema)
+            rows: list[dict] = []
+            heads = zip(*(batch.column(i).to_pylist() for i in range(3)), _flat_segments(batch.column(3)), strict=True)
+            for episode, language, seconds, segments in heads:
+                tier = choose_tier(seconds, tiers)
+                own = build_leaves(segments, tier.leaf, language, count, policy)
+                of = {i: p for p, g in enumerate(group_parents(own, tier.parent, language, count, policy)) for i in g["leaf_indices"]}
+                rows += [{"episode_id": episode, "chunk_no": i, **c, "parent_no": of[i]} for i, c in enumerate(own)]
+            yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
     schema = pa.schema([
         ("episode_id", pa.int64()), ("chunk_no", pa.int32()), ("text", pa.string()), ("start", pa.float64()), ("end", pa.float64()),
@@ -197,13 +247,12 @@ def index_transcripts(transcripts: DataFrame, settings: Settings = Settings(), p
 def parents_of(leaves: DataFrame, policy: str = "parity") -> DataFrame:
     """Parent rows (episode_id, parent_no, start, end, leaf_indices, text) of indexed leaves with ``language``."""
     ordered = F.array_sort(F.collect_list(F.struct("chunk_no", "text")))
-    english = F.coalesce(F.col("language") == "en", F.lit(True)) if policy == "parity" else ~F.coalesce(F.lower("language").isin("zh", "ja"), F.lit(False))
     rows = leaves.groupBy("episode_id", "language", "parent_no").agg(
         F.min_by("start", "chunk_no").alias("start"), F.max_by("end", "chunk_no").alias("end"), ordered.alias("own"))
     texts = F.transform("own", lambda c: c["text"])
     return rows.select(
         "episode_id", "parent_no", "start", "end", F.transform("own", lambda c: c["chunk_no"]).alias("leaf_indices"),
-        F.when(english, F.array_join(texts, " ")).otherwise(F.array_join(texts, "")).alias("text"))
+        F.when(is_spaced(F.col("language"), policy), F.array_join(texts, " ")).otherwise(F.array_join(texts, "")).alias("text"))
 
 
 def gate_rows(segments: DataFrame, bounds: Bounds, veto: bool) -> DataFrame:

@@ -52,31 +52,43 @@ def case_policy(cases: DataFrame, minimums: dict[str, dict[str, float]], require
     """``cases`` (arm: search, context or none; observed, error, n_sources, metrics map) with ``passed``.
 
     All minimums hold inclusively and missing metrics fail; missing observations and errors always fail; a case
-    without gold passes if nothing is cited."""
+    without gold passes if nothing is cited. A needed metric of an observed case that isn't finite in [0, 1] is an error."""
     passed = F.lit(True)
     if require_abstention:
         passed = F.col("n_sources") == 0
     for arm, rules in minimums.items():
         good = F.lit(True)
         for metric, least in rules.items():
-            good = good & F.coalesce(F.try_element_at("metrics", F.lit(metric)) >= least, F.lit(False))
+            good = good & F.coalesce(_share(F.try_element_at("metrics", F.lit(metric)), metric) >= least, F.lit(False))
         passed = F.when(F.col("arm") == arm, good).otherwise(passed)
-    return cases.withColumn("passed", F.col("observed") & F.col("error").isNull() & F.coalesce(passed, F.lit(False)))
+    seen = F.coalesce(F.col("observed"), F.lit(False)) & F.col("error").isNull()
+    return cases.withColumn("passed", F.when(seen, F.coalesce(passed, F.lit(False))).otherwise(False))
+
+
+def _share(value: Column, metric: str) -> Column:
+    """``value``, or an error if it is not null and not finite in [0, 1]; nan is larger than any number."""
+    bad = F.raise_error(F.concat(F.lit(f"{metric}: value must be a finite number in [0, 1], not "), value.cast("string")))
+    return F.when(value.isNull() | value.between(0.0, 1.0), value).otherwise(bad.cast("double"))
 
 
 def means(cases: DataFrame, by: list[str] | None = None) -> DataFrame:
     """metric, value, eligible of ``cases`` (case_id, passed, observed, error, metrics): over all, or for each ``by``.
 
-    A metric's mean is over the cases that have it; the pass rate is over all, the failure rate over those observed."""
+    A metric's mean is over the cases that have it; the pass rate is over all, the failure rate over those observed.
+    The cases are read once."""
     by = by or []
-    scored = cases.select(*by, F.explode("metrics").alias("metric", "value")).groupBy(*by, "metric").agg(F.avg("value").alias("value"), F.count("*").alias("eligible"))
-    rate = cases.groupBy(*by).agg(F.avg(F.col("passed").cast("double")).alias("value"), F.count("*").alias("eligible"))
-    failed = cases.groupBy(*by).agg(
-        F.coalesce(F.try_divide(F.count_if(F.col("observed") & F.col("error").isNotNull()), F.count_if("observed")), F.lit(0.0)).alias("value"),
-        F.count_if("observed").alias("eligible"))
-    out = [scored.select(*by, "metric", "value", "eligible")]
-    out += [t.select(*by, F.lit(n).alias("metric"), "value", "eligible") for n, t in (("case_pass_rate", rate), ("provider_failure_rate", failed))]
-    return out[0].unionByName(out[1]).unionByName(out[2])
+
+    def entry(metric: Column, value: Column, counts: Column) -> Column:
+        return F.struct(metric.alias("metric"), value.alias("value"), counts.alias("counts"))
+
+    failed = F.when(F.col("observed"), F.col("error").isNotNull().cast("double"))
+    own = F.transform(F.map_entries("metrics"), lambda e: entry(e["key"], e["value"], F.lit(True)))
+    rates = F.array(
+        entry(F.lit("case_pass_rate"), F.col("passed").cast("double"), F.lit(True)),
+        entry(F.lit("provider_failure_rate"), failed, F.coalesce(F.col("observed"), F.lit(False))))
+    rows = cases.select(*by, F.inline(F.concat(F.coalesce(own, F.array().cast("array<struct<metric:string,value:double,counts:boolean>>")), rates)))
+    none = F.when(F.col("metric") == "provider_failure_rate", 0.0)
+    return rows.groupBy(*by, "metric").agg(F.avg("value").alias("value"), F.count_if("counts").alias("eligible")).withColumn("value", F.coalesce("value", none))
 
 
 def slices(cases: DataFrame) -> DataFrame:

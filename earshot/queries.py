@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .config import GATE_EPSILON, Bounds, Settings
@@ -104,16 +104,18 @@ for _name in ("recall", "precision", "mrr", "ndcg", "coverage"):
 
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """episode_id, segment_no, start, end of each line, in seconds."""
-    rows = src.segments(spark, sf_dir)
-    start = F.col("first_word") * src.WORD_MS / 1000
-    end = (F.col("first_word") + F.size("words")) * src.WORD_MS / 1000
-    return rows.select("episode_id", "language", "segment_no", start.alias("start"), end.alias("end"), "words")
+    return src.segments(spark, sf_dir).select("episode_id", "language", "segment_no", "start", "end", "words")
+
+
+def _total() -> Column:
+    """The end of the last line."""
+    return F.element_at("lines", -1)["end"]
 
 
 def _cited_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each episode as a case: gold are lines of 8 words or more, sources every second minute from the start."""
-    rows = _lines(spark, sf_dir).groupBy("episode_id").agg(
-        F.collect_list(F.when(F.size("words") >= 8, F.struct("start", "end"))).alias("gold"), F.max("end").alias("total"))
+    gold = F.transform(F.filter("lines", lambda s: F.size(s["words"]) >= 8), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
+    rows = src.timed(spark, sf_dir).select("episode_id", gold.alias("gold"), _total().alias("total"))
     minutes = F.sequence(F.lit(0), F.floor(F.col("total") / 120).cast("int"))
     sources = F.transform(minutes, lambda i: F.struct((i * 120.0).alias("start"), (i * 120.0 + 60).alias("end")))
     return metrics.citation_scores(rows.withColumn("sources", sources))
@@ -212,14 +214,13 @@ def duplicate_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _words(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = src.episodes(spark, sf_dir)
-    words = F.transform(F.regexp_extract_all("text", F.lit(tx.WORD), 0), lambda w: F.struct(w.alias("word")))
-    return rows.select("episode_id", "language", words.alias("words"))
+    return rows.select("episode_id", "language", F.regexp_extract_all("text", F.lit(tx.WORD), 0).alias("words"))
 
 
 @query
 def clean_fillers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = _words(spark, sf_dir).withColumn("kept", tx.without_fillers(F.col("words"), F.col("language")))
-    return kept.select("episode_id", F.size("kept").cast("long").alias("n_kept"), F.md5(tx.join_cleaned(F.col("kept"), F.col("language"))).alias("text_md5"))
+    kept = _words(spark, sf_dir).withColumn("kept", tx.without_fillers(F.col("words"), F.col("language"), None))
+    return kept.select("episode_id", F.size("kept").cast("long").alias("n_kept"), F.md5(tx.join_cleaned(F.col("kept"), F.col("language"), None)).alias("text_md5"))
 
 
 @query
@@ -251,9 +252,8 @@ def token_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def running_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _lines(spark, sf_dir).withColumn("n", F.size("words").cast("long"))
-    order = Window.partitionBy("episode_id").orderBy("segment_no").rowsBetween(Window.unboundedPreceding, 0)
-    return rows.select("episode_id", F.col("segment_no").cast("long").alias("segment_no"), F.sum("n").over(order).alias("running"))
+    rows = src.segments(spark, sf_dir)
+    return rows.select("episode_id", F.col("segment_no").cast("long").alias("segment_no"), (F.col("first_word") + F.size("words")).alias("running"))
 
 
 @query
@@ -266,8 +266,8 @@ def plain_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _gate_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _lines(spark, sf_dir).groupBy("episode_id").agg(F.array_sort(F.collect_list(F.struct("segment_no", F.size("words").alias("tokens"), "start", "end"))).alias("items"))
-    return rows
+    items = F.transform("lines", lambda s: F.struct(s["segment_no"].alias("segment_no"), F.size(s["words"]).alias("tokens"), s["start"].alias("start"), s["end"].alias("end")))
+    return src.timed(spark, sf_dir).select("episode_id", items.alias("items"))
 
 
 @query
@@ -282,13 +282,11 @@ def parent_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole transcripts: episode_id, language, duration_seconds, segments with timed words."""
-    rows = _lines(spark, sf_dir)
     step = src.WORD_MS / 1000
-    words = F.transform("words", lambda w, i: F.struct(w.alias("word"), (F.col("start") + i * step).alias("start"), (F.col("start") + (i + 1) * step).alias("end")))
-    rows = rows.groupBy("episode_id", "language").agg(
-        F.array_sort(F.collect_list(F.struct("segment_no", F.array_join("words", " ").alias("text"), "start", "end", words.alias("words")))).alias("segments"),
-        F.max("end").alias("duration_seconds"))
-    return rows
+    words = lambda s: F.transform(s["words"], lambda w, i: F.struct(w.alias("word"), (s["start"] + i * step).alias("start"), (s["start"] + (i + 1) * step).alias("end")))
+    segments = F.transform("lines", lambda s: F.struct(
+        s["segment_no"].alias("segment_no"), F.array_join(s["words"], " ").alias("text"), s["start"].alias("start"), s["end"].alias("end"), words(s).alias("words")))
+    return src.timed(spark, sf_dir).select("episode_id", "language", segments.alias("segments"), _total().alias("duration_seconds"))
 
 
 @query
@@ -323,7 +321,7 @@ def leaf_to_parent(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def tier_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    total = _lines(spark, sf_dir).groupBy("episode_id").agg(F.max("end").alias("seconds"))
+    total = src.timed(spark, sf_dir).select("episode_id", _total().alias("seconds"))
     return total.select("episode_id", chunking.tier_column(F.col("seconds")).alias("tier"))
 
 
@@ -347,9 +345,9 @@ def asr_tokenize(spark: SparkSession, sf_dir: str) -> DataFrame:
 def asr_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as recogniser output; the tokens of the tokeniser are given a timestamp each."""
     rows = src.episodes(spark, sf_dir).select(F.col("episode_id").alias("key"), "text")
-    timed = rows.join(asr.token_rows(rows).select("key", "n_tokens"), "key")
-    stamps = F.when(F.col("n_tokens") > 0, F.transform(F.sequence(F.lit(0), F.col("n_tokens").cast("int") - 1), lambda i: F.array(i.cast("long") * 400, i.cast("long") * 400 + 400)))
-    made = asr.segment_rows(timed.withColumn("timestamp", stamps))
+    n = asr.token_count(F.col("text"))
+    stamps = F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.array(i.cast("long") * 400, i.cast("long") * 400 + 400)))
+    made = asr.segment_rows(rows.withColumn("timestamp", stamps), words=False)
     return made.select("key", F.size("segments").alias("n_segments"), F.col("error"), F.get(F.col("segments")["end"], F.size("segments") - 1).alias("end"))
 
 
@@ -465,8 +463,9 @@ def answer_route(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each episode with the middle line of its own text as the fragment."""
-    rows = _lines(spark, sf_dir)
-    segments = rows.groupBy("episode_id").agg(F.array_sort(F.collect_list(F.struct("segment_no", F.array_join("words", " ").alias("text"), "start", "end"))).alias("segments"))
+    made = F.transform("lines", lambda s: F.struct(
+        s["segment_no"].alias("segment_no"), F.array_join(s["words"], " ").alias("text"), s["start"].alias("start"), s["end"].alias("end")))
+    segments = src.timed(spark, sf_dir).select("episode_id", made.alias("segments"))
     return segments.withColumn("fragment", F.get("segments", F.floor(F.size("segments") / 2).cast("int"))["text"])
 
 

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import WORD
+from ..functions.text import WORD, running
 
 #: Synthetic timing: a word takes so many milliseconds.
 WORD_MS = 400
@@ -22,16 +22,6 @@ def episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").select(F.col("doc_id").alias("episode_id"), F.col("source").alias("podcast_name"), F.col("lang").alias("language"), "text")
 
 
-def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """episode_id, podcast_name, language, segment_no, words, first_word: a row for each line of text that has words;
-    first_word is the number of words before it in the episode."""
-    rows = episodes(spark, sf_dir)
-    words = F.filter(F.transform(F.split("text", "\n"), lambda line: F.regexp_extract_all(line, F.lit(WORD), 0)), lambda w: F.size(w) > 0)
-    rows = rows.select("episode_id", "podcast_name", "language", F.posexplode(words).alias("segment_no", "words"))
-    before = Window.partitionBy("episode_id").orderBy("segment_no").rowsBetween(Window.unboundedPreceding, -1)
-    return rows.withColumn("first_word", F.coalesce(F.sum(F.size("words")).over(before), F.lit(0)).cast("long"))
-
-
 def transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """episode_id, podcast_name, language, lines: the words of each line that has some, a row an episode."""
     rows = episodes(spark, sf_dir)
@@ -39,6 +29,23 @@ def transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("episode_id", "podcast_name", "language", lines.alias("lines"))
 
 
+def timed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """episode_id, podcast_name, language, lines: (segment_no, words, first_word, start, end) of each line that has
+    words, in seconds; first_word is the number of words before it. Nothing is shuffled; episodes without lines go."""
+    rows = transcripts(spark, sf_dir).where(F.size("lines") > 0)
+    sizes = F.transform("lines", lambda w: F.size(w))
+    rows = rows.withColumn("firsts", running(sizes))
+    made = F.transform(F.arrays_zip("lines", "firsts"), lambda x, i: F.struct(
+        i.alias("segment_no"), x["lines"].alias("words"), x["firsts"].alias("first_word"), (x["firsts"] * WORD_MS / 1000).alias("start"),
+        ((x["firsts"] + F.size(x["lines"])) * WORD_MS / 1000).alias("end")))
+    return rows.select("episode_id", "podcast_name", "language", made.alias("lines"))
+
+
+def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``timed`` with a row a line."""
+    return timed(spark, sf_dir).select("episode_id", "podcast_name", "language", F.inline("lines"))
+
+
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """chunk_id, parent_id, embedding (array<double>); a label is a parent."""
     return read(spark, sf_dir, "embeddings").select(
