@@ -134,7 +134,7 @@ def eval_citation_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labelled documents as cases: quality says whether one was observed, toxic whether the provider failed; its
     metric is the share of distinct words, its tags language and source."""
-    docs = src.episodes(spark, sf_dir)
+    docs = src.dealt(src.episodes(spark, sf_dir))
     labels = src.read(spark, sf_dir, "labels").select(F.col("doc_id").alias("episode_id"), "quality", "toxic")
     words = F.regexp_extract_all("text", F.lit(tx.WORD), 0)
     share = F.coalesce(F.try_divide(F.size(F.array_distinct(words)), F.size(words)), F.lit(0.0))
@@ -213,7 +213,7 @@ def duplicate_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = src.episodes(spark, sf_dir)
+    rows = src.dealt(src.episodes(spark, sf_dir))
     return rows.select("episode_id", "language", F.regexp_extract_all("text", F.lit(tx.WORD), 0).alias("words"))
 
 
@@ -233,7 +233,7 @@ def join_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return src.episodes(spark, sf_dir).select("episode_id", F.coalesce(tx.token_count(F.col("text")), F.lit(0)).alias("n_tokens"))
+    return src.dealt(src.episodes(spark, sf_dir)).select("episode_id", F.coalesce(tx.token_count(F.col("text")), F.lit(0)).alias("n_tokens"))
 
 
 @query
@@ -338,13 +338,13 @@ def failed_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def asr_tokenize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return asr.token_rows(src.episodes(spark, sf_dir).select(F.col("episode_id").alias("key"), "text"))
+    return asr.token_rows(src.dealt(src.episodes(spark, sf_dir)).select(F.col("episode_id").alias("key"), "text"))
 
 
 @query
 def asr_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as recogniser output; the tokens of the tokeniser are given a timestamp each."""
-    rows = src.episodes(spark, sf_dir).select(F.col("episode_id").alias("key"), "text")
+    rows = src.dealt(src.episodes(spark, sf_dir)).select(F.col("episode_id").alias("key"), "text")
     n = asr.token_count(F.col("text"))
     stamps = F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.array(i.cast("long") * 400, i.cast("long") * 400 + 400)))
     made = asr.segment_rows(rows.withColumn("timestamp", stamps), words=False)

@@ -22,9 +22,16 @@ def episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").select(F.col("doc_id").alias("episode_id"), F.col("source").alias("podcast_name"), F.col("lang").alias("language"), "text")
 
 
+def dealt(rows: DataFrame, key: str = "episode_id") -> DataFrame:
+    """``rows`` for work that is heavy a row: a table of fewer files than there are cores is dealt over the cores, as a
+    file of one row group would be one task; others stay as they are scanned."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores, key) if len(rows.inputFiles()) < cores else rows
+
+
 def transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """episode_id, podcast_name, language, lines: the words of each line that has some, a row an episode."""
-    rows = episodes(spark, sf_dir)
+    rows = dealt(episodes(spark, sf_dir))
     lines = F.filter(F.transform(F.split("text", "\n"), lambda line: F.regexp_extract_all(line, F.lit(WORD), 0)), lambda w: F.size(w) > 0)
     return rows.select("episode_id", "podcast_name", "language", lines.alias("lines"))
 
