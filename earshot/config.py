@@ -25,6 +25,9 @@ SEGMENT_MARKS = "。？！.?!"
 SNAP_SHARE = 0.15
 FUZZY_SHARE = 0.7
 MESSAGE_TOKENS = 4
+QUERY_PREFIX = "Represent this sentence for searching relevant passages: "
+CHINESE = ("zh",)
+ZONE_HOURS = {"UT": 0, "UTC": 0, "GMT": 0, "Z": 0, "EST": -5, "EDT": -4, "CST": -6, "CDT": -5, "MST": -7, "MDT": -6, "PST": -8, "PDT": -7}
 METRIC_FLOORS = {"case_pass_rate": 0.5, "citation_hit": 0.5, "citation_precision": 0.5, "recall@{k}": 0.4, "precision@{k}": 0.4, "gold_chunk_coverage": 0.6}
 MOST_FAILURES, MOST_REGRESSION, GATE_EPSILON = 0.3, 0.15, 1e-12
 

@@ -244,6 +244,16 @@ def index_transcripts(transcripts: DataFrame, settings: Settings = Settings(), p
     return transcripts.select("episode_id", "language", "duration_seconds", "segments").mapInArrow(task, _LEAF)
 
 
+#: Ways to chunk by name; each is called as ``index_transcripts`` is.
+CHUNKERS: dict[str, Callable[..., DataFrame]] = {"size_based": index_transcripts}
+
+
+def create_chunker(strategy: str = "size_based") -> Callable[..., DataFrame]:
+    if strategy not in CHUNKERS:
+        raise ValueError(f"unknown chunking strategy: {strategy!r}")
+    return CHUNKERS[strategy]
+
+
 def parents_of(leaves: DataFrame, policy: str = "parity") -> DataFrame:
     """Parent rows (episode_id, parent_no, start, end, leaf_indices, text) of indexed leaves with ``language``."""
     ordered = F.array_sort(F.collect_list(F.struct("chunk_no", "text")))

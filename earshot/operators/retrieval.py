@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -12,8 +12,12 @@ from pyspark.sql import functions as F
 from ..config import Settings
 from ..functions import vectors
 
-#: Questions that are broadcast at once; more are taken in turns.
-QUESTIONS_AT_ONCE = 4096
+#: Questions, and values of their vectors (64 MB), that are broadcast at once; more are taken in turns.
+QUESTIONS_AT_ONCE, MOST_VALUES = 4096, 1 << 23
+#: Columns of questions that narrow them to chunks with the same value.
+SCOPES = ("episode_id", "podcast_name")
+#: Questions, chunks and k to query_id, chunk_id, parent_id, distance, rank.
+Recaller = Callable[[DataFrame, DataFrame, int], DataFrame]
 
 
 def in_scope(chunks: DataFrame, podcast: str | None = None, episode_id: int | None = None) -> DataFrame:
@@ -35,11 +39,14 @@ def top_k(chunks: DataFrame, vector: Sequence[float], k: int, mode: str = "dista
 def recall(questions: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
     """For each question (query_id, vector) its k nearest chunks: query_id, chunk_id, parent_id, distance, rank.
 
-    The questions are broadcast, QUESTIONS_AT_ONCE at a time, and each batch of chunks keeps its k best of each,
-    so that only k rows a question and batch are shuffled.
+    Questions may have a scope: columns of SCOPES that chunks have too; where one isn't null, only chunks with that
+    value count. The questions are broadcast in turns of QUESTIONS_AT_ONCE and MOST_VALUES at most, and each batch of
+    chunks keeps its k best of each, so that only k rows a question and batch are shuffled.
     """
-    turns = max(1, -(-questions.count() // QUESTIONS_AT_ONCE))
-    asked = questions.select("query_id", "vector")
+    scopes = [c for c in SCOPES if c in questions.columns and c in chunks.columns]
+    asked = questions.select("query_id", "vector", *[F.col(c).cast("string") for c in scopes])
+    n, dim = asked.agg(F.count("*"), F.coalesce(F.max(F.size("vector")), F.lit(1))).first()
+    turns = max(1, -(-n // max(1, min(QUESTIONS_AT_ONCE, MOST_VALUES // max(1, dim)))))
     best = None
     for turn in range(turns):
         part = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(turns)) == turn).toArrow() if turns > 1 else asked.toArrow()
@@ -47,8 +54,10 @@ def recall(questions: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
             continue
         ids = part.column("query_id").to_numpy()
         matrix = np.array(part.column("vector").to_pylist(), float)
-        shared = chunks.sparkSession.sparkContext.broadcast((ids, matrix))
-        found = chunks.select("chunk_id", "parent_id", "embedding").mapInArrow(_nearest(shared, k), "query_id long, chunk_id long, parent_id long, distance double")
+        wanted = [part.column(c).to_pylist() for c in scopes]
+        shared = chunks.sparkSession.sparkContext.broadcast((ids, matrix, wanted))
+        rows = chunks.select("chunk_id", "parent_id", "embedding", *[F.col(c).cast("string") for c in scopes])
+        found = rows.mapInArrow(_nearest(shared, k), "query_id long, chunk_id long, parent_id long, distance double")
         best = found if best is None else best.unionByName(found)
     if best is None:
         best = chunks.sparkSession.createDataFrame([], "query_id long, chunk_id long, parent_id long, distance double")
@@ -58,28 +67,50 @@ def recall(questions: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
 
 def _nearest(shared, k: int):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        asked, matrix = shared.value
+        asked, matrix, wanted = shared.value
         unit = matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300)
         for batch in batches:
             if not batch.num_rows:
                 continue
-            chunk, parent = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            chunk = batch.column(0).to_numpy(zero_copy_only=False)
             own = batch.column(2).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
             size = np.linalg.norm(own, axis=1)
-            keep = size > 0
-            chunk, parent, own = chunk[keep], parent[keep], own[keep] / size[keep, None]
-            if not len(chunk):
+            kept = np.flatnonzero(size > 0)
+            if not len(kept):
                 continue
+            chunk, own = chunk[kept], own[kept] / size[kept, None]
             distance = np.round(1 - unit @ own.T, vectors.DECIMALS) + 0.0  # no negative zero
-            for row, query in enumerate(asked):
-                at = np.lexsort((chunk, distance[row]))[:k]
-                yield pa.RecordBatch.from_pydict({
-                    "query_id": pa.array(np.full(len(at), query), pa.int64()), "chunk_id": pa.array(chunk[at], pa.int64()),
-                    "parent_id": pa.array(parent[at], pa.int64()), "distance": distance[row][at]})
+            for i, values in enumerate(wanted):
+                here = np.array(batch.column(3 + i).to_pylist(), object)[kept]
+                for row, value in enumerate(values):
+                    if value is not None:
+                        distance[row, here != value] = np.inf
+            rows, places = [], []
+            for row in range(len(asked)):
+                near = np.flatnonzero(distance[row] < np.inf)
+                if len(near) > k:
+                    near = near[distance[row, near] <= np.partition(distance[row, near], k - 1)[k - 1]]
+                near = near[np.lexsort((chunk[near], distance[row, near]))[:k]]
+                rows.append(np.full(len(near), row))
+                places.append(near)
+            row, at = np.concatenate(rows), np.concatenate(places)
+            yield pa.RecordBatch.from_pydict({
+                "query_id": pa.array(asked[row], pa.int64()), "chunk_id": pa.array(chunk[at], pa.int64()),
+                "parent_id": batch.column(1).take(pa.array(kept[at])).cast(pa.int64()), "distance": distance[row, at]})
 
     return task
 
 
+#: Ways to recall by name; each is called as ``recall`` is.
+RECALLERS: dict[str, Recaller] = {"exact": recall}
+
+
+def create_recaller(strategy: str = "exact") -> Recaller:
+    if strategy not in RECALLERS:
+        raise ValueError(f"unknown recall strategy: {strategy!r}")
+    return RECALLERS[strategy]
+
+
 def auto_merge(candidates: DataFrame, parents: DataFrame | None = None, threshold: int = 2, mode: str = "distance") -> DataFrame:
     """Siblings give way to their parent: where a question's candidates hold ``threshold`` children of a parent
     that exists, one row takes the place of the first. Columns: query_id, slot, level, id, score, children.
@@ -107,8 +138,8 @@ def trim(merged: DataFrame, k: int) -> DataFrame:
     return merged.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).drop("slot")
 
 
-def search(questions: DataFrame, chunks: DataFrame, settings: Settings = Settings(), parents: DataFrame | None = None) -> DataFrame:
+def search(questions: DataFrame, chunks: DataFrame, settings: Settings = Settings(), parents: DataFrame | None = None, recaller: Recaller = recall) -> DataFrame:
     """Recall a multiple of k, merge siblings, keep k: query_id, rank, level, id, score, children."""
-    found = recall(questions, chunks, settings.top_k * settings.candidates)
+    found = recaller(questions, chunks, settings.top_k * settings.candidates)
     found = found.withColumn("score", vectors.score(F.col("distance"), settings.score_mode))
     return trim(auto_merge(found, parents, settings.merge_threshold, settings.score_mode), settings.top_k)

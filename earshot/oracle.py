@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from .plans.qa import TRANSCRIPT_PROMPT
+
+_PROMPT = TRANSCRIPT_PROMPT.replace("'", "''")
 WORD = r"[^\x20\x09-\x0D]+"
 TOKEN = r"[\x{3400}-\x{9fff}]|[^\s\x{3400}-\x{9fff}]+"
 STRIP = "'!\"#$%&''()*+,-./:;<=>?@[\\]^_`{|}~ ' || chr(9) || chr(10) || chr(13) || chr(11) || chr(12) || '，。！？；：、…“”‘’（）《》【】—～·'"
@@ -57,6 +60,15 @@ l AS (
 ),
 t AS (SELECT episode_id, lang, segment_no, n, words, first_word * 400 / 1000 AS start, (first_word + n) * 400 / 1000 AS "end" FROM l)
 """
+#: Documents as recogniser output: a half-width mark before a letter or digit is no mark and becomes another character;
+#: then tokens are found with the marks and white space that follow them, and what stands before the first.
+_SPACES = r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+_MARK_SET = "，。？！、；：…,.?!;:"
+_ASR = rf"""
+WITH r AS (SELECT doc_id AS key, regexp_replace(coalesce(text, ''), '[,.?!;:]([0-9A-Za-z])', chr(1) || '\1', 'g') AS t FROM documents),
+a AS (SELECT key, t, regexp_extract(t, '^[{_SPACES}{_MARK_SET}]*') AS lead,
+  list_transform(regexp_extract_all(t, '(?:[^{_SPACES}{_MARK_SET}\x{{80}}-\x{{10ffff}}]+|[^{_SPACES}{_MARK_SET}])(?:[{_SPACES}]*[{_MARK_SET}])*'), lambda x: x) AS tokens FROM r)
+"""
 _CITED = _LINES + """,
 g AS (SELECT episode_id, list({'s': start, 'e': "end"}) FILTER (n >= 8) AS gold, max("end") AS total FROM t GROUP BY 1),
 c AS (SELECT episode_id, coalesce(gold, []) AS gold, list_transform(range(floor(total / 120)::BIGINT + 1), lambda i: {'s': i * 120.0, 'e': i * 120.0 + 60}) AS sources FROM g)
@@ -218,5 +230,37 @@ FROM x JOIN o USING (episode_id) GROUP BY x.episode_id, x.pos, x.wanted""",
     "event_windows": "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 6) AS total FROM (SELECT DISTINCT ON (event_id) * FROM events) GROUP BY 1, 2",
     "inventory_dump": "SELECT vec_id AS chunk_id, label::BIGINT AS parent_id, doc_id AS episode_id, source AS podcast_name, lang AS language FROM embeddings JOIN documents ON doc_id = vec_id",
     "result_projection": _ONE + f" SELECT rank, chunk_id, '/audio/' || chunk_id AS audio_url FROM ({_TOP.format(t='d')})",
+    "poll_downloaded": "SELECT doc_id AS episode_id FROM documents WHERE doc_id % 3 = 0",
+    "transcript_dump": _LINES + "SELECT episode_id, any_value(source) AS podcast_name, any_value(t.lang) AS language, CASE WHEN episode_id % 3 = 0 THEN 'downloaded' ELSE 'done' END AS transcript_status, count(*)::INT AS n_segments FROM t JOIN documents ON doc_id = episode_id GROUP BY episode_id",
+    "gold_segments": _LINES + "SELECT DISTINCT episode_id, episode_id % 3 <> 0 AS found FROM t",
+    "published_dates": """
+SELECT event_id, date_trunc('second', ts) + CASE event_id % 4 WHEN 0 THEN INTERVAL 0 MINUTE WHEN 1 THEN INTERVAL (-150) MINUTE WHEN 2 THEN INTERVAL 420 MINUTE ELSE INTERVAL 300 MINUTE END AS published FROM events""",
+    "resolve_apple": """
+WITH l AS (SELECT page_id AS n, page_id::VARCHAR AS id, page_id % 2 = 0 AS episode FROM pages),
+e AS (SELECT *, CASE WHEN n % 7 = 0 THEN 'no such podcast' WHEN n % 7 = 1 THEN 'the podcast has no feed' WHEN episode AND n % 3 = 0 THEN 'the episode isn''t among the latest'
+  WHEN episode AND n % 3 = 1 THEN 'the episode has no guid' END AS error FROM l)
+SELECT 'https://podcasts.apple.com/us/podcast/x/id' || id || CASE WHEN episode THEN '?i=' || id ELSE '' END AS url,
+  CASE WHEN error IS NULL THEN 'http://f/' || id END AS feed_url, CASE WHEN error IS NULL AND episode THEN 'g' || id END AS guid, error FROM e""",
+    "ingest_feeds": f"""
+WITH i AS (SELECT {_HOST} AS feed, page_id, regexp_extract(url, '^[^?#]+') AS guid FROM pages),
+t AS (SELECT * FROM i QUALIFY row_number() OVER (PARTITION BY feed ORDER BY page_id) <= 3),
+f AS (SELECT DISTINCT feed, guid FROM t WHERE page_id % 5 <> 0 AND NOT EXISTS (SELECT 1 FROM i k WHERE k.feed = t.feed AND k.guid = t.guid AND k.page_id % 3 = 0))
+SELECT t.feed, (SELECT count(*) FROM f WHERE f.feed = t.feed) AS new_episodes, count(*) - (SELECT count(*) FROM f WHERE f.feed = t.feed) AS skipped,
+  EXISTS (SELECT 1 FROM i WHERE i.feed = t.feed AND i.page_id % 2 = 0) AS already_imported
+FROM t GROUP BY t.feed""",
+    "answer_arms": f"""
+WITH h AS (SELECT conv_id, count(*) AS m, sum(4 + len(regexp_extract_all(role || ' ' || coalesce(text, ''), '{TOKEN}'))) AS n FROM conversations GROUP BY 1),
+d AS (SELECT doc_id AS query_id, length(text) > 0 AS full_text, coalesce(m, 0) AS m,
+        coalesce(n, 0) + 8 + len(regexp_extract_all('system {_PROMPT}', '{TOKEN}')) + 5 + len(regexp_extract_all(text, '{TOKEN}')) AS n
+      FROM documents LEFT JOIN h ON conv_id = doc_id)
+SELECT query_id, CASE WHEN full_text AND n <= 700 THEN 'full-context' ELSE 'search' END AS arm, (CASE WHEN full_text AND n <= 700 THEN m + 2 ELSE 0 END)::INT AS n_messages FROM d""",
+    "language_route": """
+WITH t AS (SELECT conv_id, turn, CASE WHEN (conv_id + turn) % 11 = 0 THEN 'zh' WHEN turn % 3 = 0 THEN 'fr' ELSE 'en' END AS heard FROM conversations)
+SELECT conv_id, CASE WHEN bool_or(heard = 'zh') THEN 'zh' ELSE arg_max(heard, turn) END AS language FROM t GROUP BY 1""",
+    "asr_tokenize": _ASR + """
+SELECT key, len(tokens) AS n_tokens, len(regexp_extract_all(t, '[%s]')) - len(regexp_extract_all(lead, '[%s]')) AS n_marks FROM a""" % (_MARK_SET, _MARK_SET),
+    "asr_segments": _ASR + """
+SELECT key::VARCHAR AS key, (len(list_filter(tokens, lambda x: regexp_matches(x, '[。？！.?!]$'))) + CASE WHEN len(tokens) > 0 AND NOT regexp_matches(tokens[-1], '[。？！.?!]$') THEN 1 ELSE 0 END)::INT AS n_segments,
+  NULL::VARCHAR AS error, CASE WHEN len(tokens) > 0 THEN len(tokens) * 400 / 1000 END AS "end" FROM a""",
     "set_algebra": "SELECT CASE WHEN doc_id IS NOT NULL AND vec_id IS NOT NULL THEN 'both' WHEN doc_id IS NOT NULL THEN 'labels' ELSE 'embeddings' END AS side, count(*) AS n FROM labels FULL JOIN embeddings ON doc_id = vec_id GROUP BY 1",
 }

@@ -5,14 +5,17 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import ArrayType, FloatType, StructField, StructType
 
 from ..config import Settings
 from ..functions.text import join_cleaned, without_fillers
 from ..operators.chunking import index_transcripts, parents_of, tier_column
+from ..sources.feeds import parse_transcripts
 from ..sources.storage import replace_chunks
+from ..streaming.queue import claim, ready, run_queue
 
 Embed = Callable[[list[str]], list[list[float]]]
 
@@ -50,14 +53,35 @@ def embed_texts(rows: DataFrame, embed: Embed, dim: int, batch: int = 32) -> Dat
     return rows.mapInArrow(task, StructType([*rows.schema.fields, StructField("embedding", ArrayType(FloatType()))]))
 
 
-def index_episodes(transcripts: DataFrame, embed: Embed, dim: int, path: str, run: str, settings: Settings = Settings()) -> DataFrame:
+def index_episodes(
+    transcripts: DataFrame, embed: Embed, dim: int, path: str, run: str, settings: Settings = Settings(), chunker: Callable[..., DataFrame] = index_transcripts,
+) -> DataFrame:
     """Index ``transcripts`` (episode_id, language, duration_seconds, segments) into ``path``; the episodes' new
     statuses: episode_id, index_status, reason. Episodes that fail are not stored."""
     cleaned = clean_segments(transcripts.withColumn("__raw", F.col("segments")))
     judged = cleaned.withColumn("reason", failure(F.col("__raw"), F.col("segments"), F.col("duration_seconds"), settings.tiers)).drop("__raw")
-    leaves = index_transcripts(judged.where("reason is null"), settings)
+    leaves = chunker(judged.where("reason is null"), settings)
     leaves = leaves.join(judged.select("episode_id", "language"), "episode_id")
     parents = parents_of(leaves)
     replace_chunks(embed_texts(leaves, embed, dim, settings.embed_batch), parents, path, run)
     status = F.when(F.col("reason").isNull(), "done").otherwise("failed")
     return judged.select("episode_id", status.alias("index_status"), "reason")
+
+
+def index_queue(spark: SparkSession, source: str, embed: Embed, dim: int, path: str, checkpoint: str, settings: Settings = Settings(), once: bool = True, **how) -> StreamingQuery:
+    """Index the ready episodes that arrive in ``source`` (Parquet, columns EPISODE): each batch is claimed, indexed
+    into ``path``, and its new statuses are appended to ``path/status`` under the batch's name, so that a batch that is
+    tried again writes the same files again."""
+
+    def index(batch: DataFrame, name: str) -> None:
+        due = ready(batch)
+        claimed = claim(batch, due).where("index_status = 'processing'").join(due.select("episode_id"), "episode_id", "left_semi")
+        rows = parse_transcripts(claimed).withColumn("duration_seconds", F.col("duration_seconds").cast("double"))
+        states = index_episodes(rows.select("episode_id", "language", "duration_seconds", "segments"), embed, dim, path, name, settings, **how)
+        states.withColumn("run", F.lit(name)).write.mode("overwrite").parquet(f"{path}/status/{name}")
+
+    return run_queue(spark, source, EPISODE, index, checkpoint, once, settings.poll_seconds)
+
+
+#: Episodes as the queue stores them.
+EPISODE = "episode_id long, language string, duration_seconds long, transcript_status string, index_status string, transcript_data string"

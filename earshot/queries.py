@@ -12,7 +12,8 @@ from .functions import feed as fx
 from .functions import text as tx
 from .functions import vectors as vx
 from .operators import asr, chunking, citations, gates, ingestion, metrics, retrieval
-from .plans import indexing, qa
+from .plans import indexing, ingestion as feed_plan, qa, transcription
+from .sources import feeds
 from .sources import tables as src
 from .streaming import queue
 
@@ -425,6 +426,90 @@ def language_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingestion.backfill_language(src.chunks(spark, sf_dir).select("chunk_id", F.col("chunk_id").alias("episode_id")), src.episodes(spark, sf_dir))
 
 
+# Feeds, answers and transcription as plans
+
+
+def _rfc822(at: Column, zone: str) -> Column:
+    return F.concat(F.date_format(at, "EEE, dd MMM yyyy HH:mm:ss"), F.lit(f" {zone}"))
+
+
+@query
+def published_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events' times as dates of feeds, in several zones; they come back as UTC."""
+    at, n = F.col("ts").cast("timestamp"), F.col("event_id")
+    raw = F.when(n % 4 == 0, _rfc822(at, "GMT")).when(n % 4 == 1, _rfc822(at, "+0230")).when(n % 4 == 2, _rfc822(at, "-0700")).otherwise(_rfc822(at, "EST"))
+    return src.read(spark, sf_dir, "events").select("event_id", feeds.published(raw).alias("published"))
+
+
+@query
+def resolve_apple(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links to each page as a podcast, every second to an episode; lookups lack some podcasts, feeds, episodes, guids."""
+    pages = src.read(spark, sf_dir, "pages").select(F.col("page_id").alias("n"), F.col("page_id").cast("string").alias("id"))
+    links = pages.select(F.concat(F.lit("https://podcasts.apple.com/us/podcast/x/id"), "id", F.when(F.col("n") % 2 == 0, F.concat(F.lit("?i="), "id")).otherwise("")).alias("url"))
+    feed = F.when(F.col("n") % 7 == 0, F.lit("[]")).when(F.col("n") % 7 == 1, F.lit("[{}]")).otherwise(F.concat(F.lit('[{"feedUrl": "http://f/'), "id", F.lit('"}]')))
+    hit = F.concat(F.lit('{"trackId": '), "id", F.when(F.col("n") % 3 == 1, F.lit("}")).otherwise(F.concat(F.lit(', "episodeGuid": "g'), "id", F.lit('"}'))))
+    body = lambda found: F.concat(F.lit('{"results": '), found, F.lit("}"))
+    podcasts = pages.select(F.col("id").alias("collection_id"), body(feed).alias("body"))
+    tracks = F.concat(F.lit('[{"trackId": -1}'), F.when(F.col("n") % 3 == 0, F.lit("")).otherwise(F.concat(F.lit(", "), hit)), F.lit("]"))
+    episodes = pages.select(F.col("id").alias("collection_id"), F.col("id").alias("track"), body(tracks).alias("body"))
+    return feeds.resolve_links(links, podcasts, episodes)
+
+
+@query
+def ingest_feeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of each host as its feed, of which three items are taken; every third page is known."""
+    items = src.feed_items(spark, sf_dir).select(
+        "feed", F.col("item_id").alias("position"), "title", F.regexp_extract("url", "^[^?#]+", 0).alias("guid"),
+        F.when(F.col("item_id") % 5 == 0, "").otherwise(F.col("url")).alias("url"),
+        F.col("feed").alias("podcast"), F.lit("a").alias("author"), F.lit(None).cast("string").alias("cover_url"))
+    asked = items.select("feed").distinct().withColumn("target", F.lit(None).cast("string"))
+    stored = items.where("position % 2 = 0").select(F.col("feed").alias("rss_url")).distinct().withColumns({c: F.lit(None).cast("string") for c in ("name", "author", "cover_url")})
+    return feed_plan.ingest(asked, items, stored, items.where("position % 3 = 0"), 3).counts
+
+
+@query
+def answer_arms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Questions about documents, with the turns of the conversation of the same number as their history."""
+    turns = src.read(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("query_id")).agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
+    history = turns.select("query_id", F.transform("turns", lambda t: F.struct(t["role"].alias("role"), F.coalesce(t["text"], F.lit("")).alias("content"))).alias("history"))
+    docs = src.episodes(spark, sf_dir)
+    asked = docs.select(F.col("episode_id").alias("query_id"), F.lit("what is said").alias("question"), "episode_id").join(history, "query_id", "left")
+    contexts = docs.select("episode_id", F.col("text").alias("transcript"), F.array().cast("array<struct<text:string,start:double,end:double>>").alias("segments"))
+    planned = qa.plan_arms(asked, contexts, Settings(context_tokens=2748))
+    return planned.select("query_id", "arm", F.coalesce(F.size("prompt"), F.lit(0)).alias("n_messages"))
+
+
+@query
+def language_route(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns of a conversation as windows of a recording, each with a language."""
+    turns = src.read(spark, sf_dir, "conversations")
+    heard = F.when((F.col("conv_id") + F.col("turn")) % 11 == 0, "zh").when(F.col("turn") % 3 == 0, "fr").when(F.col("turn") % 3 == 1, "")
+    rows = turns.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", heard.alias("heard")))), lambda t: t["heard"]).alias("heard"))
+    return rows.select("conv_id", transcription.route_language(F.col("heard")).alias("language"))
+
+
+@query
+def poll_downloaded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return queue.downloaded(_work(spark, sf_dir)).select("episode_id")
+
+
+@query
+def transcript_dump(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Episodes that have a transcript, with its size, as dumped for review."""
+    rows = src.timed(spark, sf_dir).join(_work(spark, sf_dir), "episode_id")
+    return rows.select("episode_id", "podcast_name", "language", "transcript_status", F.size("lines").alias("n_segments"))
+
+
+@query
+def gold_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each episode's last line as its gold segment, in every third a little late: whether a segment has just its times."""
+    rows = src.timed(spark, sf_dir)
+    last = F.element_at("lines", -1)
+    late = F.when(F.col("episode_id") % 3 == 0, 0.1).otherwise(0.0)
+    found = F.exists("lines", lambda s: (s["start"] == last["start"]) & (s["end"] == last["end"] + late))
+    return rows.select("episode_id", found.alias("found"))
+
+
 # Citations and routing
 
 

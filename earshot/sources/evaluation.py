@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
-from dataclasses import dataclass, fields
+from dataclasses import asdict, dataclass, fields
 from pathlib import Path
 from typing import Any
 
@@ -32,6 +32,8 @@ class Source:
     chunk_id: int | None = None
     level: str = "leaf"
     child_chunk_ids: tuple[int, ...] = ()
+    episode_id: int | None = None
+    text: str | None = None
 
 
 @dataclass(frozen=True)
@@ -41,6 +43,16 @@ class Observation:
     answer_text: str
     sources: tuple[Source, ...]
     error: str | None = None
+    duration_ms: int | None = None
+
+
+@dataclass(frozen=True)
+class Bundle:
+    """The observations of a run, and what they are of."""
+
+    dataset_fingerprint: str
+    provenance: str
+    observations: tuple[Observation, ...]
 
 
 def fingerprint(dataset: Any) -> str:
@@ -108,6 +120,47 @@ def load_dataset(path: str | Path) -> tuple[list[Case], str]:
     return cases, fingerprint(raw)
 
 
+def load_bundle(path: str | Path) -> Bundle:
+    """Observations from a file, strictly: unknown keys and other arms or origins are errors."""
+    raw = read_json(path)
+    try:
+        strict(Bundle, raw)
+        observations = []
+        for o in raw["observations"]:
+            sources = tuple(Source(**strict(Source, s) | {"child_chunk_ids": tuple(s.get("child_chunk_ids") or ())}) for s in strict(Observation, o)["sources"])
+            observations.append(Observation(**o | {"sources": sources}))
+        bundle = Bundle(**raw | {"observations": tuple(observations)})
+    except (KeyError, TypeError, AttributeError) as e:
+        raise ContractError(f"{path}: {e}") from e
+    if bundle.provenance not in ("contract_smoke", "live") or any(o.arm not in ("full-context", "search") for o in bundle.observations):
+        raise ContractError(f"{path}: unknown provenance or arm")
+    return bundle
+
+
+def save_bundle(path: Path, bundle: Bundle) -> None:
+    write_whole(Path(path), json.dumps(asdict(bundle), ensure_ascii=False, indent=2) + "\n")
+
+
+def gold_problems(cases: list[Case], chunks: dict[int, tuple[int, int]], spans: dict[int, set[tuple[float, float]]]) -> dict[str, tuple[list[str], list[str]]]:
+    """Of each case, problems (gold chunks that don't exist; gold segments that aren't, to the very times, among the
+    cleaned segments of its episode) and warnings (gold chunks outside the scope). ``chunks``: id to episode and
+    podcast; ``spans``: episode to the (start, end) of its segments."""
+    out = {}
+    for c in cases:
+        problems, warnings = [], []
+        for g in c.gold_chunks or ():
+            if g not in chunks:
+                problems.append(f"chunk {g} not found")
+                continue
+            for name, own in zip(("episode_id", "podcast_id"), chunks[g], strict=True):
+                if name in c.scope and c.scope[name] != own:
+                    warnings.append(f"chunk {g} is in {name.removesuffix('_id')} {own}, outside scope")
+        episode = c.scope.get("episode_id")
+        problems += [f"segment [{a}, {b}] not in episode {episode}" for a, b in c.gold_segments or () if (a, b) not in spans.get(episode, set())]
+        out[c.id] = (problems, warnings)
+    return out
+
+
 def load_policy(path: str | Path) -> GatePolicy:
     raw = strict(GatePolicy, read_json(path))
     policy = GatePolicy(raw["k"], tuple(MetricGate(**strict(MetricGate, g)) for g in raw["metric_gates"]), raw["critical_no_regression"], tuple(raw["required_provenance"]))

@@ -25,11 +25,16 @@ def next_ready(episodes: DataFrame) -> DataFrame:
     return ready(episodes).limit(1)
 
 
-def claim(episodes: DataFrame, ids: DataFrame) -> DataFrame:
-    """``episodes`` where those of ``ids`` that are pending are now processing; others stay."""
+def downloaded(episodes: DataFrame) -> DataFrame:
+    """Episodes whose audio waits to be transcribed, by id."""
+    return episodes.where("transcript_status = 'downloaded'").orderBy("episode_id")
+
+
+def claim(episodes: DataFrame, ids: DataFrame, column: str = "index_status", waiting: str = "pending") -> DataFrame:
+    """``episodes`` where those of ``ids`` that are ``waiting`` are now processing; others stay."""
     taken = ids.select("episode_id").distinct().withColumn("__taken", F.lit(True))
-    now = F.when(F.col("__taken") & (F.col("index_status") == "pending"), "processing").otherwise(F.col("index_status"))
-    return episodes.join(taken, "episode_id", "left").withColumn("index_status", now).drop("__taken")
+    now = F.when(F.col("__taken") & (F.col(column) == waiting), "processing").otherwise(F.col(column))
+    return episodes.join(taken, "episode_id", "left").withColumn(column, now).drop("__taken")
 
 
 def reset(episodes: DataFrame, kind: str, column: str = "index_status") -> tuple[DataFrame, int]:
