@@ -11,8 +11,8 @@ Most passages are settled without a search. Each item's heaviest terms, which ca
 are looked up for all words at once; a passage in which they fall short of what the threshold needs beside all
 other terms cannot reach it, so nothing is lost.
 
-Items are indexed in parts of bounded size, each broadcast and run over all documents, with statistics of all
-items. Words are lower-cased runs of letters and digits.
+Items are indexed in parts of bounded size, each broadcast and run over all documents; statistics and the length of
+passages are those of all items, so that results don't depend on the parts. Words are lower-cased runs of letters and digits.
 
 Defined cases: null and empty texts hold no passage; items without words are ignored; null ids are carried;
 repeated rows are judged each; without items nothing is contaminated; empty tables give empty results; extra
@@ -63,11 +63,11 @@ def items_of(benchmark: DataFrame) -> DataFrame:
 class Index:
     """Inverted lists with impacts, cut into blocks that know their largest impact."""
 
-    def __init__(self, items: list[tuple[int | None, np.ndarray, int]], df: dict[int, int], n_items: int, mean_words: float) -> None:
+    def __init__(self, items: list[tuple[int | None, np.ndarray, int]], df: dict[int, int], n_items: int, mean_words: float, most_words: int) -> None:
         self.ids = [i for i, _, _ in items]
         self.shingles = [
             tuple(np.unique(shingle_hashes(w)) for w in (words, words[:q], words[q:])) for _, words, q in items]
-        self.block_words = max((len(w) for _, w, _ in items), default=1)
+        self.block_words = most_words
         lists: dict[int, list[tuple[int, float]]] = {}
         essential: dict[int, list[tuple[int, float]]] = {}
         self.need = np.zeros(len(items))
@@ -220,7 +220,7 @@ def leaks(texts: list[str], index: Index) -> list[list[Leak]]:
 def build(benchmark: DataFrame) -> Iterator[Index]:
     """The index in parts of about PART_WORDS words; document frequencies and lengths are those of all items."""
     items = materialise(items_of(benchmark), "bench-items").withColumn("n", F.size("words"))
-    n_items, n_words = items.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    n_items, n_words, most_words = items.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0)), F.max("n")).first()
     if not n_items:
         return
     parts = -(-n_words // PART_WORDS)
@@ -231,7 +231,7 @@ def build(benchmark: DataFrame) -> Iterator[Index]:
         seen = {r.term & 0xFFFFFFFFFFFFFFFF: r["count"] for r in df.join(terms, "term").collect()}
         rows = [(r.item_id, np.array(r.words, np.int64).view(np.uint64), r.question) for r in own.collect()]
         if rows:
-            yield Index(rows, seen, n_items, n_words / n_items)
+            yield Index(rows, seen, n_items, n_words / n_items, most_words)
 
 
 def _texts(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, list[str]]]:

@@ -165,3 +165,55 @@ def test_null_text_is_empty(edge_docs):
     empty = hashlib.sha256(b"").hexdigest()
     for run in (secret_scan.digest, pii.digest):
         assert all(r.base_sha256 == empty and r.spans == "" for r in run(edge_docs.where("text is null")).collect())
+
+
+def test_scores_against_plain_sums(spark):
+    """Markov spans are those whose sum of log-likelihood ratios, by plain counting, is over the limit."""
+    docs = spark.createDataFrame([(i, " ".join(f"get{w}Name user_{w}_list" for w in ("alpha", "beta", "gamma"))) for i in range(30)], "doc_id long, text string")
+    ratios = secret_scan.train(secret_scan.samples(docs))
+    assert len(ratios) == 16384
+    texts = ["kQ9zXv7Lp2Wd8RtY3mBn5HsJ", "getAlphaNameUserBetaList", "zzzz9999QQQQ1111kkkk7777"]
+    found = {r.doc_id: [s for s in r.secrets if s.kind == "markov"] for r in secret_scan.find(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), ratios).collect()}
+    mean = [sum(ratios[128 * ord(a) + ord(b)] for a, b in zip(t, t[1:])) / (len(t) - 1) for t in texts]
+    assert mean[0] > mean[1] and found[0] and not found[1]
+
+
+def brute_terms(rows, least=0.8):
+    """term -> largest share of PMI over IC, by plain counting over whole documents."""
+    import math
+    from collections import Counter, defaultdict
+
+    words, entities, holders = {}, defaultdict(set), Counter()
+    for i, text in rows.items():
+        words[i] = {w.lower() for w in re.findall(r"[^\W\d_]{4,}", text)}
+        holders.update(words[i])
+        for a, b, kind in pii.base_spans(text):
+            entities[pii._entity(kind, text[a:b])].add(i)
+    out = {}
+    for docs in entities.values():
+        ic = math.log(len(rows) / len(docs))
+        for t in set().union(*(words[i] for i in docs)):
+            both = sum(t in words[i] for i in docs)
+            if ic > 0:
+                out[t] = max(out.get(t, -1), math.log(both * len(rows) / (holders[t] * len(docs))) / ic)
+    return {t: s for t, s in out.items() if s >= least}
+
+
+def test_disclosure_against_brute_force(spark, texts):
+    rows = {i: t for i, t in texts.items() if t}
+    wanted = brute_terms(rows)
+    docs = spark.createDataFrame(list(rows.items()), "doc_id long, text string")
+    assert wanted
+    for r in pii.find(docs).collect():
+        text, base = rows[r.doc_id], personal_of(rows[r.doc_id])
+        places = []
+        if base:
+            for m in re.finditer(r"[^\W\d_]{4,}", text):
+                if m[0].lower() in wanted and not any(m.start() < b and a < m.end() for a, _, b, _ in base):
+                    places.append((m.start(), m.end(), round(wanted[m[0].lower()], 9)))
+        assert [(t.start, t.end, round(t.share, 9)) for t in r.terms] == places
+
+
+def test_broader_terms():
+    assert [pii.broader(t) for t in ("zebra", "Zebra", "ZEBRA", "日本語の", "жираф")] == [
+        "[latin word]", "[latin name]", "[latin acronym]", "[cjk word]", "[cyrillic word]"]
