@@ -1,7 +1,8 @@
 """A training-data pipeline: language ID, near-duplicates, decontamination, mixing, sharding.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that the one before it kept; all but the last return
-the columns of documents. ``run`` writes each stage's rows as Parquet in the shared folder and reads them again.
+the columns of documents. ``run`` writes each stage's rows as Parquet in the shared folder and reads them again; what a
+stage made on its way, and the rows of the stage before it, are deleted then.
 """
 
 from __future__ import annotations
@@ -9,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from earshot.llm import decontam, langid, mixing, neardup, sharding
-from earshot.llm.common import materialise, table
+from earshot.llm.common import conclude, table
 
 SHARDS = 40
 
@@ -52,7 +53,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = materialise(stage(spark, docs, sf_dir), f"stage-{name}")
-    return docs
+    def through(stages: list) -> DataFrame:
+        if not stages:
+            return table(spark, sf_dir, "documents")
+        name, stage = stages[-1]
+        return conclude(spark, f"stage-{name}", lambda: stage(spark, through(stages[:-1]), sf_dir))
+
+    return through(STAGES)
