@@ -87,10 +87,13 @@ _KNOWN = {
 }
 
 
-def _is_known(parts: dict) -> bool:
-    """Whether texts may be split here: all parts are known, and special tokens are marked as ``_simple`` expects."""
-    marks = all(t["content"].startswith("<|") and not t["normalized"] for t in parts.get("added_tokens") or [])
-    return marks and all(parts.get(k) == v for k, v in _KNOWN.items()) and not parts.get("truncation") and not parts.get("padding")
+def _is_known(tokenizer) -> bool:
+    """Whether texts may be split here: all parts are known, and special tokens are marked as ``_simple`` expects. Parts
+    are asked for one by one, as the whole file with its vocabulary would take memory that stays."""
+    marks = all(t.content.startswith("<|") and not t.normalized for t in tokenizer.get_added_tokens_decoder().values())
+    parts = {k: getattr(tokenizer, k) for k in _KNOWN}
+    same = all(parts[k] is not None and json.loads(parts[k].__getstate__()) == v for k, v in _KNOWN.items())
+    return marks and same and not tokenizer.truncation and not tokenizer.padding
 
 
 class Encoder:
@@ -106,7 +109,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known = _is_known(json.loads(self.tokenizer.to_str()))
+        self.known = _is_known(self.tokenizer)
         self.model = self.tokenizer.model
         self.find = _latin_pattern().findall
         self.pieces = _Store(self._piece)
