@@ -39,7 +39,7 @@ from .common import materialise, new_folder, spread
 
 SEQUENCE, BATCH_SEQUENCES, END_ID = 2048, 256, 1
 #: Distinct pieces of text whose ids a worker keeps.
-KEPT_PIECES = 1_000_000
+KEPT_PIECES = 200_000
 
 
 def _latin_pattern() -> re.Pattern[str]:
