@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, spread
+from .common import conclude, materialise, spread
 
 NEAREST, EPSILON = 20, 3.0
 BLOCK_ROWS, QUERY_ROWS = 4096, 8192
@@ -159,5 +159,8 @@ def search(embeddings: DataFrame, queries: DataFrame, k: int = NEAREST) -> DataF
 
 
 def digest(embeddings: DataFrame, every: int = 20, k: int = NEAREST) -> DataFrame:
-    rows = materialise(coded(usable(embeddings)), "ann-vectors")
-    return search(rows, rows.where(F.col("vec_id") % every == 0), k)
+    def made() -> DataFrame:
+        rows = materialise(coded(usable(embeddings)), "ann-vectors")
+        return search(rows, rows.where(F.col("vec_id") % every == 0), k)
+
+    return conclude(embeddings.sparkSession, "ann-digest", made)

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, running, text_or_empty, word_count
+from .common import conclude, materialise, running, text_or_empty, word_count
 
 MAX_EPOCHS, SEED = 3, "mix-1"
 _KEY, _BUCKET = "__key", "__bucket"
@@ -78,9 +78,12 @@ def _repetitions(rows: DataFrame, plan: DataFrame) -> DataFrame:
 
 
 def digest(docs: DataFrame, seed: str = SEED, max_epochs: int = MAX_EPOCHS) -> DataFrame:
-    narrow = materialise(_narrow(docs.select("doc_id", "source", "text"), seed).drop("text"), "mix-narrow")
-    return _repetitions(narrow, plan_mix(narrow, max_epochs)).select(
-        "doc_id", F.col("__size").alias("size"), "source_size", "target", (F.col("__size") * F.col("__reps")).alias("taken"))
+    def made() -> DataFrame:
+        narrow = materialise(_narrow(docs.select("doc_id", "source", "text"), seed).drop("text"), "mix-narrow")
+        return _repetitions(narrow, plan_mix(narrow, max_epochs)).select(
+            "doc_id", F.col("__size").alias("size"), "source_size", "target", (F.col("__size") * F.col("__reps")).alias("taken"))
+
+    return conclude(docs.sparkSession, "mix-digest", made)
 
 
 def mix(docs: DataFrame, seed: str = SEED, max_epochs: int = MAX_EPOCHS, numbered: bool = True) -> DataFrame:

@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, text_or_empty, word_count
+from .common import conclude, materialise, text_or_empty, word_count
 
 ROW_OVERHEAD = 16
 #: Groups over one in PLACED of the whole are units of their own; the others fill PLACED buckets.
@@ -128,9 +128,12 @@ def write_shards(docs: DataFrame, path: str, shards: int = 40) -> None:
 
 
 def digest(docs: DataFrame, shards: int = 40) -> DataFrame:
-    featured = with_features(docs.select("doc_id", "text")).withColumn("text_crc32", F.crc32(text_or_empty()))
-    narrow = materialise(featured.drop("text"), "shard-features")
-    return apply_plan(narrow, plan_shards(narrow, shards)).select(
-        "doc_id", F.col(_SIZE).alias("size"), "text_crc32", F.lit("bytes").alias("law"),
-        "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), F.col(_TOKENS).alias("tokens"),
-    )
+    def made() -> DataFrame:
+        featured = with_features(docs.select("doc_id", "text")).withColumn("text_crc32", F.crc32(text_or_empty()))
+        narrow = materialise(featured.drop("text"), "shard-features")
+        return apply_plan(narrow, plan_shards(narrow, shards)).select(
+            "doc_id", F.col(_SIZE).alias("size"), "text_crc32", F.lit("bytes").alias("law"),
+            "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), F.col(_TOKENS).alias("tokens"),
+        )
+
+    return conclude(docs.sparkSession, "shard-digest", made)

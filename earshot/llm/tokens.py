@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, new_folder, spread
+from .common import conclude, materialise, new_folder, spread
 
 SEQUENCE, BATCH_SEQUENCES, END_ID = 2048, 256, 1
 #: Distinct pieces of text whose ids a worker keeps.
@@ -277,4 +277,6 @@ def read_documents(manifest: DataFrame) -> DataFrame:
 
 
 def digest(docs: DataFrame, tokenizer: str) -> DataFrame:
-    return read_documents(write_sequences(docs, new_folder(docs.sparkSession, "tokens"), tokenizer))
+    """The rows of ``read_documents``; the files are deleted then."""
+    spark = docs.sparkSession
+    return conclude(spark, "token-digest", lambda: read_documents(write_sequences(docs, new_folder(spark, "tokens"), tokenizer)))

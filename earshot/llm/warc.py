@@ -30,7 +30,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hot_keys, materialise, new_folder, split_join, spread, text_or_empty
+from .common import conclude, hot_keys, materialise, new_folder, split_join, spread, text_or_empty
 from .neardup import _bloom, _in_bloom
 
 MIN_BYTES = 100
@@ -211,5 +211,6 @@ def read_archives(manifest: DataFrame) -> DataFrame:
 
 
 def digest(pages: DataFrame) -> DataFrame:
-    folder = new_folder(pages.sparkSession, "warc")
-    return read_archives(write_archives(resolve(pages), folder))
+    """The rows of ``read_archives``; the archives are deleted then."""
+    spark = pages.sparkSession
+    return conclude(spark, "warc-digest", lambda: read_archives(write_archives(resolve(pages), new_folder(spark, "warc"))))
