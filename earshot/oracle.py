@@ -230,6 +230,9 @@ FROM x JOIN o USING (episode_id) GROUP BY x.episode_id, x.pos, x.wanted""",
     "event_windows": "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 6) AS total FROM (SELECT DISTINCT ON (event_id) * FROM events) GROUP BY 1, 2",
     "inventory_dump": "SELECT vec_id AS chunk_id, label::BIGINT AS parent_id, doc_id AS episode_id, source AS podcast_name, lang AS language FROM embeddings JOIN documents ON doc_id = vec_id",
     "result_projection": _ONE + f" SELECT rank, chunk_id, '/audio/' || chunk_id AS audio_url FROM ({_TOP.format(t='d')})",
+    "knn_many_questions": f"""
+WITH e AS ({_E}), d AS (SELECT q.chunk_id AS query_id, e.chunk_id, round(list_cosine_distance(e.v, q.v), 9) AS score FROM e, e q WHERE q.chunk_id % 20 = 0)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score, chunk_id)::INT AS rank, chunk_id, score FROM d QUALIFY rank <= 5""",
     "poll_downloaded": "SELECT doc_id AS episode_id FROM documents WHERE doc_id % 3 = 0",
     "transcript_dump": _LINES + "SELECT episode_id, any_value(source) AS podcast_name, any_value(t.lang) AS language, CASE WHEN episode_id % 3 = 0 THEN 'downloaded' ELSE 'done' END AS transcript_status, count(*)::INT AS n_segments FROM t JOIN documents ON doc_id = episode_id GROUP BY episode_id",
     "gold_segments": _LINES + "SELECT DISTINCT episode_id, episode_id % 3 <> 0 AS found FROM t",

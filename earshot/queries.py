@@ -74,6 +74,14 @@ def knn_batch_overfetch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _recalled(spark, sf_dir).select("query_id", "rank", "chunk_id", "score")
 
 
+@query
+def knn_many_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every chunk whose id is divisible by 20 asks all chunks, so that questions grow with the table."""
+    chunks = src.chunks(spark, sf_dir)
+    asked = chunks.where(F.col("chunk_id") % 20 == 0).select(F.col("chunk_id").alias("query_id"), F.col("embedding").alias("vector"))
+    return retrieval.recall(asked, chunks, K).select("query_id", "rank", "chunk_id", F.col("distance").alias("score"))
+
+
 def _searched(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.search(src.questions(spark, sf_dir), src.chunks(spark, sf_dir), Settings())
 
