@@ -8,8 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 from ..config import FULL_WIDTH_MARKS, HALF_WIDTH_MARKS, SEGMENT_MARKS
 
@@ -17,9 +16,6 @@ from ..config import FULL_WIDTH_MARKS, HALF_WIDTH_MARKS, SEGMENT_MARKS
 _MARK = f"(?:[{FULL_WIDTH_MARKS}]|[{re.escape(HALF_WIDTH_MARKS)}](?![0-9A-Za-z]))"
 #: A run of ASCII or one other character, and what stands between it and the next: marks and white space.
 _TOKEN = re.compile(rf"((?:(?!{_MARK})[^\s\x80-\U0010ffff])+|(?!{_MARK})\S)((?:\s*{_MARK})*)")
-#: The same for the JVM, without what stands between; white space as Python has it.
-_SPACE = r"\t-\r\x1c-\x20\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
-_JVM_TOKEN = rf"(?:(?!{_MARK})[^{_SPACE}\x{{80}}-\x{{10ffff}}])+|(?!{_MARK})[^{_SPACE}]"
 
 
 class TokenMismatch(ValueError):
@@ -31,11 +27,6 @@ def tokenise(text: str) -> list[tuple[str, str]]:
     return [(t, m if not m or m.isprintable() and " " not in m else "".join(m.split())) for t, m in _TOKEN.findall(text)]
 
 
-def token_count(text: Column) -> Column:
-    """Number of tokens of a text, in the JVM."""
-    return F.regexp_count(text, F.lit(_JVM_TOKEN))
-
-
 def to_segments(text: str | None, stamps: list[list[int]] | np.ndarray | None, words: bool = True) -> list[dict]:
     """Segments (text, start, end, words) closed after a sentence's mark; milliseconds become seconds."""
     if not (text or "").strip():
@@ -111,3 +102,17 @@ def token_rows(texts: DataFrame) -> DataFrame:
                 batch.column(0), pa.array([len(f) for f in found], pa.int64()), pa.array([sum(len(m) for _, m in f) for f in found], pa.int64())], names=["key", "n_tokens", "n_marks"])
 
     return texts.select("key", "text").mapInArrow(task, "key long, n_tokens long, n_marks long")
+
+
+def stamped(texts: DataFrame, token_ms: int = 400) -> DataFrame:
+    """key, text, timestamp of ``texts`` (key, text), as a recogniser gives them: each token takes ``token_ms``."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts = np.array([len(_TOKEN.findall(t or "")) for t in batch.column(1).to_pylist()], np.int64)
+            starts = (np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)) * token_ms
+            pairs = pa.ListArray.from_arrays(pa.array(np.arange(len(starts) + 1, dtype=np.int32) * 2), pa.array(np.stack([starts, starts + token_ms], 1).ravel()))
+            rows = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pairs)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), rows], names=["key", "text", "timestamp"])
+
+    return texts.select("key", "text").mapInArrow(task, "key long, text string, timestamp array<array<bigint>>")

@@ -354,9 +354,7 @@ def asr_tokenize(spark: SparkSession, sf_dir: str) -> DataFrame:
 def asr_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as recogniser output; the tokens of the tokeniser are given a timestamp each."""
     rows = src.dealt(src.episodes(spark, sf_dir)).select(F.col("episode_id").alias("key"), "text")
-    n = asr.token_count(F.col("text"))
-    stamps = F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.array(i.cast("long") * 400, i.cast("long") * 400 + 400)))
-    made = asr.segment_rows(rows.withColumn("timestamp", stamps), words=False)
+    made = asr.segment_rows(asr.stamped(rows), words=False)
     return made.select("key", F.size("segments").alias("n_segments"), F.col("error"), F.get(F.col("segments")["end"], F.size("segments") - 1).alias("end"))
 
 
