@@ -82,3 +82,18 @@ def test_edges(spark, sf, edge_docs, no_docs, name, stage):
     assert stage(spark, no_docs, sf).count() == 0
     got = stage(spark, edge_docs, sf)
     assert set(got.columns) >= set(edge_docs.columns) and got.count() <= 3 * edge_docs.count()
+
+
+def test_edge_rows_of_each_stage(spark, sf, edge_docs):
+    """Which of the odd rows stay, and that all of their values do."""
+    plain = lambda df: sorted((r.doc_id if r.doc_id is not None else -1, r.text or "", r.target) for r in df.collect())
+    every = plain(edge_docs)
+    got = {name: stage(spark, edge_docs, sf) for name, stage in P.STAGES}
+    assert {t for _, t, _ in plain(got["language"])} <= {t for _, t, _ in every if any(c.isalpha() for c in t)}
+    assert [i for i, _, _ in plain(got["near_duplicates"])] == [-1, -1, 0, 0, 1, 3, 5, 6, 8, 10, 11]
+    assert plain(got["decontamination"]) == every
+    assert set(plain(got["mixture"])) <= set(every)
+    assert plain(got["shards"]) == every
+    slots = got["shards"].select("shard", "slot").collect()
+    assert len(set(slots)) == len(slots) and all((r.shard, r.slot - 1) in {tuple(x) for x in slots} for r in slots if r.slot)
+    assert all(set(df.columns) == set(edge_docs.columns) for n, df in got.items())
