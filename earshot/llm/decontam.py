@@ -22,6 +22,7 @@ columns stay.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -36,7 +37,8 @@ from .wordhash import shingle_hashes, word_hashes
 
 K1, B = 1.2, 0.75
 THRESHOLD, OVERLAP, ESSENTIAL = 0.6, 0.8, 0.8
-#: Words of items in one part of the index, and postings in one block.
+#: Words of items in one part of the index, and postings in one block. A part is the most that is broadcast: 71 MB, as
+#: measured with two million words of Zipf's law.
 PART_WORDS, POSTINGS_BLOCK = 2_000_000, 64
 _CHARS = 1 << 20
 _SENTENCE = re.compile(r"(?<=[.!?。！？])\s+|\n+")
@@ -88,8 +90,9 @@ class Index:
         for t, postings in lists.items():
             docs, impacts = np.array([p[0] for p in postings]), np.array([p[1] for p in postings])
             cuts = range(0, len(docs), POSTINGS_BLOCK)
-            self.lists[t] = (docs.tolist(), impacts.tolist(), float(impacts.max()),
-                             [int(docs[min(c + POSTINGS_BLOCK, len(docs)) - 1]) for c in cuts], [float(impacts[c:c + POSTINGS_BLOCK].max()) for c in cuts])
+            ends = [int(docs[min(c + POSTINGS_BLOCK, len(docs)) - 1]) for c in cuts]
+            peaks = [float(impacts[c:c + POSTINGS_BLOCK].max()) for c in cuts]
+            self.lists[t] = (array("l", docs.tolist()), array("d", impacts.tolist()), float(impacts.max()), array("l", ends), array("d", peaks))
         self.terms = np.array(sorted(essential), np.uint64)
         self.count = np.array([len(essential[t]) for t in self.terms.tolist()], np.int64)
         self.first = np.concatenate([[0], np.cumsum(self.count)]).astype(np.int64)
