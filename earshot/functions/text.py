@@ -101,7 +101,3 @@ def citation_numbers(answer: Column) -> Column:
 def context_block(texts: Column) -> Column:
     """One line ``[n] text`` for each."""
     return F.array_join(F.transform(texts, lambda t, i: F.concat(F.lit("["), i + 1, F.lit("] "), t)), "\n")
-
-
-def markdown_cell(value: Column) -> Column:
-    return F.replace(F.replace(value.cast("string"), F.lit("|"), F.lit("\\|")), F.lit("\n"), F.lit(" "))

@@ -25,11 +25,6 @@ def cited(answers: DataFrame, shared_ids: bool = False) -> DataFrame:
     return firsts.select("query_id", F.row_number().over(order).alias("position"), F.col("f.n").alias("n"), F.col("f.source.level").alias("level"), F.col("f.source.id").alias("id"))
 
 
-def sources_of(results: DataFrame) -> DataFrame:
-    """Found passages in call order, numbered from 1: those not found leave no gap."""
-    return results.where("found").withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy("call")))
-
-
 def locate_exact(pairs: DataFrame) -> DataFrame:
     """``pairs`` (fragment, segments: array of (text, start, end)) with found, first, last: the segments that the
     fragment's first verbatim place covers, both compared in plain form. In the JVM, for text that NFKC keeps."""

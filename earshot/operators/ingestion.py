@@ -12,10 +12,6 @@ def truncate(items: DataFrame, most: int, feed: str = "feed", position: str = "p
     return items.withColumn("__row", F.row_number().over(order)).where(F.col("__row") <= most).drop("__row")
 
 
-def select_target(items: DataFrame, guid: str) -> DataFrame:
-    return items.where(F.col("guid") == guid)
-
-
 def new_episodes(items: DataFrame, known: DataFrame) -> DataFrame:
     """Items (feed, guid, position, ...) whose guid the feed's known ones (feed, guid) lack; the first of equal ones."""
     fresh = items.join(known.select("feed", "guid"), ["feed", "guid"], "left_anti")

@@ -68,18 +68,19 @@ def index_episodes(
     return judged.select("episode_id", status.alias("index_status"), "reason")
 
 
-def index_queue(spark: SparkSession, source: str, embed: Embed, dim: int, path: str, checkpoint: str, settings: Settings = Settings(), once: bool = True, **how) -> StreamingQuery:
-    """Index the ready episodes that arrive in ``source`` (Parquet, columns EPISODE): each batch is claimed, indexed
-    into ``path``, and its new statuses are appended to ``path/status`` under the batch's name, so that a batch that is
-    tried again writes the same files again."""
+def index_ready(episodes: DataFrame, embed: Embed, dim: int, path: str, run: str, settings: Settings = Settings(), **how) -> None:
+    """Claim and index the ready ones of ``episodes`` (columns EPISODE) into ``path``; their new statuses go to
+    ``path/status`` under the run's name, so that a run that is tried again writes the same files again."""
+    due = ready(episodes)
+    claimed = claim(episodes, due).where("index_status = 'processing'").join(due.select("episode_id"), "episode_id", "left_semi")
+    rows = parse_transcripts(claimed).withColumn("duration_seconds", F.col("duration_seconds").cast("double"))
+    states = index_episodes(rows.select("episode_id", "language", "duration_seconds", "segments"), embed, dim, path, run, settings, **how)
+    states.withColumn("run", F.lit(run)).write.mode("overwrite").parquet(f"{path}/status/{run}")
 
-    def index(batch: DataFrame, name: str) -> None:
-        due = ready(batch)
-        claimed = claim(batch, due).where("index_status = 'processing'").join(due.select("episode_id"), "episode_id", "left_semi")
-        rows = parse_transcripts(claimed).withColumn("duration_seconds", F.col("duration_seconds").cast("double"))
-        states = index_episodes(rows.select("episode_id", "language", "duration_seconds", "segments"), embed, dim, path, name, settings, **how)
-        states.withColumn("run", F.lit(name)).write.mode("overwrite").parquet(f"{path}/status/{name}")
 
+def index_queue(spark: SparkSession, source: str, embed: Embed, dim: int, path: str, checkpoint: str, settings: Settings = Settings(), once: bool = True, **how) -> StreamingQuery:
+    """``index_ready`` of the episodes that arrive in ``source`` (Parquet), batch by batch."""
+    index = lambda batch, name: index_ready(batch, embed, dim, path, name, settings, **how)
     return run_queue(spark, source, EPISODE, index, checkpoint, once, settings.poll_seconds)
 
 

@@ -1,13 +1,18 @@
-"""Feeds into stored podcasts and episodes: choose, leave out what is known, insert, report what can't be."""
+"""Feeds into stored podcasts and episodes: choose, leave out what is known, insert, report what can't be, download."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
+from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.feed import file_extension
 from ..operators.ingestion import new_episodes, split_rejects, upsert_podcasts
+from ..sources.download import Fetch, audio_path, download
 from ..sources.feeds import select_episodes
 
 
@@ -39,3 +44,28 @@ def ingest(feeds: DataFrame, items: DataFrame, podcasts: DataFrame, episodes: Da
     n = F.coalesce("n", F.lit(0))
     counts = counts.select("feed", n.alias("new_episodes"), (F.col("chosen") - n).alias("skipped"), F.coalesce("known", F.lit(False)).alias("already_imported"))
     return Ingested(upsert_podcasts(stored, fetched), fresh.withColumn("transcript_status", F.lit("pending")), rejects, errors, counts)
+
+
+def download_episodes(episodes: DataFrame, fetch: Fetch, base: str, **again) -> DataFrame:
+    """episode_id, audio_local_path (below ``base``, which all executors share), transcript_status, reason of
+    ``episodes`` (episode_id, podcast_id, podcast_name, url, mime): ``downloaded``, or ``failed`` where the file can't be
+    had. Write the result once: reading it again downloads again, over the same files."""
+
+    def one(episode: int, podcast_id: int, podcast: str | None, url: str | None, extension: str) -> dict:
+        row = {"episode_id": episode, "audio_local_path": None, "transcript_status": "failed", "reason": None}
+        if not url:
+            return row | {"reason": "no address"}
+        try:
+            path = download(fetch, url, audio_path(Path(base), podcast or "", podcast_id, episode, extension), **again)
+        except OSError as e:
+            return row | {"reason": str(e)}
+        return row | {"audio_local_path": str(path.relative_to(base)), "transcript_status": "downloaded"}
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for values in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                yield pa.RecordBatch.from_pylist([one(*values)], schema=schema)
+
+    schema = pa.schema([("episode_id", pa.int64()), ("audio_local_path", pa.string()), ("transcript_status", pa.string()), ("reason", pa.string())])
+    rows = episodes.select(F.col("episode_id").cast("long"), "podcast_id", "podcast_name", "url", file_extension(F.col("url"), F.col("mime")).alias("extension"))
+    return rows.mapInArrow(task, "episode_id long, audio_local_path string, transcript_status string, reason string")

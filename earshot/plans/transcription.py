@@ -7,10 +7,12 @@ from collections.abc import Callable, Iterator, Sequence
 from random import Random
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
-from ..config import CHINESE
+from ..config import CHINESE, Settings
+from ..streaming.queue import claim, downloaded, run_queue
 
 RATE = 16_000
 #: Path of the audio to a transcript: language, segments, seconds (its length).
@@ -86,3 +88,21 @@ def transcribe_episodes(claimed: DataFrame, transcribe: Transcribe) -> DataFrame
     return made.join(rows.select("episode_id", "known"), "episode_id").select(
         "episode_id", "language", "transcript_data", F.when(F.col("transcript_status") == "done", F.coalesce("known", "seconds")).otherwise(F.col("known")).alias("duration_seconds"),
         "transcript_status", "reason")
+
+
+#: Episodes as they wait for the recogniser.
+RECORDING = "episode_id long, audio_local_path string, duration_seconds double, transcript_status string"
+
+
+def transcribe_queue(
+    spark: SparkSession, source: str, transcribe: Transcribe, path: str, checkpoint: str, once: bool = True, seconds: float = Settings().poll_seconds,
+) -> StreamingQuery:
+    """Transcribe the downloaded episodes that arrive in ``source`` (Parquet, columns RECORDING) into ``path``, under
+    each batch's name, so that a batch that is tried again writes the same files again."""
+
+    def run(batch: DataFrame, name: str) -> None:
+        due = downloaded(batch)
+        claimed = claim(batch, due, "transcript_status", "downloaded").where("transcript_status = 'processing'").join(due.select("episode_id"), "episode_id", "left_semi")
+        transcribe_episodes(claimed, transcribe).withColumn("run", F.lit(name)).write.mode("overwrite").parquet(f"{path}/{name}")
+
+    return run_queue(spark, source, RECORDING, run, checkpoint, once, seconds)

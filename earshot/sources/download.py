@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+import uuid
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
@@ -41,9 +42,9 @@ def audio_path(base: Path, podcast: str, podcast_id: int, episode_id: int, exten
 
 
 def download(fetch: Fetch, url: str, path: Path, **again) -> Path:
-    """``url`` to ``path``, in blocks; nothing is left of a file that breaks off."""
+    """``url`` to ``path``, in blocks; nothing is left of a file that breaks off. Two attempts don't share a partial file."""
     path.parent.mkdir(parents=True, exist_ok=True)
-    partial = path.with_name(path.name + ".part")
+    partial = path.with_name(f"{path.name}.{uuid.uuid4().hex}.part")
     try:
         with partial.open("wb") as out:
             for block in fetch_again(fetch, url, **again):

@@ -11,9 +11,12 @@ import os
 import tempfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Leaf and parent ids leave room for so many in an episode.
+PER_EPISODE = 1 << 24
+
 
 def _overwrite(df: DataFrame, path: str) -> None:
     (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path))
@@ -51,6 +54,23 @@ def read_chunks(spark: SparkSession, path: str, name: str = "leaf") -> DataFrame
     return spark.read.parquet(f"{path}/{name}").drop("bucket").join(done, "episode_id", "left_semi")
 
 
+def library(spark: SparkSession, path: str, episodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The store's leaves and parents as searches take them, with ids made of the episode's id and the place in it.
+
+    ``episodes`` (episode_id, podcast_name) scope the leaves. An id depends on nothing but the episode's own chunks, so
+    that other episodes keep theirs when one is indexed anew; a place beyond ``PER_EPISODE`` is an error."""
+
+    def numbered(place: str) -> Column:
+        own = F.col("episode_id") * F.lit(PER_EPISODE) + F.col(place)
+        return F.when(F.col(place) < PER_EPISODE, own).otherwise(F.raise_error(F.lit("an episode has too many chunks")).cast("long"))
+
+    leaves = read_chunks(spark, path).join(episodes.select("episode_id", "podcast_name"), "episode_id", "left")
+    chunks = leaves.select(
+        numbered("chunk_no").alias("chunk_id"), numbered("parent_no").alias("parent_id"), F.col("embedding").cast("array<double>").alias("embedding"),
+        "text", "start", "end", "episode_id", "podcast_name")
+    return chunks, read_chunks(spark, path, "parent").select(numbered("parent_no").alias("parent_id"), "text", "start", "end", "episode_id")
+
+
 def create_run_dir(base: Path, run_id: str) -> Path:
     """A folder of its own; an existing one is an error."""
     path = Path(base) / run_id
