@@ -25,7 +25,7 @@ _TOKEN = re.compile("[㐀-鿿]|[^\\s㐀-鿿]+")
 
 
 def count_tokens(text: str) -> int:
-    return sum(1 for _ in _TOKEN.finditer(text))
+    return len(_TOKEN.findall(text))
 
 
 def token_ends(text: str) -> list[int]:
@@ -64,21 +64,13 @@ def gate(sizes: Iterable[tuple[int, float, float]], bounds: Bounds, veto: bool =
 def word_tokens(words: list[dict], separator: str, starts: Callable[[str], list[int]] = token_ends) -> list[int]:
     """Running token counts before each word, one more than words. A token belongs to the last word that begins at
     or before it, the separator's length allowed; words without text take none."""
+    if not words:
+        return [0]
     texts = [w.get("word") or "" for w in words]
-    begins, at = [], 0
-    for text in texts:
-        begins.append(at)
-        at += len(text) + len(separator)
-    of = [0] * len(words)
-    word = 0
-    for token in starts(separator.join(texts)):
-        while word + 1 < len(words) and begins[word + 1] <= token + len(separator):
-            word += 1
-        of[word] += 1
-    total = [0]
-    for n in of:
-        total.append(total[-1] + n)
-    return total
+    begins = np.cumsum([0, *(len(t) + len(separator) for t in texts[:-1])])
+    tokens = np.array(starts(separator.join(texts)), np.int64)
+    before = np.searchsorted(tokens + len(separator), begins[1:])
+    return [0, *before.tolist(), len(tokens)]
 
 
 def _clock(segment: dict, words: list[dict]) -> list[float]:
@@ -108,9 +100,9 @@ def split_long(segment: dict, bounds: Bounds, separator: str, count: Counter = c
             break
         goal = (done + 1) * share
         miss = abs(running[i] - goal)
-        ended = (words[i - 1].get("word") or "").strip()[-1:]
-        if ended and ended in SENTENCE_MARKS and miss <= share * SNAP_SHARE:
-            snap = i
+        if miss <= share * SNAP_SHARE:
+            ended = (words[i - 1].get("word") or "").strip()[-1:]
+            snap = i if ended and ended in SENTENCE_MARKS else snap
         if abs(running[i + 1] - goal) > miss:
             cuts.append(snap if snap > cuts[-1] else i)
             done, snap = done + 1, 0
@@ -129,10 +121,13 @@ class TimedWords(Sequence):
         return self.stop - self.first
 
     def __getitem__(self, i):
-        if isinstance(i, slice):
-            return [self[k] for k in range(*i.indices(len(self)))]
-        at = self.first + range(len(self))[i]
-        return {"word": self.texts[at].as_py(), **{k: None if np.isnan(v[at]) else float(v[at]) for k, v in (("start", self.starts), ("end", self.ends))}}
+        if not isinstance(i, slice):
+            at = range(len(self))[i]
+            return self[at:at + 1][0]
+        of = slice(self.first, self.stop)
+        times = ([None if t != t else t for t in v[of][i].tolist()] for v in (self.starts, self.ends))
+        texts = self.texts[of].to_pylist()[i]
+        return [{"word": w, "start": a, "end": b} for w, a, b in zip(texts, *times, strict=True)]
 
     def known(self) -> tuple[float | None, float | None]:
         starts, ends = (np.flatnonzero(~np.isnan(x[self.first:self.stop])) for x in (self.starts, self.ends))

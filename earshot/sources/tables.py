@@ -29,9 +29,11 @@ def dealt(rows: DataFrame, key: str = "episode_id") -> DataFrame:
     return rows.repartition(cores, key) if len(rows.inputFiles()) < cores else rows
 
 
-def transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """episode_id, podcast_name, language, lines: the words of each line that has some, a row an episode."""
+def transcripts(spark: SparkSession, sf_dir: str, spoken: bool = False) -> DataFrame:
+    """episode_id, podcast_name, language, lines: the words of each line that has some, a row an episode; with
+    ``spoken``, of episodes that have words. That is asked of the text, as a filter on ``lines`` would make them twice."""
     rows = dealt(episodes(spark, sf_dir))
+    rows = rows.where(F.col("text").rlike(WORD)) if spoken else rows
     lines = F.filter(F.transform(F.split("text", "\n"), lambda line: F.regexp_extract_all(line, F.lit(WORD), 0)), lambda w: F.size(w) > 0)
     return rows.select("episode_id", "podcast_name", "language", lines.alias("lines"))
 
@@ -39,7 +41,7 @@ def transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def timed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """episode_id, podcast_name, language, lines: (segment_no, words, first_word, start, end) of each line that has
     words, in seconds; first_word is the number of words before it. Nothing is shuffled; episodes without lines go."""
-    rows = transcripts(spark, sf_dir).where(F.size("lines") > 0)
+    rows = transcripts(spark, sf_dir, spoken=True)
     sizes = F.transform("lines", lambda w: F.size(w))
     rows = rows.withColumn("firsts", running(sizes))
     made = F.transform(F.arrays_zip("lines", "firsts"), lambda x, i: F.struct(
