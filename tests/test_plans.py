@@ -241,3 +241,13 @@ def test_gold_by_exact_times():
     assert got == {"a": (["chunk 2 not found"], []), "b": ([], [])}
     got = files.gold_problems(cases, {1: (4, 9), 2: (3, 9)}, {3: {(1.0, 2.5)}})
     assert got["a"][1] == ["chunk 1 is in episode 4, outside scope"] and got["b"][0] == ["segment [1.0, 2.0] not in episode 3"]
+
+
+def test_reports_list_cases_in_their_order(spark, tmp_path):
+    E.run(spark, CASES[::-1], "f", SEEN[:1] + SEEN[2:], POLICY, None, "live", tmp_path, "one")
+    report = json.loads((tmp_path / "one" / "report.json").read_text())
+    assert [(c["id"], c["observed"], c["arm"], c["error"], c["passed"]) for c in report["case_results"]] == [
+        ("d", True, "search", "timeout", False), ("c", True, "search", None, True), ("b", False, None, None, False), ("a", True, "search", None, True)]
+    assert report["case_results"][3]["metrics"]["recall@5"] == 1.0 and report["case_results"][2]["metrics"] == {}
+    assert report["metadata"] == {
+        "k": 5, "observed_cases": 3, "missing_observation_cases": 1, "provider_failed_cases": 1, "arm_search_cases": 3, "arm_full_context_cases": 0}
