@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, decontam, langid, mixing, neardup, pii, secret_scan, sharding, tokens, warc
+from . import ann, decontam, langid, mixing, neardup, pii, resample, secret_scan, sharding, tokens, warc
 from .common import table
 
 
@@ -56,10 +56,14 @@ def op10_odd_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.digest(table(spark, sf_dir, "documents"))
 
 
+def op11_position_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_secret_scan, op2_vector_sharding, op3_one_bit_codes, op4_decontamination, op5_warc_revisits, op6_water_filling,
-        op7_disclosure, op8_token_sequences, op9_language_filters, op10_odd_sketches,
+        op7_disclosure, op8_token_sequences, op9_language_filters, op10_odd_sketches, op11_position_ngrams,
     )
 }
