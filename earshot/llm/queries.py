@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, decontam, langid, mixing, neardup, pii, resample, secret_scan, sharding, tokens, veccodes, warc
+from . import ann, decontam, langid, mixing, neardup, pii, resample, secret_scan, sharding, tokens, toxicity, veccodes, warc
 from .common import table
 
 
@@ -64,11 +64,15 @@ def op12_hamerly_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return veccodes.digest(table(spark, sf_dir, "embeddings"))
 
 
+def op13_convolutional_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_secret_scan, op2_vector_sharding, op3_one_bit_codes, op4_decontamination, op5_warc_revisits, op6_water_filling,
         op7_disclosure, op8_token_sequences, op9_language_filters, op10_odd_sketches, op11_position_ngrams,
-        op12_hamerly_codes,
+        op12_hamerly_codes, op13_convolutional_toxicity,
     )
 }
