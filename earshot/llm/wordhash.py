@@ -62,3 +62,22 @@ def shingle_hashes(words: np.ndarray, n: int = 5) -> np.ndarray:
     for i in range(k):
         total = mix(total + words[i:i + m])
     return total
+
+
+def stem_hashes(texts: list[str], lengths: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words, and of their first letters as far as ``lengths`` say (0 where the word is no longer than that), a row
+    a word; and where each text's words begin (one number more than texts)."""
+    lower = [t.lower() for t in texts]
+    codes = np.frombuffer((" ".join(lower) + " ").encode("utf-32-le", "surrogatepass"), "<u4")
+    edge = np.flatnonzero(np.diff(_in_word()[codes].view(np.int8), prepend=0))
+    begin, end = edge[::2], edge[1::2]
+    total = np.zeros(len(codes) + 1, np.uint64)
+    np.cumsum(codes * _powers.upto(len(codes)), out=total[1:])
+    scale = _inverses.upto(len(codes))[begin]
+    out = np.zeros((len(begin), 1 + len(lengths)), np.uint64)
+    out[:, 0] = mix((total[end] - total[begin]) * scale + (end - begin).astype(np.uint64))
+    for k, n in enumerate(lengths, 1):
+        long = end - begin > n
+        out[long, k] = mix((total[begin[long] + n] - total[begin[long]]) * scale[long] + np.uint64(n + (1 << 40)))
+    first = np.concatenate([[0], np.cumsum(np.fromiter(map(len, lower), np.int64, len(lower)) + 1)])
+    return out, np.searchsorted(begin, first)
