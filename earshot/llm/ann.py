@@ -6,9 +6,13 @@ the rotated query with the code, divided by f, estimates <v, q> / |v|; its error
 ``EPSILON`` * |q| * sqrt((1 - f^2) / f^2 / (dim - 1)) but for odds that fall as exp(-EPSILON^2 / 2). Vectors
 whose upper bound reaches the k-th best lower bound are reranked by the exact inner product in double precision.
 
+Any finite vectors do: each is divided by a power of two that brings its largest component under 1, which changes no digit,
+and its exponent goes with its code. Bounds are compared relative to the block's largest exponent, with all that is too
+small for it reranked; exact products get their exponents back at the end, so a product beyond doubles is infinite.
+
 Every vector is coded once, and its code is stored beside it. Every query meets every block of codes; blocks have a
 bounded number of rows, and each pair of a query block and a code block is a task's work, which returns its k best.
-Originals stay with their block, as at 64 dimensions the bounds, which are sound, leave most of them to be reranked
+Originals stay with their block, as at 64 dimensions the bounds leave most of them to be reranked
 (0.7 to 0.9 of the rows of the given tables): fetching survivors one by one would move nearly all pairs. Equal vectors
 of a block are scored once, and of them only the k + 1 least ids can be among the nearest.
 
@@ -29,8 +33,11 @@ from pyspark.sql import functions as F
 from .common import conclude, materialise, spread
 
 NEAREST, EPSILON = 20, 3.0
-BLOCK_ROWS, QUERY_ROWS = 4096, 8192
-_SUB = 512
+BLOCK_ROWS, QUERY_ROWS = 32_768, 2048
+#: Queries times codes that are estimated at once.
+_CELLS = 1 << 21
+#: Differences this small beside the block's largest vectors are left to the exact product.
+_LEAST = 1e-290
 _OUT = "query_id long, vec_id long, score double"
 
 
@@ -40,8 +47,15 @@ def rotation(dim: int, seed: int = 64) -> np.ndarray:
     return q * np.sign(np.diag(r))
 
 
+def scaled(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors whose largest component is in [0.5, 1), and the exponents of two that bring them back."""
+    exponent = np.frexp(np.abs(vectors).max(axis=1))[1].astype(np.int64)
+    half = exponent // 2  # two steps, as 2^-1074 has no inverse
+    return np.ldexp(np.ldexp(vectors, -half[:, None]), (half - exponent)[:, None]), exponent
+
+
 def encode(vectors: np.ndarray, rotate: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Packed signs, lengths, and inner products of directions and codes."""
+    """Packed signs, lengths, and inner products of directions and codes, of vectors of a common scale."""
     length = np.linalg.norm(vectors, axis=1)
     turned = (vectors / length[:, None]) @ rotate
     return np.packbits(turned > 0, axis=1), length, np.abs(turned).sum(axis=1) / np.sqrt(vectors.shape[1])
@@ -51,10 +65,10 @@ def estimates(codes: np.ndarray, length: np.ndarray, fit: np.ndarray, queries: n
     """Estimated inner products, a row a query, and their error bounds."""
     dim = queries.shape[1]
     signs = np.unpackbits(codes, axis=1, count=dim).astype(np.float32) * 2 - 1
-    dots = (queries @ rotate).astype(np.float32) @ signs.T / np.float32(np.sqrt(dim))
-    bound = EPSILON * np.sqrt(np.maximum(0, 1 - fit**2) / fit**2 / max(1, dim - 1)) * length
+    dots = ((queries @ rotate).astype(np.float32) @ signs.T / np.float32(np.sqrt(dim))).astype(float)
+    bound = (EPSILON * np.sqrt(np.maximum(0, 1 - fit**2) / fit**2 / max(1, dim - 1)) + 1e-5) * length
     size = np.linalg.norm(queries, axis=1)
-    return dots * (length / fit).astype(np.float32), (size[:, None] * bound).astype(np.float32) + np.float32(1e-5) * size[:, None] * length
+    return dots * (length / fit), size[:, None] * bound + _LEAST
 
 
 def _exact(vectors: np.ndarray, query: np.ndarray) -> np.ndarray:
@@ -76,16 +90,20 @@ def block_nearest(ids: np.ndarray, vectors: np.ndarray, coded: Codes, query_ids:
     asked, which = np.unique(queries, axis=0, return_inverse=True)
     rotate = rotation(vectors.shape[1])
     codes, length, fit = (x[order][one] for x in coded)
+    (each, exponent), (asked, above) = scaled(each), scaled(asked)
     own: list[tuple[np.ndarray, np.ndarray]] = []
-    for at in range(0, len(asked), _SUB):
-        part = asked[at:at + _SUB]
-        near, error = estimates(codes, length, fit, part, rotate)
+    relative = np.ldexp(length, exponent - exponent.max(initial=0))
+    step = max(1, _CELLS // max(1, len(each)))
+    for at in range(0, len(asked), step):
+        part = asked[at:at + step]
+        near, error = estimates(codes, relative, fit, part, rotate)
         low, high = near - error, near + error
         n = min(keep, len(each))
         least = np.partition(low, len(each) - n, axis=1)[:, len(each) - n]
-        for query, rows in zip(part, high >= least[:, None], strict=True):
+        for query, up, rows in zip(part, above[at:at + step], high >= least[:, None], strict=True):
             rows = np.flatnonzero(rows)
-            scores = _exact(each[rows], query)
+            with np.errstate(over="ignore", under="ignore"):
+                scores = np.ldexp(_exact(each[rows], query), exponent[rows] + up)
             if len(rows) > keep:  # other vectors have keep better ones
                 cut = np.partition(scores, len(rows) - keep)[len(rows) - keep]
                 rows, scores = rows[scores >= cut], scores[scores >= cut]
@@ -115,14 +133,14 @@ def _fine(vector: Column) -> Column:
 
 
 def coded(rows: DataFrame) -> DataFrame:
-    """``rows`` (vec_id, vector) of one dimension with code, length and fit."""
+    """``rows`` (vec_id, vector) of one dimension with code, fit, and the length that the scaled vector has."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
             vectors = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
-            codes, length, fit = encode(vectors, rotation(vectors.shape[1]))
+            codes, length, fit = encode(scaled(vectors)[0], rotation(vectors.shape[1]))
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(length), pa.array(fit)], names=["vec_id", "vector", "code", "length", "fit"])
 
