@@ -28,6 +28,14 @@ MESSAGE_TOKENS = 4
 QUERY_PREFIX = "Represent this sentence for searching relevant passages: "
 CHINESE = ("zh",)
 ZONE_HOURS = {"UT": 0, "UTC": 0, "GMT": 0, "Z": 0, "EST": -5, "EDT": -4, "CST": -6, "CDT": -5, "MST": -7, "MDT": -6, "PST": -8, "PDT": -7}
+#: Words that the English full-text configuration leaves out.
+STOP_WORDS = tuple("""
+i me my myself we our ours ourselves you your yours yourself yourselves he him his himself she her hers herself it its itself
+they them their theirs themselves what which who whom this that these those am is are was were be been being have has had
+having do does did doing a an the and but if or because as until while of at by for with about against between into through
+during before after above below to from up down in out on off over under again further then once here there when where why how
+all any both each few more most other some such no nor not only own same so than too very s t can will just don should now
+""".split())
 METRIC_FLOORS = {"case_pass_rate": 0.5, "citation_hit": 0.5, "citation_precision": 0.5, "recall@{k}": 0.4, "precision@{k}": 0.4, "gold_chunk_coverage": 0.6}
 MOST_FAILURES, MOST_REGRESSION, GATE_EPSILON = 0.3, 0.15, 1e-12
 

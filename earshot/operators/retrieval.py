@@ -12,16 +12,20 @@ from pyspark.sql import functions as F
 from ..config import Settings
 from ..functions import vectors
 
-#: Questions, and values of their vectors (64 MB), that are broadcast at once; more are taken in turns.
+#: Up to so many questions, and values of their vectors (64 MB), go to every task; more are dealt in blocks.
 QUESTIONS_AT_ONCE, MOST_VALUES = 4096, 1 << 23
+#: Rows of a block of chunks, and of one of questions, that meet in a task.
+CHUNK_BLOCK, QUESTION_BLOCK = 16_384, 2048
 #: Columns of questions that narrow them to chunks with the same value.
-SCOPES = ("episode_id", "podcast_name")
+SCOPES = ("episode_id", "podcast_id", "podcast_name")
 #: Questions, chunks and k to query_id, chunk_id, parent_id, distance, rank.
 Recaller = Callable[[DataFrame, DataFrame, int], DataFrame]
 
 
-def in_scope(chunks: DataFrame, podcast: str | None = None, episode_id: int | None = None) -> DataFrame:
-    """Filters that the scan can take; they come before any limit."""
+def in_scope(chunks: DataFrame, podcast: str | None = None, episode_id: int | None = None, podcast_id: int | None = None) -> DataFrame:
+    """Filters that the scan can take; they come before any limit. Names of podcasts may repeat, ids don't."""
+    if podcast_id is not None:
+        chunks = chunks.where(F.col("podcast_id") == podcast_id)
     if podcast is not None:
         chunks = chunks.where(F.col("podcast_name") == podcast)
     return chunks if episode_id is None else chunks.where(F.col("episode_id") == episode_id)
@@ -40,65 +44,87 @@ def recall(questions: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
     """For each question (query_id, vector) its k nearest chunks: query_id, chunk_id, parent_id, distance, rank.
 
     Questions may have a scope: columns of SCOPES that chunks have too; where one isn't null, only chunks with that
-    value count. The questions are broadcast in turns of QUESTIONS_AT_ONCE and MOST_VALUES at most, and each batch of
-    chunks keeps its k best of each, so that only k rows a question and batch are shuffled.
+    value count. QUESTIONS_AT_ONCE and MOST_VALUES at most go to every task that scans chunks. More questions are
+    dealt in blocks that meet blocks of chunks, so that chunks are scanned once and no question comes to the driver. Either way
+    k rows for each question and batch or block are shuffled.
     """
     scopes = [c for c in SCOPES if c in questions.columns and c in chunks.columns]
     asked = questions.select("query_id", "vector", *[F.col(c).cast("string") for c in scopes])
+    rows = chunks.select("chunk_id", "parent_id", "embedding", *[F.col(c).cast("string") for c in scopes])
     n, dim = asked.agg(F.count("*"), F.coalesce(F.max(F.size("vector")), F.lit(1))).first()
-    turns = max(1, -(-n // max(1, min(QUESTIONS_AT_ONCE, MOST_VALUES // max(1, dim)))))
-    best = None
-    for turn in range(turns):
-        part = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(turns)) == turn).toArrow() if turns > 1 else asked.toArrow()
-        if not part.num_rows:
-            continue
-        ids = part.column("query_id").to_numpy()
-        matrix = np.array(part.column("vector").to_pylist(), float)
-        wanted = [part.column(c).to_pylist() for c in scopes]
-        shared = chunks.sparkSession.sparkContext.broadcast((ids, matrix, wanted))
-        rows = chunks.select("chunk_id", "parent_id", "embedding", *[F.col(c).cast("string") for c in scopes])
-        found = rows.mapInArrow(_nearest(shared, k), "query_id long, chunk_id long, parent_id long, distance double")
-        best = found if best is None else best.unionByName(found)
-    if best is None:
-        best = chunks.sparkSession.createDataFrame([], "query_id long, chunk_id long, parent_id long, distance double")
+    if n <= min(QUESTIONS_AT_ONCE, MOST_VALUES // max(1, dim)):
+        shared = chunks.sparkSession.sparkContext.broadcast(_questions(asked.toArrow(), scopes))
+
+        def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield from best_of(shared.value, pa.Table.from_batches([batch]), scopes, k).to_batches()
+
+        found = rows.mapInArrow(task, FOUND)
+    else:
+        blocks, turns = -(-rows.count() // CHUNK_BLOCK) or 1, -(-n // QUESTION_BLOCK)
+        own = rows.withColumn("block", F.pmod(F.xxhash64("chunk_id"), F.lit(blocks)))
+        own = own.withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(turns - 1))))
+        asked = asked.withColumn("turn", F.pmod(F.xxhash64("query_id"), F.lit(turns)).cast("int"))
+        asked = asked.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+        found = meet(asked, own, ["block", "turn"], scopes, k)
+    return ranked(found, k)
+
+
+#: What tasks give: the best of each question so far.
+FOUND = "query_id long, chunk_id long, parent_id long, distance double"
+Asked = tuple[np.ndarray, np.ndarray, list[list]]
+
+
+def ranked(found: DataFrame, k: int) -> DataFrame:
     order = Window.partitionBy("query_id").orderBy("distance", "chunk_id")
-    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-
-
-def _nearest(shared, k: int):
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        asked, matrix, wanted = shared.value
-        unit = matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300)
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            chunk = batch.column(0).to_numpy(zero_copy_only=False)
-            own = batch.column(2).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
-            size = np.linalg.norm(own, axis=1)
-            kept = np.flatnonzero(size > 0)
-            if not len(kept):
-                continue
-            chunk, own = chunk[kept], own[kept] / size[kept, None]
-            distance = np.round(1 - unit @ own.T, vectors.DECIMALS) + 0.0  # no negative zero
-            for i, values in enumerate(wanted):
-                here = np.array(batch.column(3 + i).to_pylist(), object)[kept]
-                for row, value in enumerate(values):
-                    if value is not None:
-                        distance[row, here != value] = np.inf
-            rows, places = [], []
-            for row in range(len(asked)):
-                near = np.flatnonzero(distance[row] < np.inf)
-                if len(near) > k:
-                    near = near[distance[row, near] <= np.partition(distance[row, near], k - 1)[k - 1]]
-                near = near[np.lexsort((chunk[near], distance[row, near]))[:k]]
-                rows.append(np.full(len(near), row))
-                places.append(near)
-            row, at = np.concatenate(rows), np.concatenate(places)
-            yield pa.RecordBatch.from_pydict({
-                "query_id": pa.array(asked[row], pa.int64()), "chunk_id": pa.array(chunk[at], pa.int64()),
-                "parent_id": batch.column(1).take(pa.array(kept[at])).cast(pa.int64()), "distance": distance[row, at]})
-
-    return task
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def meet(asked: DataFrame, own: DataFrame, keys: list[str], scopes: list[str], k: int) -> DataFrame:
+    """The k best (FOUND) of each group of questions among the group of chunks with the same ``keys``."""
+
+    def task(left: pa.Table, right: pa.Table) -> pa.Table:
+        return best_of(_questions(left, scopes), right, scopes, k)
+
+    return asked.groupBy(*keys).cogroup(own.groupBy(*keys)).applyInArrow(task, FOUND)
+
+
+def matrix(column: pa.ChunkedArray) -> np.ndarray:
+    """Vectors of one dimension as rows."""
+    flat = column.combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float)
+    return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 1))
+
+
+def _questions(rows: pa.Table, scopes: list[str]) -> Asked:
+    return rows.column("query_id").to_numpy(), matrix(rows.column("vector")), [rows.column(c).to_pylist() for c in scopes]
+
+
+def best_of(questions: Asked, chunks: pa.Table, scopes: list[str], k: int) -> pa.Table:
+    """FOUND: for each question its k nearest of ``chunks``; zero vectors are near nothing."""
+    asked, vectors_of, wanted = questions
+    schema = pa.schema([("query_id", pa.int64()), ("chunk_id", pa.int64()), ("parent_id", pa.int64()), ("distance", pa.float64())])
+    own = matrix(chunks.column("embedding"))
+    size, length = np.linalg.norm(own, axis=1), np.linalg.norm(vectors_of, axis=1, keepdims=True)
+    kept = np.flatnonzero(size > 0)
+    if not len(kept) or not len(asked):
+        return schema.empty_table()
+    chunk, unit = chunks.column("chunk_id").to_numpy()[kept], own[kept] / size[kept, None]
+    distance = np.round(1 - (vectors_of / np.maximum(length, 1e-300)) @ unit.T, vectors.DECIMALS) + 0.0  # no negative zero
+    for column, values in zip(scopes, wanted, strict=True):
+        here = np.array(chunks.column(column).to_pylist(), object)[kept]
+        for row, value in enumerate(values):
+            if value is not None:
+                distance[row, here != value] = np.inf
+    near = distance < np.inf
+    if len(kept) > k:
+        near &= distance <= np.partition(distance, k - 1, axis=1)[:, k - 1:k]
+    row, at = np.nonzero(near)
+    order = np.lexsort((chunk[at], distance[row, at], row))
+    row, at = row[order], at[order]
+    first = np.searchsorted(row, np.arange(len(asked)))
+    best = np.arange(len(row)) - first[row] < k
+    row, at = row[best], at[best]
+    return pa.table([asked[row], chunk[at], chunks.column("parent_id").take(pa.array(kept[at])).cast(pa.int64()), distance[row, at]], schema=schema)
 
 
 #: Ways to recall by name; each is called as ``recall`` is.

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .config import STOP_WORDS
 from .plans.qa import TRANSCRIPT_PROMPT
 
 _PROMPT = TRANSCRIPT_PROMPT.replace("'", "''")
@@ -143,7 +144,33 @@ _HOST = "regexp_extract(url, '^[a-z]+://([^/?#]+)', 1)"
 _TIER = _LINES + """
 SELECT episode_id, CASE WHEN max("end") <= 900 THEN 'short' WHEN max("end") <= 2700 THEN 'medium' ELSE 'long' END AS tier FROM t GROUP BY 1"""
 
+_LEXEMES = r"""
+WITH l AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS ws FROM documents),
+w AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS position FROM l),
+a AS (SELECT *, CASE WHEN ends_with(word, 'sses') THEN regexp_replace(word, 'es$', '') WHEN regexp_matches(word, '^..+(ied|ies)$') THEN regexp_replace(word, '(ied|ies)$', 'i')
+    WHEN regexp_matches(word, '(ied|ies)$') THEN regexp_replace(word, '(ied|ies)$', 'ie') WHEN regexp_matches(word, '[aeiouy].*[^us]s$') THEN regexp_replace(word, 's$', '') ELSE word END AS one
+  FROM w WHERE NOT list_contains(string_split('@', ' '), word)),
+b AS (SELECT *, regexp_replace(one, '(edly|ed|ingly|ing)$', '') AS cut FROM a),
+c AS (SELECT *, CASE WHEN regexp_matches(cut, '(at|bl|iz)$') THEN cut || 'e' WHEN regexp_matches(cut, '(bb|dd|ff|gg|mm|nn|pp|rr|tt)$') THEN left(cut, -1)
+    WHEN regexp_matches(cut, '^[^aeiouy]*[aeiouy][^aeiouywx]$') THEN cut || 'e' ELSE cut END AS mended FROM b),
+d AS (SELECT *, CASE WHEN regexp_matches(one, '[aeiouy][^aeiouy].*eed(ly)?$') THEN regexp_replace(one, 'eed(ly)?$', 'ee') WHEN regexp_matches(one, 'eed(ly)?$') THEN one
+    WHEN regexp_matches(one, '[aeiouy].*(edly|ed|ingly|ing)$') THEN mended ELSE one END AS two FROM c),
+e AS (SELECT *, regexp_replace(two, '(.[^aeiouy])y$', '\1i') AS three FROM d),
+f AS (SELECT doc_id, position, CASE WHEN NOT regexp_matches(word, '^[a-z]{3,}$') THEN word
+    WHEN regexp_matches(three, '^[^aeiouy]*[aeiouy]+[^aeiouy]+[aeiouy]+[^aeiouy].*e$')
+      OR regexp_matches(three, '^[^aeiouy]*[aeiouy]+[^aeiouy].*e$') AND NOT regexp_matches(three, '([^aeiouy][aeiouy][^aeiouywx]|^[aeiouy][^aeiouy])e$') THEN left(three, -1) ELSE three END AS lexeme FROM e),
+p AS (SELECT doc_id AS chunk_id, lexeme, list(position ORDER BY position) AS positions FROM f GROUP BY 1, 2)
+""".replace("@", " ".join(STOP_WORDS))
+
 ORACLE: dict[str, str] = {
+    "search_vector": _LEXEMES + """
+SELECT chunk_id, count(*) AS n_lexemes, md5(string_agg(chr(39) || lexeme || chr(39) || ':' || array_to_string(positions, ','), ' ' ORDER BY lexeme)) AS vector_md5 FROM p GROUP BY 1""",
+    "fulltext_match": _LEXEMES + """,
+q AS (SELECT chunk_id AS query_id, lexeme FROM p WHERE chunk_id % 20 = 0 QUALIFY row_number() OVER (PARTITION BY chunk_id ORDER BY positions[1]) <= 3),
+n AS (SELECT query_id, count(*) AS n FROM q GROUP BY 1),
+h AS (SELECT query_id, chunk_id, count(*) AS held, sum(len(positions)) AS places FROM q JOIN p USING (lexeme) GROUP BY 1, 2),
+z AS (SELECT chunk_id, sum(len(positions)) AS size FROM p GROUP BY 1)
+SELECT query_id, chunk_id, round(places / (1 + ln(size)), 9) AS rank FROM h JOIN n USING (query_id) JOIN z USING (chunk_id) WHERE held = n""",
     "knn_topk": _ONE + f" SELECT chunk_id, rank, distance AS score FROM ({_TOP.format(t='d')})",
     "knn_similarity": _ONE + f" SELECT chunk_id, rank, round(1 - distance, 9) AS score FROM ({_TOP.format(t='d')})",
     "knn_scoped": _ONE + ", o AS (SELECT d.* FROM d JOIN documents ON doc_id = chunk_id WHERE source = 'src3')" + f" SELECT chunk_id, rank, distance AS score FROM ({_TOP.format(t='o')})",
