@@ -94,7 +94,7 @@ def search(spark, args) -> int:
 def reset_statuses(spark, args) -> int:
     from .streaming.queue import reset
 
-    rows, changed = reset(spark.read.parquet(args.path), args.kind)
+    rows, changed = reset(spark.read.option("recursiveFileLookup", "true").parquet(args.path), args.kind)
     rows.write.parquet(args.out)
     print(f"{changed} changed")
     return 0
@@ -116,7 +116,7 @@ def index(spark, args) -> int:
     if args.episode_id is None and not (args.retry_failed or args.reindex):
         index_queue(spark, args.source, embed, args.dim, args.out, args.checkpoint, settings, args.once, chunker=chunker).awaitTermination()
         return 0
-    rows = spark.read.schema(EPISODE).parquet(args.source)
+    rows = spark.read.schema(EPISODE).option("recursiveFileLookup", "true").parquet(args.source)
     for kind, asked in (("failed", args.retry_failed), ("done", args.reindex)):
         rows = reset(rows, kind)[0] if asked else rows
     if args.episode_id is not None:
@@ -130,7 +130,7 @@ def ask(spark, args) -> int:
     from .sources.feeds import parse_transcripts
     from .sources.storage import library
 
-    episodes = parse_transcripts(spark.read.parquet(args.episodes))
+    episodes = parse_transcripts(spark.read.option("recursiveFileLookup", "true").parquet(args.episodes))
     chunks, parents = library(spark, args.store, episodes)
     contexts = episode_contexts(episodes.where(episodes.episode_id == args.episode_id) if args.episode_id is not None else episodes.limit(0))
     question = spark.createDataFrame(

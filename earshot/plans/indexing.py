@@ -14,7 +14,7 @@ from ..config import Settings
 from ..functions.text import join_cleaned, without_fillers
 from ..operators.chunking import index_transcripts, parents_of, tier_column
 from ..sources.feeds import parse_transcripts
-from ..sources.storage import replace_chunks
+from ..sources.storage import answered, replace_chunks, request_key, stage
 from ..streaming.queue import claim, ready, run_queue
 
 Embed = Callable[[list[str]], list[list[float]]]
@@ -53,17 +53,31 @@ def embed_texts(rows: DataFrame, embed: Embed, dim: int, batch: int = 32) -> Dat
     return rows.mapInArrow(task, StructType([*rows.schema.fields, StructField("embedding", ArrayType(FloatType()))]))
 
 
+def embed_once(rows: DataFrame, embed: Embed, dim: int, store: str, model: str = "", batch: int = 32) -> DataFrame:
+    """``rows`` (with text) with ``embedding``, asking only for texts that ``store`` has no answer of ``model`` for. Equal texts are
+    asked for once. Answers are appended before they are used, so neither another reader of the result nor a later run asks
+    for them again; a model is told apart by its name and dimension."""
+    spark, name = rows.sparkSession, f"{model}/{dim}"
+    keyed = rows.withColumn("__key", request_key(F.coalesce("text", F.lit("")), name))
+    wanted = keyed.groupBy(F.col("__key").alias("key")).agg(F.first(F.coalesce("text", F.lit(""))).alias("text"))
+    fresh = wanted.join(answered(spark, store).select("key"), "key", "left_anti")
+    embed_texts(fresh, embed, dim, batch).select("key", "embedding").write.mode("append").parquet(store)
+    own = answered(spark, store).join(wanted.select("key"), "key", "left_semi").groupBy("key").agg(F.first("embedding").alias("embedding"))
+    return keyed.join(own, F.col("__key") == F.col("key")).drop("__key", "key")
+
+
 def index_episodes(
-    transcripts: DataFrame, embed: Embed, dim: int, path: str, run: str, settings: Settings = Settings(), chunker: Callable[..., DataFrame] = index_transcripts,
+    transcripts: DataFrame, embed: Embed, dim: int, path: str, run: str, settings: Settings = Settings(), chunker: Callable[..., DataFrame] = index_transcripts, model: str = "",
 ) -> DataFrame:
     """Index ``transcripts`` (episode_id, language, duration_seconds, segments) into ``path``; the episodes' new
-    statuses: episode_id, index_status, reason. Episodes that fail are not stored."""
+    statuses: episode_id, index_status, reason. Episodes that fail are not stored.
+
+    Leaves are made and written once, before anything is asked of them; vectors come from the answers kept in ``path/answers``."""
     cleaned = clean_segments(transcripts.withColumn("__raw", F.col("segments")))
     judged = cleaned.withColumn("reason", failure(F.col("__raw"), F.col("segments"), F.col("duration_seconds"), settings.tiers)).drop("__raw")
     leaves = chunker(judged.where("reason is null"), settings)
-    leaves = leaves.join(judged.select("episode_id", "language"), "episode_id")
-    parents = parents_of(leaves)
-    replace_chunks(embed_texts(leaves, embed, dim, settings.embed_batch), parents, path, run)
+    leaves = stage(leaves.join(judged.select("episode_id", "language"), "episode_id"), path, run, "leaves")
+    replace_chunks(embed_once(leaves, embed, dim, f"{path}/answers", model, settings.embed_batch), parents_of(leaves), path, run)
     status = F.when(F.col("reason").isNull(), "done").otherwise("failed")
     return judged.select("episode_id", status.alias("index_status"), "reason")
 

@@ -98,11 +98,14 @@ def transcribe_queue(
     spark: SparkSession, source: str, transcribe: Transcribe, path: str, checkpoint: str, once: bool = True, seconds: float = Settings().poll_seconds,
 ) -> StreamingQuery:
     """Transcribe the downloaded episodes that arrive in ``source`` (Parquet, columns RECORDING) into ``path``, under
-    each batch's name, so that a batch that is tried again writes the same files again."""
+    each batch's name, so that a batch that is tried again writes the same files again. ``path`` is a work list as ``index_queue`` takes
+    it: those that have a transcript wait to be indexed; seconds are whole, rounded up."""
 
     def run(batch: DataFrame, name: str) -> None:
         due = downloaded(batch)
         claimed = claim(batch, due, "transcript_status", "downloaded").where("transcript_status = 'processing'").join(due.select("episode_id"), "episode_id", "left_semi")
-        transcribe_episodes(claimed, transcribe).withColumn("run", F.lit(name)).write.mode("overwrite").parquet(f"{path}/{name}")
+        made = transcribe_episodes(claimed, transcribe).withColumn("duration_seconds", F.ceil("duration_seconds").cast("long"))
+        waiting = F.when(F.col("transcript_status") == "done", "pending")
+        made.withColumns({"index_status": waiting, "run": F.lit(name)}).write.mode("overwrite").parquet(f"{path}/{name}")
 
     return run_queue(spark, source, RECORDING, run, checkpoint, once, seconds)

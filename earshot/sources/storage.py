@@ -1,7 +1,8 @@
-"""Chunk storage that is replaced by episode, and reports that appear whole or not at all.
+"""Chunk storage that is replaced by episode, answers of models that are kept, and reports that appear whole or not at all.
 
-Parquet has no transaction over two tables. Leaves and parents are overwritten by episode partitions, and a row of
-the manifest comes last; readers take the episodes that the manifest lists.
+A write of chunks is a run: leaves and parents in folders of their own, a list of the episodes that it holds, and last a commit
+of one row. Of each episode readers take the chunks of the last committed run that lists it, so they see the old ones or the
+new ones of both tables, and a write costs what its own episodes cost. ``compact`` joins runs.
 """
 
 from __future__ import annotations
@@ -9,6 +10,7 @@ from __future__ import annotations
 import json
 import os
 import tempfile
+import time
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,42 +18,85 @@ from pyspark.sql import functions as F
 
 #: Leaf and parent ids leave room for so many in an episode.
 PER_EPISODE = 1 << 24
+_COMMIT = "run string, at long"
 
 
-def _overwrite(df: DataFrame, path: str) -> None:
-    (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path))
+def _exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
 
 
-def replace_chunks(leaves: DataFrame, parents: DataFrame, path: str, run: str, buckets: int = 64) -> None:
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def stage(rows: DataFrame, path: str, run: str, name: str) -> DataFrame:
+    """``rows`` written once for the use of this run, and read again; ``replace_chunks`` deletes them."""
+    target = f"{path}/_staged/{run}/{name}"
+    rows.write.mode("overwrite").parquet(target)
+    return rows.sparkSession.read.schema(rows.schema).parquet(target)
+
+
+def replace_chunks(leaves: DataFrame, parents: DataFrame, path: str, run: str, at: int | None = None) -> None:
     """Replace the chunks of the episodes in ``leaves`` and ``parents``; all others stay.
 
-    Episodes share ``buckets`` partitions a table, so that their number doesn't make as many folders. ``run`` names
-    the attempt; repeating it gives the same tables."""
+    ``run`` names the attempt; repeating it writes the same folders again. Each table is computed once, and the list of
+    episodes is taken from what was written. Of runs the one with the larger ``at`` (now, if not said) holds."""
     spark = leaves.sparkSession
-    done = leaves.select("episode_id").unionByName(parents.select("episode_id")).distinct()
+    _delete(spark, f"{path}/commits/run={run}")  # an attempt that is made again counts when it is whole again
     for name, new in (("leaf", leaves), ("parent", parents)):
-        target = f"{path}/{name}"
-        new = new.withColumn("bucket", F.pmod(F.xxhash64("episode_id"), F.lit(buckets)).cast("int"))
-        old = _read(spark, target, new)
-        kept = old.join(done, "episode_id", "left_anti")
-        touched = done.select(F.pmod(F.xxhash64("episode_id"), F.lit(buckets)).cast("int").alias("bucket")).distinct()
-        merged = kept.join(F.broadcast(touched), "bucket", "left_semi").unionByName(new, allowMissingColumns=True)
-        staged = f"{path}/_staged/{run}-{name}"
-        merged.write.mode("overwrite").parquet(staged)
-        _overwrite(spark.read.schema(merged.schema).parquet(staged), target)
-    done.withColumn("run", F.lit(run)).write.mode("append").parquet(f"{path}/manifest")
+        new.write.mode("overwrite").parquet(f"{path}/{name}/run={run}")
+    written = [spark.read.parquet(f"{path}/{name}/run={run}").select("episode_id") for name in ("leaf", "parent")]
+    written[0].unionByName(written[1]).distinct().write.mode("overwrite").parquet(f"{path}/episodes/run={run}")
+    commit = spark.createDataFrame([(int(time.time() * 1000) if at is None else at,)], "at long")
+    commit.coalesce(1).write.mode("overwrite").parquet(f"{path}/commits/run={run}")
+    _delete(spark, f"{path}/_staged/{run}")
 
 
-def _read(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
-    jvm = spark._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    there = at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
-    return spark.read.schema(like.schema).parquet(path) if there else like.limit(0)
+def live(spark: SparkSession, path: str) -> DataFrame:
+    """episode_id, run, at: where the chunks of each episode are."""
+    commits = spark.read.schema(_COMMIT).parquet(f"{path}/commits")
+    listed = spark.read.schema("episode_id long, run string").parquet(f"{path}/episodes")
+    last = listed.join(F.broadcast(commits), "run").groupBy("episode_id").agg(F.max(F.struct("at", "run")).alias("last"))  # commits: a row a run
+    return last.select("episode_id", "last.run", "last.at")
 
 
 def read_chunks(spark: SparkSession, path: str, name: str = "leaf") -> DataFrame:
-    done = spark.read.parquet(f"{path}/manifest").select("episode_id").distinct()
-    return spark.read.parquet(f"{path}/{name}").drop("bucket").join(done, "episode_id", "left_semi")
+    rows = spark.read.parquet(f"{path}/{name}")
+    return rows.withColumn("run", F.col("run").cast("string")).join(live(spark, path).drop("at"), ["episode_id", "run"]).drop("run")
+
+
+def compact(spark: SparkSession, path: str, run: str) -> None:
+    """Write all live chunks as one run, as old as the newest of them, so that runs committed meanwhile hold; the ones
+    before it are deleted by ``vacuum``, when no reader needs them."""
+    newest = live(spark, path).agg(F.max("at")).first()[0]
+    if newest is not None:
+        leaves, parents = (stage(read_chunks(spark, path, name), path, run, name) for name in ("leaf", "parent"))
+        replace_chunks(leaves, parents, path, run, newest)
+
+
+def vacuum(spark: SparkSession, path: str) -> int:
+    """Delete runs that hold no live episode; how many there were."""
+    kept = {r.run for r in live(spark, path).select("run").distinct().collect()}
+    gone = [r.run for r in spark.read.schema(_COMMIT).parquet(f"{path}/commits").collect() if r.run not in kept]  # a row a run
+    for run in gone:
+        for name in ("commits", "episodes", "leaf", "parent"):
+            _delete(spark, f"{path}/{name}/run={run}")
+    return len(gone)
+
+
+#: Answers of a model: the hash of what was asked, and the vector.
+ANSWER = "key binary, embedding array<float>"
+
+
+def request_key(text: Column, model: str) -> Column:
+    return F.unhex(F.sha2(F.concat(F.lit(f"{model}:"), text), 256))
+
+
+def answered(spark: SparkSession, path: str) -> DataFrame:
+    """Kept answers (ANSWER), none if there are none yet."""
+    return spark.read.schema(ANSWER).parquet(path) if _exists(spark, path) else spark.createDataFrame([], ANSWER)
 
 
 def library(spark: SparkSession, path: str, episodes: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -50,10 +50,10 @@ def latest_status(log: DataFrame, key: str, at: str, *values: str) -> DataFrame:
 
 
 def run_queue(spark: SparkSession, source: str, schema: str, index: Callable[[DataFrame, str], None], checkpoint: str, once: bool = True, seconds: float = 10.0) -> StreamingQuery:
-    """Index what arrives in ``source`` (Parquet): all there is, once, or on and on at an interval.
+    """Index what arrives in ``source`` (Parquet, in folders of any depth): all there is, once, or on and on at an interval.
 
     ``index`` gets each batch and a name that is the same when the batch is tried again."""
-    arriving = spark.readStream.schema(schema).parquet(source)
+    arriving = spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(source)
     writer = arriving.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda df, n: index(df, f"batch-{n:09d}"))
     writer = writer.trigger(availableNow=True) if once else writer.trigger(processingTime=f"{seconds} seconds")
     return writer.start()
