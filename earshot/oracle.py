@@ -248,6 +248,15 @@ x AS (SELECT episode_id, wanted, CASE WHEN length(wanted) > 0 THEN strpos(whole,
 SELECT x.episode_id, x.pos > 0 AS found, CASE WHEN x.pos > 0 THEN count(*) FILTER (o.stop <= x.pos - 1) END AS first,
   CASE WHEN x.pos > 0 THEN count(*) FILTER (o.stop < x.pos - 1 + length(x.wanted)) END AS last
 FROM x JOIN o USING (episode_id) GROUP BY x.episode_id, x.pos, x.wanted""",
+    "span_segments": _LINES + """,
+p AS (SELECT episode_id, segment_no, regexp_replace(lower(array_to_string(words, ' ')), '[^a-z0-9]', '', 'g') AS plain FROM t),
+o AS (SELECT *, sum(length(plain)) OVER (PARTITION BY episode_id ORDER BY segment_no) AS stop, count(*) OVER (PARTITION BY episode_id) AS total FROM p),
+w AS (SELECT episode_id, string_agg(plain, '' ORDER BY segment_no) AS whole, max(plain) FILTER (segment_no = total // 2) AS wanted FROM o GROUP BY 1),
+x AS (SELECT episode_id, strpos(whole, wanted) - 1 AS a, strpos(whole, wanted) - 1 + length(wanted) AS b FROM w WHERE length(wanted) > 0)
+SELECT episode_id, min(segment_no) AS first, max(segment_no) AS last FROM x JOIN o USING (episode_id) WHERE stop - length(plain) < b AND stop > a AND length(plain) > 0 GROUP BY 1""",
+    "covered_segments": _LINES + """,
+m AS (SELECT episode_id, unnest(range(0, 1 + floor(max("end") / 60)::BIGINT)) AS minute FROM t GROUP BY episode_id)
+SELECT episode_id, minute::INT AS minute, count(*) AS lines FROM m JOIN t USING (episode_id) WHERE minute * 60.0 <= start AND minute * 60.0 + 30 >= "end" GROUP BY 1, 2""",
     "status_latest": "SELECT user_id, arg_max(event_id, (ts, event_id)) AS event_id, arg_max(event_type, (ts, event_id)) AS event_type FROM events GROUP BY 1",
     "poll_ready": _STATUS + "SELECT episode_id FROM w WHERE transcript_status = 'done' AND index_status = 'pending'",
     "claim_next": _STATUS + "SELECT episode_id, CASE WHEN episode_id = (SELECT min(episode_id) FROM w WHERE transcript_status = 'done' AND index_status = 'pending') THEN 'processing' ELSE index_status END AS index_status FROM w",

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .config import GATE_EPSILON, Bounds, Settings
 from .functions import feed as fx
 from .functions import text as tx
 from .functions import vectors as vx
-from .operators import asr, cells, chunking, citations, fulltext, gates, ingestion, metrics, retrieval
+from .operators import asr, cells, chunk_tables, chunking, citations, fulltext, gates, ingestion, intervals, metrics, retrieval
 from .plans import indexing, ingestion as feed_plan, qa, transcription
 from .sources import feeds, scratch
 from .sources import tables as src
@@ -340,6 +340,26 @@ def chunk_parent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.parents_of(leaves).withColumns({"leaf_indices": F.size("leaf_indices"), "text": F.md5("text")})
 
 
+def _flat(spark: SparkSession, sf_dir: str) -> str:
+    """The name of a view with a row a cleaned segment."""
+    chunk_tables.register(spark)
+    rows = indexing.clean_segments(_transcripts(spark, sf_dir))
+    rows.select("episode_id", "language", "duration_seconds", F.inline("segments")).createOrReplaceTempView("spoken_segments")
+    return "TABLE(spoken_segments) PARTITION BY episode_id ORDER BY segment_no"
+
+
+@query
+def chunk_leaf_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``chunk_leaf`` as SQL over a row a segment."""
+    return spark.sql(f"SELECT episode_id, chunk_no, md5(text) AS text, start, end, tokens, segments, parent_no FROM size_chunks({_flat(spark, sf_dir)})")
+
+
+@query
+def chunk_parent_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``chunk_parent`` as SQL over a row a segment."""
+    return spark.sql(f"SELECT episode_id, parent_no, start, end, leaves AS leaf_indices, md5(text) AS text FROM size_parents({_flat(spark, sf_dir)})")
+
+
 @query
 def oversize_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every episode as one segment, which is split by itself."""
@@ -596,6 +616,32 @@ def find_timestamp_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return citations.locate_exact(rows).select("episode_id", "found", F.col("first").cast("long"), F.col("last").cast("long"))
 
 
+@query
+def span_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The segments that a quote's characters reach into, from flat tables of places: each episode's middle line as the quote."""
+    plain = F.regexp_replace(F.lower(F.array_join("words", " ")), "[^a-z0-9]", "")
+    rows = src.segments(spark, sf_dir).select("episode_id", "segment_no", plain.alias("plain"))
+    each = Window.partitionBy("episode_id").orderBy("segment_no")
+    stop = F.sum(F.length("plain")).over(each)
+    segments = rows.select("episode_id", "segment_no", (stop - F.length("plain")).alias("begin"), stop.alias("stop"))
+    whole = F.transform(F.array_sort(F.collect_list(F.struct("segment_no", "plain"))), lambda x: x["plain"])
+    quotes = rows.groupBy("episode_id").agg(whole.alias("plain")).withColumn("wanted", F.get("plain", F.floor(F.size("plain") / 2).cast("int")))
+    at = F.expr("locate(wanted, array_join(plain, '')) - 1")
+    quotes = quotes.where("length(wanted) > 0").select("episode_id", at.alias("from"), (at + F.length("wanted")).alias("to"))
+    pairs = intervals.join_intervals(segments, quotes, ["episode_id"], ("begin", "stop"), ("from", "to"), 1000.0)
+    return pairs.groupBy("episode_id").agg(F.min("segment_no").cast("long").alias("first"), F.max("segment_no").cast("long").alias("last"))
+
+
+@query
+def covered_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many whole lines each other half minute of an episode holds."""
+    lines = src.segments(spark, sf_dir).select("episode_id", "segment_no", F.col("start").alias("line_start"), F.col("end").alias("line_end"))
+    last = src.timed(spark, sf_dir).select("episode_id", F.explode(F.sequence(F.lit(0), F.floor(_total() / 60).cast("int"))).alias("minute"))
+    spans = last.select("episode_id", "minute", (F.col("minute") * 60.0).alias("span_start"), (F.col("minute") * 60.0 + 30).alias("span_end"))
+    pairs = intervals.join_intervals(spans, lines, ["episode_id"], ("span_start", "span_end"), ("line_start", "line_end"), 30.0, "covers")
+    return pairs.groupBy("episode_id", "minute").agg(F.count("*").alias("lines"))
+
+
 @query
 def find_timestamp_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same quotes with words at the end that no episode has, so that only a part of each is found."""
