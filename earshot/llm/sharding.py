@@ -4,8 +4,8 @@ Rows with equal texts form a group. The vectors (bytes, tokens, rows) of units a
 first, each into the shard where the dot product of vector and residual capacity is highest. Units are
 
 * each group over one in ``PLACED`` of the whole in some dimension, of which there are at most 3 * PLACED;
-* of a group over half a shard, which could not be kept whole, pieces of about one in ``PIECES`` of a shard, dealt by
-  a hash of all of a row's columns;
+* of a group over a shard, which can't be kept whole, pieces of about one in ``PIECES`` of a shard, dealt by a hash of
+  all of a row's columns;
 * the lighter groups, hashed into PLACED buckets.
 
 So what the driver gets, and what is broadcast, is bounded by the shards alone. Slots are counted in cells of about
@@ -28,7 +28,7 @@ from .common import conclude, materialise, text_or_empty, word_count
 ROW_OVERHEAD = 16
 #: Groups over one in PLACED of the whole are units of their own; the others fill PLACED buckets.
 PLACED = 8192
-#: Pieces of a shard that a group over half a shard is dealt in.
+#: Pieces of a shard that a group over a shard is dealt in.
 PIECES = 32
 ROWS_A_CELL = 100_000
 #: Weight of bytes, tokens and rows in the dot product. Bytes are the law, so they weigh most.
@@ -94,7 +94,7 @@ def plan_shards(featured: DataFrame, shards: int) -> ShardPlan:
     large = groups.select(_GROUP, "n", share.alias("share")).where(F.col("share") > 1 / PLACED).orderBy(_GROUP).collect()  # at most 3 * PLACED
     heavy, first = [], PLACED
     for r in large:
-        pieces = int(min(r.n, np.ceil(r.share * shards * PIECES))) if 2 * r.share * shards > 1 else 1
+        pieces = int(min(r.n, np.ceil(r.share * shards * PIECES))) if r.share * shards > 1 else 1
         heavy.append((r[_GROUP], first, pieces))
         first += pieces
     heavy = spark.createDataFrame(heavy, f"{_GROUP} long, {_FIRST} long, {_PIECES} int")

@@ -195,6 +195,21 @@ def test_nearest_at_any_scale(spark, scales):
     assert found >= 0.97 * 20 * len(wanted)
 
 
+# Groups of equal texts in shards
+
+
+@pytest.mark.parametrize("share, whole", [(0.6, True), (0.99, True), (1.6, False)])
+def test_groups_that_fit_a_shard_stay_whole(spark, share, whole):
+    from earshot.llm import sharding
+
+    n = int(8000 / 40 * share)
+    docs = spark.range(8000).selectExpr("id as doc_id", f"if(id < {n}, 'the same text of some words here', concat('own text of some more words ', lpad(cast(id as string), 4, '0'))) as text")
+    got = sharding.digest(docs).toPandas()
+    assert (got[got.doc_id < n]["shard"].nunique() == 1) == whole
+    by = got.groupby("shard")["size"].sum()
+    assert (by.max() - by.min()) / by.mean() < 0.05
+
+
 # Toxicity
 
 
