@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -31,8 +32,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Folders made since each ``conclude`` that is under way began, the innermost last.
-_made: list[list[str]] = []
+#: Folders made since the innermost ``conclude`` that is under way began. Each thread has its own, so queries don't meet.
+_made: ContextVar[list[str] | None] = ContextVar("made", default=None)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -49,8 +50,9 @@ def shared_dir(spark: SparkSession) -> str:
 
 def new_folder(spark: SparkSession, label: str) -> str:
     path = f"{shared_dir(spark)}/earshot-{label}-{uuid.uuid4().hex}"
-    if _made:
-        _made[-1].append(path)
+    made = _made.get()
+    if made is not None:
+        made.append(path)
     return path
 
 
@@ -65,14 +67,15 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
 
 def conclude(spark: SparkSession, label: str, make: Callable[[], DataFrame]) -> DataFrame:
     """Materialise what ``make`` gives, then delete the folders that were made on the way."""
-    result = new_folder(spark, label)
-    _made.append([])
+    result, own = new_folder(spark, label), []
+    outer = _made.set(own)
     try:
         out = make()
         settle(spark)
         out.write.parquet(result)
     finally:
-        delete(spark, _made.pop())
+        _made.reset(outer)
+        delete(spark, own)
     return spark.read.schema(out.schema).parquet(result)
 
 

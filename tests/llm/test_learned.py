@@ -210,6 +210,33 @@ def test_groups_that_fit_a_shard_stay_whole(spark, share, whole):
     assert (by.max() - by.min()) / by.mean() < 0.05
 
 
+def test_queries_in_two_threads_keep_their_folders(spark):
+    """The first to end deletes its own folders, not those that the other still reads."""
+    from concurrent.futures import ThreadPoolExecutor
+    from threading import Event
+
+    from earshot.llm.common import conclude, materialise
+
+    begun, ended = Event(), Event()
+
+    def slow():
+        rows = materialise(spark.range(5).toDF("x"), "slow")
+        begun.set()
+        ended.wait(60)
+        return rows
+
+    def quick():
+        begun.wait(60)
+        return materialise(spark.range(3).toDF("x"), "quick")
+
+    with ThreadPoolExecutor(2) as pool:
+        first = pool.submit(lambda: conclude(spark, "slow-result", slow).count())
+        second = pool.submit(lambda: conclude(spark, "quick-result", quick).count())
+        assert second.result(120) == 3
+        ended.set()
+        assert first.result(120) == 5
+
+
 # Toxicity
 
 
