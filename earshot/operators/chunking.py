@@ -218,6 +218,28 @@ def _flat_segments(segments: pa.Array) -> Iterator[list[dict]]:
 _LEAF = "episode_id long, chunk_no int, text string, start double, end double, tokens int, segments int, parent_no int"
 
 
+_PARENT = "episode_id long, parent_no int, start double, end double, leaf_indices array<int>, text string"
+
+
+def parent_transcripts(transcripts: DataFrame, settings: Settings = Settings(), policy: str = "parity", count: Counter = count_tokens) -> DataFrame:
+    """The parents that ``parents_of`` gives for the leaves of ``transcripts``, from the pass that makes the leaves: nothing is shuffled."""
+    tiers = settings.tiers
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[dict] = []
+            heads = zip(*(batch.column(i).to_pylist() for i in range(3)), _flat_segments(batch.column(3)), strict=True)
+            for episode, language, seconds, segments in heads:
+                tier = choose_tier(seconds, tiers)
+                parents = group_parents(build_leaves(segments, tier.leaf, language, count, policy), tier.parent, language, count, policy)
+                rows += [{"episode_id": episode, "parent_no": n, **p} for n, p in enumerate(parents)]
+            yield pa.RecordBatch.from_pylist(rows, schema=schema)
+
+    schema = pa.schema([
+        ("episode_id", pa.int64()), ("parent_no", pa.int32()), ("start", pa.float64()), ("end", pa.float64()), ("leaf_indices", pa.list_(pa.int32())), ("text", pa.string())])
+    return transcripts.select("episode_id", "language", "duration_seconds", "segments").mapInArrow(task, _PARENT)
+
+
 def index_transcripts(transcripts: DataFrame, settings: Settings = Settings(), policy: str = "parity", count: Counter = count_tokens) -> DataFrame:
     """Leaves with their parents' numbers of ``transcripts`` (episode_id, language, duration_seconds, segments)."""
     tiers = settings.tiers

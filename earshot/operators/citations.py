@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import unicodedata
 from collections.abc import Iterator
-from difflib import SequenceMatcher
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -12,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..config import FUZZY_SHARE
 from ..functions.text import citation_numbers, fold_plain
+from .blocks import longest_common
 
 
 def cited(answers: DataFrame, shared_ids: bool = False) -> DataFrame:
@@ -45,12 +45,6 @@ def fold(text: str) -> str:
     return "".join(c for c in kept if not (c.isspace() or unicodedata.category(c).startswith("P")))
 
 
-def longest_common(text: str, part: str) -> tuple[int, int]:
-    """Place in ``text`` and size of the longest block that both share."""
-    m = SequenceMatcher(None, text, part, autojunk=False).find_longest_match()
-    return m.a, m.size
-
-
 def find_timestamp(fragment: str | None, segments: list[dict]) -> dict:
     """found, text, start, end of the segments that hold the fragment: verbatim, or else by the longest common
     block if it is at least FUZZY_SHARE of the fragment."""

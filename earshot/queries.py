@@ -335,6 +335,13 @@ def chunk_leaf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def chunk_parent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parents = chunking.parent_transcripts(indexing.clean_segments(_transcripts(spark, sf_dir)))
+    return parents.withColumns({"leaf_indices": F.size("leaf_indices"), "text": F.md5("text")})
+
+
+@query
+def parents_of_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``chunk_parent`` from the stored leaves, as indexing makes them."""
     cleaned = indexing.clean_segments(_transcripts(spark, sf_dir))
     leaves = chunking.index_transcripts(cleaned).join(cleaned.select("episode_id", "language"), "episode_id")
     return chunking.parents_of(leaves).withColumns({"leaf_indices": F.size("leaf_indices"), "text": F.md5("text")})

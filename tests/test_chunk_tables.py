@@ -9,6 +9,10 @@ def test_sql_equals_the_fold(spark, sf, same_rows):
         same_rows(QUERIES[f"{name}_sql"](spark, sf).toPandas(), QUERIES[name](spark, sf).toPandas())
 
 
+def test_parents_of_the_pass_equal_those_of_leaves(spark, sf, same_rows):
+    same_rows(QUERIES["chunk_parent"](spark, sf).toPandas(), QUERIES["parents_of_leaves"](spark, sf).toPandas())
+
+
 def test_rows_in_any_order_and_without_words(spark):
     chunk_tables.register(spark)
     words = "array<struct<word:string,start:double,end:double>>"
