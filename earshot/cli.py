@@ -1,4 +1,4 @@
-"""Command line: transcribe and index a queue, ask and search a chunk store, check a dataset, reset statuses.
+"""Command line: transcribe and index a queue, ask, search and find in a chunk store, check a dataset, reset statuses.
 
 Models are named as ``module:function``, and called as the plans say.
 """
@@ -23,6 +23,12 @@ def parser() -> argparse.ArgumentParser:
     find.add_argument("store")
     find.add_argument("chunk", type=int)
     find.add_argument("--top-k", type=int, default=Settings().top_k)
+    seek = sub.add_parser("find", help="the passages of a chunk store nearest to a question")
+    seek.add_argument("question")
+    seek.add_argument("store")
+    seek.add_argument("episodes", help="episode_id, podcast_id (Parquet)")
+    seek.add_argument("--podcast-id", type=int)
+    seek.add_argument("--top-k", type=int, default=Settings().top_k)
     check = sub.add_parser("check-dataset", help="rules of an evaluation dataset; exit code 1 if they are broken")
     check.add_argument("path")
     reset = sub.add_parser("reset", help="statuses of a work list (Parquet) after a reset")
@@ -48,9 +54,10 @@ def parser() -> argparse.ArgumentParser:
     ask.add_argument("episodes", help="episode_id, podcast_name, language, transcript_data (Parquet)")
     ask.add_argument("--chat", required=True)
     ask.add_argument("--episode-id", type=int)
-    ask.add_argument("--podcast")
+    ask.add_argument("--podcast", help="name")
+    ask.add_argument("--podcast-id", type=int)
     ask.add_argument("--top-k", type=int, default=Settings().top_k)
-    for command in (index, ask):
+    for command in (index, ask, seek):
         command.add_argument("--embed", required=True)
         command.add_argument("--dim", type=int, required=True)
     return out
@@ -134,8 +141,8 @@ def ask(spark, args) -> int:
     chunks, parents = library(spark, args.store, episodes)
     contexts = episode_contexts(episodes.where(episodes.episode_id == args.episode_id) if args.episode_id is not None else episodes.limit(0))
     question = spark.createDataFrame(
-        [(0, args.question, args.episode_id, args.podcast, None)],
-        "query_id long, question string, episode_id long, podcast_name string, history array<struct<role:string,content:string>>")
+        [(0, args.question, args.episode_id, args.podcast_id, args.podcast, None)],
+        "query_id long, question string, episode_id long, podcast_id long, podcast_name string, history array<struct<role:string,content:string>>")
     settings = replace(Settings(), top_k=args.top_k)
     said = answer(question, contexts, chunks, parents, named(args.embed), args.dim, named(args.chat), settings).first()
     print(said["answer"])
@@ -144,13 +151,31 @@ def ask(spark, args) -> int:
     return 0
 
 
+def find(spark, args) -> int:
+    from pyspark.sql import functions as F
+
+    from .operators.retrieval import search as results
+    from .plans.qa import embed_queries
+    from .sources.storage import library
+
+    episodes = spark.read.option("recursiveFileLookup", "true").parquet(args.episodes)
+    chunks, parents = library(spark, args.store, episodes)
+    asked = spark.createDataFrame([(0, args.question, args.podcast_id)], "query_id long, question string, podcast_id long")
+    found = results(embed_queries(asked, named(args.embed), args.dim), chunks, replace(Settings(), top_k=args.top_k), parents)
+    leaf = chunks.select(F.lit("leaf").alias("level"), F.col("chunk_id").alias("id"), "text", "start", "episode_id")
+    group = parents.select(F.lit("parent").alias("level"), F.col("parent_id").alias("id"), "text", "start", "episode_id")
+    for r in found.join(leaf.unionByName(group), ["level", "id"]).orderBy("rank").collect():  # top_k rows
+        print(f"{r['rank']}. {r['score']:.4f} episode {r['episode_id']}, {r['start']:.1f} s: {r['text']}")
+    return 0
+
+
 def main(argv: list[str] | None = None) -> int:
     args = parser().parse_args(argv)
     if args.command == "check-dataset":
         return check_dataset(args.path)
     from pyspark.sql import SparkSession
 
-    commands = {"search": search, "reset": reset_statuses, "transcribe": transcribe, "index": index, "ask": ask}
+    commands = {"search": search, "reset": reset_statuses, "transcribe": transcribe, "index": index, "ask": ask, "find": find}
     return commands[args.command](SparkSession.builder.getOrCreate(), args)
 
 

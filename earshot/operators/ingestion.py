@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import new_folder
+
 
 def truncate(items: DataFrame, most: int, feed: str = "feed", position: str = "position") -> DataFrame:
     """The first ``most`` items of each feed, in feed order; this comes before known ones are left out."""
@@ -19,6 +21,22 @@ def new_episodes(items: DataFrame, known: DataFrame) -> DataFrame:
     return fresh.withColumn("__row", F.row_number().over(order)).where("__row = 1").drop("__row")
 
 
+def numbered(rows: DataFrame, order: list[str], name: str, first: int = 1) -> DataFrame:
+    """``rows`` with gapless numbers from ``first`` on in ``name``, in ``order``, which has to be total. Rows are sorted by range
+    over tasks and written once, so that numbers stay; of each task its number of rows comes to the driver."""
+    spark = rows.sparkSession
+    path = new_folder(spark, "numbered")
+    rows.repartitionByRange(*order).withColumn("__task", F.spark_partition_id()).write.parquet(path)
+    rows = spark.read.parquet(path)
+    firsts = []
+    for r in rows.groupBy("__task").count().orderBy("__task").collect():
+        firsts.append((r["__task"], first))
+        first += r["count"]
+    at = F.row_number().over(Window.partitionBy("__task").orderBy(*order)) - 1
+    rows = rows.withColumn("__at", at).join(F.broadcast(spark.createDataFrame(firsts, "__task int, __first long")), "__task")
+    return rows.withColumn(name, F.col("__first") + F.col("__at")).drop("__task", "__at", "__first")
+
+
 def upsert_podcasts(stored: DataFrame, fetched: DataFrame) -> DataFrame:
     """Podcasts (rss_url, name, author, cover_url): those fetched replace all but the key, nulls included."""
     seen = fetched.withColumn("__seen", F.lit(True))

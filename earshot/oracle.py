@@ -271,6 +271,8 @@ WITH e AS ({_E}), d AS (SELECT q.chunk_id AS query_id, e.chunk_id, round(list_co
 SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score, chunk_id)::INT AS rank, chunk_id, score FROM d QUALIFY rank <= 5""",
     "poll_downloaded": "SELECT doc_id AS episode_id FROM documents WHERE doc_id % 3 = 0",
     "transcript_dump": _LINES + "SELECT episode_id, any_value(source) AS podcast_name, any_value(t.lang) AS language, CASE WHEN episode_id % 3 = 0 THEN 'downloaded' ELSE 'done' END AS transcript_status, count(*)::INT AS n_segments FROM t JOIN documents ON doc_id = episode_id GROUP BY episode_id",
+    "whole_transcripts": _LINES + """SELECT episode_id, 'episode ' || episode_id AS title,
+  md5(string_agg(round(start * 1000)::BIGINT || ' ' || array_to_string(words, ' '), chr(10) ORDER BY segment_no)) AS transcript_md5 FROM t GROUP BY 1""",
     "gold_segments": _LINES + "SELECT DISTINCT episode_id, episode_id % 3 <> 0 AS found FROM t",
     "published_dates": """
 SELECT event_id, date_trunc('second', ts) + CASE event_id % 4 WHEN 0 THEN INTERVAL 0 MINUTE WHEN 1 THEN INTERVAL (-150) MINUTE WHEN 2 THEN INTERVAL 420 MINUTE ELSE INTERVAL 300 MINUTE END AS published FROM events""",

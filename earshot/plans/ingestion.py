@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.feed import file_extension
-from ..operators.ingestion import new_episodes, split_rejects, upsert_podcasts
+from ..operators.ingestion import new_episodes, numbered, split_rejects, upsert_podcasts
 from ..sources.download import Fetch, audio_path, download
 from ..sources.feeds import select_episodes
 
@@ -46,6 +46,20 @@ def ingest(feeds: DataFrame, items: DataFrame, podcasts: DataFrame, episodes: Da
     return Ingested(upsert_podcasts(stored, fetched), fresh.withColumn("transcript_status", F.lit("pending")), rejects, errors, counts)
 
 
+def insert(ingested: Ingested, podcasts: DataFrame, episodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What ``ingested`` adds to stored ``podcasts`` (podcast_id, rss_url, ...) and ``episodes`` (episode_id, ...): all podcasts with
+    their podcast_id, and the new episodes with episode_id, podcast_id and podcast_name, as ``download_episodes`` takes them.
+    Those stored keep their ids, new ones get the next, by address and by place in the feed. One job inserts at a time."""
+    known = podcasts.select("rss_url", "podcast_id")
+    joined = ingested.podcasts.join(known, "rss_url", "left")
+    next_podcast, next_episode = (t.agg(F.coalesce(F.max(c), F.lit(0))).first()[0] + 1 for t, c in ((podcasts, "podcast_id"), (episodes, "episode_id")))
+    fresh = numbered(joined.where("podcast_id is null").drop("podcast_id"), ["rss_url"], "podcast_id", next_podcast)
+    every = joined.where("podcast_id is not null").unionByName(fresh)
+    own = ingested.episodes.drop("podcast_id", "podcast_name").join(every.select(F.col("rss_url").alias("feed"), "podcast_id", F.col("name").alias("podcast_name")), "feed")
+    own = numbered(own, ["feed", "position"], "episode_id", next_episode)
+    return every, own if "mime" in own.columns else own.withColumn("mime", F.lit(None).cast("string"))
+
+
 def download_episodes(episodes: DataFrame, fetch: Fetch, base: str, **again) -> DataFrame:
     """episode_id, audio_local_path (below ``base``, which all executors share), transcript_status, reason of
     ``episodes`` (episode_id, podcast_id, podcast_name, url, mime): ``downloaded``, or ``failed`` where the file can't be

@@ -562,6 +562,19 @@ def transcript_dump(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("episode_id", "podcast_name", "language", "transcript_status", F.size("lines").alias("n_segments"))
 
 
+@query
+def whole_transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every transcript whole, as the dump writes it; the text of each of its lines and where it begins."""
+    line = F.transform("lines", lambda s: F.struct(F.array_join(s["words"], " ").alias("text"), F.round(s["start"] * 1000).cast("long").alias("start_ms")))
+    rows = src.timed(spark, sf_dir).select(
+        "episode_id", F.lit(None).cast("string").alias("guid"), F.concat(F.lit("episode "), "episode_id").alias("title"), F.lit(1).alias("podcast_id"), "language",
+        F.lit("done").alias("transcript_status"), F.to_json(F.struct(line.alias("segments"))).alias("transcript_data"))
+    read = F.from_json("record", "transcript_data struct<segments:array<struct<text:string,start_ms:long>>>, title string")
+    dumped = feeds.transcript_dump(rows).select("episode_id", read.alias("r"))
+    plain = F.transform("r.transcript_data.segments", lambda s: F.concat(s["start_ms"].cast("string"), F.lit(" "), s["text"]))
+    return dumped.select("episode_id", F.col("r.title").alias("title"), F.md5(F.array_join(plain, "\n")).alias("transcript_md5"))
+
+
 @query
 def gold_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each episode's last line as its gold segment, in every third a little late: whether a segment has just its times."""

@@ -7,6 +7,10 @@ import uuid
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 from ..config import RETRIED_STATUSES
 
 BLOCK = 1 << 20
@@ -52,3 +56,26 @@ def download(fetch: Fetch, url: str, path: Path, **again) -> Path:
         return partial.replace(path)
     finally:
         partial.unlink(missing_ok=True)
+
+
+def find_audio(requests: DataFrame, episodes: DataFrame, base: str) -> DataFrame:
+    """episode_id, path and error of ``requests`` (episode_id) for audio: the file of the episode (episode_id, audio_local_path) below
+    ``base``, which all executors share; or why there is none: ``episode not found``, ``audio not available``, ``audio file missing``."""
+    known = episodes.select("episode_id", "audio_local_path", F.lit(True).alias("known"))
+    rows = requests.select("episode_id").join(known, "episode_id", "left").select(F.col("episode_id").cast("long"), "audio_local_path", "known")
+
+    def one(path: str | None, there: bool | None) -> tuple[str | None, str | None]:
+        if not there:
+            return None, "episode not found"
+        if not path:
+            return None, "audio not available"
+        whole = Path(base) / path
+        return (str(whole), None) if whole.is_file() else (None, "audio file missing")
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [one(*values) for values in zip(*(batch.column(i).to_pylist() for i in (1, 2)), strict=True)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), *(pa.array([f[i] for f in found], pa.string()) for i in (0, 1))], names=["episode_id", "path", "error"])
+
+    return rows.mapInArrow(task, "episode_id long, path string, error string")

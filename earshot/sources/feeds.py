@@ -101,3 +101,13 @@ def parse_transcripts(rows: DataFrame, column: str = "transcript_data") -> DataF
     parsed = F.from_json(column, TRANSCRIPT)
     empty = F.array().cast(TRANSCRIPT[TRANSCRIPT.index("array<"):-1])
     return rows.withColumn("segments", F.coalesce(parsed["segments"], empty))
+
+
+def transcript_dump(episodes: DataFrame) -> DataFrame:
+    """episode_id and record (JSON: episode_id, guid, title, podcast_id, language, transcript_status, transcript_data) of the ``episodes`` that have
+    a transcript (transcript_data, JSON), whole."""
+    own = ("episode_id", "guid", "title", "podcast_id", "language", "transcript_status")
+    there = episodes.where("transcript_data is not null")
+    plain = F.to_json(F.struct(*own), {"ignoreNullFields": "false"})
+    record = F.concat(F.expr("substring(__plain, 1, length(__plain) - 1)"), F.lit(',"transcript_data":'), "transcript_data", F.lit("}"))
+    return there.withColumn("__plain", plain).select("episode_id", record.alias("record"))

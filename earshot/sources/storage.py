@@ -102,17 +102,18 @@ def answered(spark: SparkSession, path: str) -> DataFrame:
 def library(spark: SparkSession, path: str, episodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The store's leaves and parents as searches take them, with ids made of the episode's id and the place in it.
 
-    ``episodes`` (episode_id, podcast_name) scope the leaves. An id depends on nothing but the episode's own chunks, so
+    ``episodes`` (episode_id, and podcast_id and podcast_name as far as they are there) scope the leaves. An id depends on nothing but the episode's own chunks, so
     that other episodes keep theirs when one is indexed anew; a place beyond ``PER_EPISODE`` is an error."""
 
     def numbered(place: str) -> Column:
         own = F.col("episode_id") * F.lit(PER_EPISODE) + F.col(place)
         return F.when(F.col(place) < PER_EPISODE, own).otherwise(F.raise_error(F.lit("an episode has too many chunks")).cast("long"))
 
-    leaves = read_chunks(spark, path).join(episodes.select("episode_id", "podcast_name"), "episode_id", "left")
+    scopes = [c for c in ("podcast_id", "podcast_name") if c in episodes.columns]
+    leaves = read_chunks(spark, path).join(episodes.select("episode_id", *scopes), "episode_id", "left")
     chunks = leaves.select(
         numbered("chunk_no").alias("chunk_id"), numbered("parent_no").alias("parent_id"), F.col("embedding").cast("array<double>").alias("embedding"),
-        "text", "start", "end", "episode_id", "podcast_name")
+        "text", "start", "end", "episode_id", *scopes)
     return chunks, read_chunks(spark, path, "parent").select(numbered("parent_no").alias("parent_id"), "text", "start", "end", "episode_id")
 
 
