@@ -6,7 +6,10 @@ ratios of its character pairs. A run whose sum and mean reach the thresholds is
 it meets a base span. The models are counts of character pairs in labelled samples, at most 128 x 128 numbers.
 
 Positions come from marking the matches: \\x01 is put around each and the text split there, so a running sum of
-the pieces' lengths gives code points. A \\x01 of the text is first made \\x02, which no pattern holds either.
+the pieces' lengths gives code points. A \\x01 or \\x02 of the text is first made \\x03, which no pattern holds either.
+Runs are looked for in a text whose base spans of kind assign are blanked, as those alone can meet several runs; so
+runs and base spans aren't compared with each other, and the time grows with the text (times the logarithm of its
+number of spans, for their order).
 
 Defined cases: a null text is empty and has no spans; null ids and repeated rows are scanned like others; an
 empty table gives an empty result; without samples every ratio is 0 and no span is added.
@@ -26,39 +29,58 @@ _VALUE = r"[A-Za-z0-9+/_.=-]+"
 ASSIGN = rf"""(?=[PpSsTtAa])(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?({_VALUE})"""
 ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]{32,}"  # a maximal run of 32 or more, as [0-9a-f]+ with shorter ones dropped
-RUN = r"[A-Za-z0-9+/_=-]{16,}"
 KINDS = ("assign", "access", "hex", "markov")
 #: Thresholds on the sum and the mean of the ratios of a run, in nats.
 LEAST_SUM, LEAST_MEAN = 12.0, 0.5
 #: Bounds of the training sample: random strings made by rule, and documents whose words are the identifiers.
 RANDOM_STRINGS, SAMPLE_DOCS = 20_000, 200
-_BLOCK = 32
+_VALID = {
+    "assign": lambda m: F.length(F.regexp_extract(m, ASSIGN, 2)) >= 8,
+    "access": lambda m: F.length(m) >= 16,
+    "hex": lambda m: F.length(m) >= 32,
+}
+#: A run that starts and ends outside of base spans of kind assign, which are \x02 all through.
+FREE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}+(?!\x02)"
+#: What a run holds if it meets a base span of another kind: those lie in one run each.
+TAKEN = r"[0-9a-f]{32}|AKIA[A-Z0-9]{12}"
+_BLOCK, _LEVELS = 32, 3
 
 
-def _running(lengths: Column) -> Column:
-    """Sums of the elements before each one; in blocks, so that the work is not the square of the size."""
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value made once, also where ``use`` has it inside of functions over elements."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _running(lengths: Column, levels: int = _LEVELS) -> Column:
+    """Sums of the elements before each one. Arrays grow by copies, so they are made in blocks, and the sums of
+    blocks likewise: the copies stay short up to 32 ** 4 elements."""
 
     def fold(values: Column, start: Column) -> Column:
         zero = F.struct(start.cast("int").alias("at"), F.array().cast("array<int>").alias("out"))
         return F.aggregate(values, zero, lambda a, x: F.struct(
             (a["at"] + x).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")))["out"]
 
-    starts = F.sequence(F.lit(0), F.floor((F.size(lengths) - 1) / _BLOCK).cast("int"))
-    blocks = F.transform(starts, lambda b: F.slice(lengths, b * _BLOCK + 1, _BLOCK))
-    sums = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), lambda a, x: a + x))
-    return F.flatten(F.zip_with(blocks, fold(sums, F.lit(0)), fold))
+    def split(values: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.floor((F.size(values) - 1) / _BLOCK).cast("int"))
+        return F.transform(starts, lambda b: F.slice(values, b * _BLOCK + 1, _BLOCK))
+
+    def join(blocks: Column) -> Column:
+        sums = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), lambda a, x: a + x))
+        return F.flatten(F.zip_with(blocks, _running(sums, levels - 1), fold))
+
+    return fold(lengths, F.lit(0)) if levels == 0 else _let(_let(lengths, split), join)
 
 
 def _pieces(text: Column, pattern: str) -> Column:
-    return F.split(F.regexp_replace(F.translate(text, "\x01", "\x02"), F.lit(pattern), F.lit("\x01$0\x01")), "\x01")
+    return F.split(F.regexp_replace(text, F.lit(pattern), F.lit("\x01$0\x01")), "\x01")
 
 
-def _marked(docs: DataFrame, pattern: str, column: str) -> DataFrame:
+def _marked(docs: DataFrame, pattern: str, column: str, text: str = "__text") -> DataFrame:
     """``column``: array of (start, end, match) of the pattern, leftmost and non-overlapping."""
     p, s = f"__pieces_{column}", f"__starts_{column}"
-    docs = docs.withColumn(p, _pieces(F.col("__text"), pattern))
+    docs = docs.withColumn(p, _pieces(F.col(text), pattern))
     docs = docs.withColumn(p, F.when(F.size(p) > 1, F.col(p)))
-    docs = docs.withColumn(s, _running(F.transform(p, F.char_length)))
+    docs = docs.withColumn(s, F.when(F.col(p).isNotNull(), _running(F.transform(p, F.char_length))))
     at = F.sequence(F.lit(1), F.size(p) - 2, F.lit(2))
     match = F.transform(at, lambda i: F.struct(
         F.get(s, i).alias("start"), F.get(s, i + 1).alias("end"), F.get(p, i).alias("match")))
@@ -66,6 +88,12 @@ def _marked(docs: DataFrame, pattern: str, column: str) -> DataFrame:
     return docs.withColumn(column, F.when(F.col(p).isNull(), none).otherwise(match)).drop(p, s)
 
 
+def _bare(text: Column) -> Column:
+    """``text`` with as many \x02 in place of each base span of kind assign."""
+    blank = lambda p, i: F.when((i % 2 == 1) & _VALID["assign"](p), F.repeat(F.lit("\x02"), F.char_length(p))).otherwise(p)
+    return F.array_join(F.transform(_pieces(text, ASSIGN), blank), "")
+
+
 def _pairs(text: Column) -> Column:
     """128 * a + b of each two neighbours; characters past ASCII count as 127."""
     codes = F.transform(F.split(text, ""), lambda c: F.least(F.ascii(c), F.lit(127)))
@@ -117,28 +145,26 @@ def samples(docs: DataFrame, n_random: int = RANDOM_STRINGS, n_docs: int = SAMPL
 
 def find(docs: DataFrame, ratios: list[float], least_sum: float = LEAST_SUM, least_mean: float = LEAST_MEAN) -> DataFrame:
     """``docs`` with ``secrets``: array of (start, kind_no, end, kind, score), by start, then kind as in KINDS."""
-    docs = docs.withColumn("__text", text_or_empty())
-    for pattern, column in ((ASSIGN, "__assign"), (ACCESS, "__access"), (HEX, "__hex"), (RUN, "__run")):
-        docs = _marked(docs, pattern, column)
-    long_enough = {
-        "__assign": lambda m: F.length(F.regexp_extract(m["match"], ASSIGN, 2)) >= 8,
-        "__access": lambda m: F.length(m["match"]) >= 16,
-        "__hex": lambda m: F.length(m["match"]) >= 32,
-    }
+    docs = docs.withColumn("__text", F.translate(text_or_empty(), "\x01\x02", "\x03\x03"))
+    docs = docs.withColumn("__bare", _bare(F.col("__text")))
+    for pattern, kind in zip((ASSIGN, ACCESS, HEX), KINDS, strict=False):
+        docs = _marked(docs, pattern, f"__{kind}")
+    docs = _marked(docs, FREE, "__run", "__bare")
 
     def span(k: int, score: Callable[[Column], Column]) -> Callable[[Column], Column]:
         return lambda m: F.struct(m["start"].alias("start"), F.lit(k).alias("kind_no"), m["end"].alias("end"), F.lit(KINDS[k]).alias("kind"), score(m).alias("score"))
 
     base = F.concat(*[
-        F.transform(F.filter(c, ok), span(k, lambda _: F.lit(None).cast("double"))) for k, (c, ok) in enumerate(long_enough.items())])
+        F.transform(F.filter(f"__{kind}", lambda m: ok(m["match"])), span(k, lambda _: F.lit(None).cast("double")))  # noqa: B023
+        for k, (kind, ok) in enumerate(_VALID.items())])
     docs = docs.withColumn("__base", base)
-    free = F.filter("__run", lambda m: ~F.exists("__base", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
+    free = F.filter("__run", lambda m: ~m["match"].rlike(TAKEN))
     table = F.split(F.lit(",".join(f"{x:.6f}" for x in ratios)), ",").cast("array<double>")
     scored = F.transform(free, span(3, lambda m: _ratio(m["match"], table)))
     docs = docs.withColumn("__scored", scored)
     random = F.filter("__scored", lambda s: (s["score"] >= least_sum) & (s["score"] >= least_mean * (s["end"] - s["start"] - 1)))
     docs = docs.withColumn("secrets", F.array_sort(F.concat("__base", random)))
-    return docs.drop("__text", "__assign", "__access", "__hex", "__run", "__base", "__scored")
+    return docs.drop("__text", "__bare", "__assign", "__access", "__hex", "__run", "__base", "__scored")
 
 
 def redact(found: DataFrame) -> DataFrame:

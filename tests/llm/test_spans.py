@@ -1,7 +1,9 @@
 """Secrets and personal data against plain regular expressions."""
 
 import hashlib
+import random
 import re
+import time
 
 import pytest
 
@@ -93,6 +95,39 @@ def test_no_method_span_meets_a_base_span(spark, documents):
         assert not any(m.start < b.end and b.start < m.end for m in r.secrets if m.kind == "markov" for b in own)
 
 
+def test_method_runs_against_brute_force(spark):
+    """With ratios of 1 every run that meets no base span is one of the method's."""
+    parts = ["token", "password", "api_key", "=", ":", " ", '"', ".", "abcdefgh", "0f" * 16, "AKIA", "ABCDEF123456", "x" * 16, "_-", "é", "\x01", "\x02", "-----"]
+    rng = random.Random(7)
+    texts = ["".join(rng.choices(parts, k=rng.randint(1, 14))) for _ in range(3000)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: r.secrets for r in secret_scan.find(docs, [1.0] * 16384).collect()}
+    n = 0
+    for i, text in enumerate(texts):
+        base = secrets_of(text)
+        runs = [(m.start(), 3, m.end(), "markov") for m in re.finditer("[A-Za-z0-9+/_=-]{16,}", text)]
+        runs = [m for m in runs if not any(m[0] < b[2] and b[0] < m[2] for b in base)]
+        n += len(runs)
+        assert [(s.start, s.kind_no, s.end, s.kind) for s in found[i]] == sorted(base + runs), text
+    assert n > 300
+
+
+def test_time_grows_with_the_text(spark):
+    line = "password = {0:016x}Zq some_identifier_of_line_{0} {0:032x} AKIAABCDABCDABCD Xk{0:024x}Qw\n"
+    texts = ["".join(line.format(i * 7919 + 1) for i in range(n)) for n in (6_000, 48_000)]
+    took = []
+    for text in texts:
+        docs = spark.createDataFrame([(1, text)], "doc_id long, text string").persist()
+        docs.count()
+        began = time.monotonic()
+        spans = secret_scan.find(docs, [0.0] * 16384).select("secrets").first()[0]
+        took.append(time.monotonic() - began)
+        assert [(s.start, s.kind_no, s.end, s.kind) for s in spans] == secrets_of(text)
+        docs.unpersist()
+    assert len(texts[1]) > 5_000_000
+    assert took[1] < 24 * max(took[0], 1.0), took  # the square would be 64 times
+
+
 def test_redaction(spark):
     docs = spark.createDataFrame([(1, "é token=abcdefgh end"), (2, "plain"), (3, None)], "doc_id long, text string")
     got = {r.doc_id: r.text for r in secret_scan.redact(secret_scan.find(docs, [0.0] * 16384)).collect()}
