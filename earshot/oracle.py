@@ -115,6 +115,35 @@ SELECT {by} 'variety' AS metric, round(avg(variety), 9) AS value, count(variety)
 UNION ALL SELECT {by} 'case_pass_rate', round(avg(passed::INT), 9), count(*) FROM {t} {group}
 UNION ALL SELECT {by} 'provider_failure_rate', round(coalesce(count(*) FILTER (observed AND failed) / nullif(count(*) FILTER (observed), 0), 0), 9), count(*) FILTER (observed) FROM {t} {group}
 """
+_POLICIES = """s AS (SELECT d.source AS policy, round(avg(quality), 9) AS good, round(avg(toxic), 9) AS bad FROM documents d JOIN labels USING (doc_id) GROUP BY 1),
+r AS (
+  SELECT policy, unnest(['variety', 'case_pass_rate', 'case_pass_rate', 'provider_failure_rate', 'recall@5', 'citation_hit']) AS metric,
+         unnest([good, 0.5, good / 2, bad, 0.4, NULL]::DOUBLE[]) AS lo, unnest([NULL, NULL, NULL, bad + 0.2, bad, NULL]::DOUBLE[]) AS hi,
+         unnest([bad, bad, NULL, bad * 2, 0.15, bad]::DOUBLE[]) AS lost
+  FROM s
+)"""
+_RUNS = _JUDGED + ", n AS (SELECT *, tags[2] AS policy FROM j)," + """
+o AS (SELECT * REPLACE (observed AND NOT failed AND coalesce(variety >= 0.5, false) AS passed) FROM n WHERE case_id IN (SELECT vec_id FROM embeddings)),
+m AS (""" + _MEANS.format(by="policy,", t="n", group="GROUP BY policy") + "), b AS (" + _MEANS.format(by="policy,", t="o", group="GROUP BY policy") + "), " + _POLICIES
+_GATES = _RUNS + """,
+x AS (
+  SELECT r.*, coalesce(m.eligible > 0, false) AS counted, CASE WHEN m.eligible > 0 THEN m.value END AS now, m.eligible AS k, b.value AS was, b.eligible AS k_was, b.metric IS NOT NULL AS based,
+         r.metric = 'provider_failure_rate' AS low
+  FROM r LEFT JOIN m ON m.policy IS NOT DISTINCT FROM r.policy AND m.metric = r.metric LEFT JOIN b ON b.policy IS NOT DISTINCT FROM r.policy AND b.metric = r.metric
+),
+y AS (
+  SELECT policy, 'metric:' || metric || ':coverage' AS gate, counted AS good, true AS known, k AS actual, NULL AS baseline, 1 AS threshold FROM x
+  UNION ALL SELECT policy, 'metric:' || metric || CASE WHEN low THEN ':maximum' ELSE ':minimum' END, CASE WHEN low THEN now <= hi + 1e-12 ELSE now + 1e-12 >= lo END, true, now, NULL, CASE WHEN low THEN hi ELSE lo END FROM x
+  UNION ALL SELECT policy, 'metric:' || metric || ':regression', CASE WHEN low THEN now - was ELSE was - now END <= lost + 1e-12, based, now, was, lost FROM x WHERE lost IS NOT NULL
+  UNION ALL SELECT policy, 'metric:' || metric || ':eligible', k >= k_was, based, k, k_was, k_was FROM x
+  UNION ALL SELECT policy, 'critical:' || case_id || ':current', passed, true, passed::INT, NULL, 1 FROM n WHERE tags[1] = 'en'
+  UNION ALL SELECT n.policy, 'critical:' || case_id || ':regression', n.passed OR NOT o.passed, o.passed IS NOT NULL, n.passed::INT, o.passed::INT, NULL FROM n LEFT JOIN o USING (case_id) WHERE n.tags[1] = 'en'
+),
+g AS (
+  SELECT policy, gate, CASE WHEN NOT known THEN 'NO_BASELINE' WHEN good THEN 'PASS' ELSE 'FAIL' END AS status, actual::DOUBLE AS actual, baseline::DOUBLE AS baseline, threshold::DOUBLE AS threshold FROM y
+  UNION ALL SELECT policy, 'critical_no_regression', 'SKIP', NULL, NULL, NULL FROM n GROUP BY policy HAVING count(*) FILTER (tags[1] = 'en') = 0
+)
+"""
 _ANSWERS = """
 WITH c AS (
   SELECT conv_id AS query_id, string_agg('[' || (turn * 7 % 5 + 1) || '][' || (turn + 3) || ']', ' said ' ORDER BY turn) AS answer,
@@ -196,6 +225,32 @@ UNION ALL SELECT 'metric:' || metric || CASE WHEN lo IS NULL THEN ':maximum' ELS
     "eval_regression": _JUDGED + ", h AS (SELECT *, CASE WHEN tags[2] < 'src2' THEN 'then' ELSE 'now' END AS half FROM j), m AS (" + _MEANS.format(by="half,", t="h", group="GROUP BY half") + """),
 p AS (SELECT metric, max(value) FILTER (half = 'now') AS a, max(value) FILTER (half = 'then') AS b FROM m GROUP BY 1)
 SELECT metric, CASE WHEN coalesce(CASE WHEN metric = 'provider_failure_rate' THEN a - b ELSE b - a END <= 0.15 + 1e-12, false) THEN 'PASS' ELSE 'FAIL' END AS status FROM p""",
+    "eval_policy_rules": "WITH " + _POLICIES + """,
+f(metric, floor) AS (VALUES ('case_pass_rate', 0.5), ('citation_hit', 0.5), ('citation_precision', 0.5), ('recall@5', 0.4), ('precision@5', 0.4), ('gold_chunk_coverage', 0.6), ('provider_failure_rate', NULL)),
+x AS (SELECT r.*, floor, r.metric = 'provider_failure_rate' AS low, f.metric IS NOT NULL OR r.metric IN ('mrr@5', 'ndcg@5') AS known FROM r LEFT JOIN f USING (metric))
+SELECT policy, metric, unnest(list_filter([
+  CASE WHEN NOT known THEN 'unknown or non-deterministic' END,
+  CASE WHEN known AND (lo < 0 OR lo > 1) THEN 'minimum must be a finite number in [0, 1]' END,
+  CASE WHEN known AND (hi < 0 OR hi > 1) THEN 'maximum must be a finite number in [0, 1]' END,
+  CASE WHEN known AND (lost < 0 OR lost > 1) THEN 'max_regression must be a finite number in [0, 1]' END,
+  CASE WHEN known AND low AND lo IS NOT NULL THEN 'minimum is not allowed for a lower-is-better metric' END,
+  CASE WHEN known AND NOT low AND hi IS NOT NULL THEN 'maximum is not allowed for a higher-is-better metric' END,
+  CASE WHEN known AND low AND hi IS NULL THEN 'maximum is required' END,
+  CASE WHEN known AND NOT low AND lo IS NULL THEN 'minimum is required' END,
+  CASE WHEN known AND low AND hi > 0.3 AND hi <= 1 THEN 'maximum must not exceed 0.3' END,
+  CASE WHEN known AND NOT low AND lo >= 0 AND lo < floor THEN 'minimum must be at least ' || floor END,
+  CASE WHEN known AND floor IS NOT NULL AND lost IS NULL THEN 'max_regression is required' END,
+  CASE WHEN known AND lost > 0.15 AND lost <= 1 THEN 'max_regression must not exceed 0.15' END], lambda p: p IS NOT NULL)) AS problem FROM x
+UNION ALL SELECT policy, metric, 'duplicate' FROM r GROUP BY 1, 2 HAVING count(*) > 1
+UNION ALL SELECT s.policy, f.metric, 'missing' FROM s CROSS JOIN f WHERE NOT EXISTS (FROM r WHERE r.policy IS NOT DISTINCT FROM s.policy AND r.metric = f.metric)""",
+    "eval_gate_table": _GATES + "SELECT * FROM g",
+    "eval_verdicts": _GATES + """SELECT policy, count(*) FILTER (status = 'FAIL') = 0 AS passed, count(*) FILTER (status = 'PASS') AS n_pass, count(*) FILTER (status = 'FAIL') AS n_fail,
+  count(*) FILTER (status = 'SKIP') AS n_skip, count(*) FILTER (status = 'NO_BASELINE') AS n_no_baseline FROM g GROUP BY policy""",
+    "eval_baseline_check": _RUNS + """,
+p AS (SELECT DISTINCT policy FROM o)
+SELECT policy, 'case_added' AS what, case_id::VARCHAR AS key FROM n WHERE case_id NOT IN (SELECT case_id FROM o) AND EXISTS (FROM p WHERE p.policy IS NOT DISTINCT FROM n.policy)
+UNION ALL SELECT DISTINCT policy, 'metric_missing', metric FROM r WHERE EXISTS (FROM p WHERE p.policy IS NOT DISTINCT FROM r.policy) AND NOT EXISTS (FROM b WHERE b.policy IS NOT DISTINCT FROM r.policy AND b.metric = r.metric)
+UNION ALL SELECT policy, unnest(list_filter([CASE WHEN NOT coalesce(value BETWEEN 0 AND 1, false) THEN 'value' END, CASE WHEN NOT eligible BETWEEN 0 AND (SELECT count(*) FROM n WHERE n.policy IS NOT DISTINCT FROM b.policy) THEN 'eligible' END], lambda w: w IS NOT NULL)), metric FROM b""",
     "gold_check": "SELECT doc_id FROM labels ANTI JOIN embeddings ON vec_id = doc_id",
     "gold_scope": "SELECT vec_id AS chunk_id, doc_id IS NULL OR lang IS NULL AS missing, coalesce(lang <> 'en', false) AS other_scope FROM embeddings LEFT JOIN documents ON doc_id = vec_id",
     "breakdown": "SELECT lang AS language, count(*) AS n, count(*) FILTER (toxic = 1) AS critical FROM labels JOIN documents USING (doc_id) GROUP BY 1",

@@ -11,7 +11,7 @@ from .config import GATE_EPSILON, Bounds, Settings
 from .functions import feed as fx
 from .functions import text as tx
 from .functions import vectors as vx
-from .operators import asr, cells, chunk_tables, chunking, citations, fulltext, gates, ingestion, intervals, metrics, retrieval
+from .operators import asr, cells, chunk_tables, chunking, citations, fulltext, gate_tables, gates, ingestion, intervals, metrics, retrieval
 from .plans import indexing, ingestion as feed_plan, qa, transcription
 from .sources import feeds, scratch
 from .sources import tables as src
@@ -219,6 +219,60 @@ def eval_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
     return now.join(then, "metric", "full_outer").select("metric", F.when(F.coalesce(lost <= 0.15 + GATE_EPSILON, F.lit(False)), "PASS").otherwise("FAIL").alias("status"))
 
 
+def _runs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The judged cases with their source as policy, those in English critical; and an earlier run, of the cases that have
+    a vector, under an easier minimum. The texts are read once: what is asked of them is written in between."""
+    held = src.chunks(spark, sf_dir).select(F.col("chunk_id").alias("case_id"), F.lit(True).alias("held")).distinct()
+    folder = scratch.new_folder(spark, "runs")
+    _cases(spark, sf_dir).join(held, "case_id", "left").write.parquet(folder)
+    critical = F.coalesce(F.col("tags")[0] == "en", F.lit(False))
+    cases = spark.read.parquet(folder).withColumns({"policy": F.col("tags")[1], "critical": critical})
+    return metrics.case_policy(cases, {"search": {"variety": 0.6}}), metrics.case_policy(cases.where("held"), {"search": {"variety": 0.5}})
+
+
+def _policies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules of each source, from its shares of good and of toxic documents."""
+    labels = src.read(spark, sf_dir, "labels").select(F.col("doc_id").alias("episode_id"), "quality", "toxic")
+    docs = src.episodes(spark, sf_dir).select("episode_id", F.col("podcast_name").alias("policy"))
+    shares = docs.join(labels, "episode_id").groupBy("policy").agg(F.round(F.avg("quality"), _ROUND).alias("good"), F.round(F.avg("toxic"), _ROUND).alias("bad"))
+    rule = lambda metric, low, high, lost: F.struct(
+        F.lit(metric).alias("metric"), F.expr(low).cast("double").alias("minimum"), F.expr(high).cast("double").alias("maximum"), F.expr(lost).cast("double").alias("max_regression"))
+    return shares.select("policy", F.inline(F.array(
+        rule("variety", "good", "null", "bad"), rule("case_pass_rate", "0.5", "null", "bad"), rule("case_pass_rate", "good / 2", "null", "null"),
+        rule("provider_failure_rate", "bad", "bad + 0.2", "bad * 2"), rule("recall@5", "0.4", "bad", "0.15"), rule("citation_hit", "null", "null", "bad"))))
+
+
+def _means_of(cases: DataFrame) -> DataFrame:
+    return metrics.means(cases, ["policy"]).withColumn("value", F.round("value", _ROUND))
+
+
+def _gates_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    now, before = _runs(spark, sf_dir)
+    measured = gate_tables.metric_gates(_policies(spark, sf_dir), _means_of(now), _means_of(before), ["policy"])
+    return measured.drop("metric").unionByName(gate_tables.critical_gates(now, before, ["policy"]))
+
+
+@query
+def eval_policy_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gate_tables.rule_problems(_policies(spark, sf_dir), K, ["policy"])
+
+
+@query
+def eval_gate_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _gates_of(spark, sf_dir).drop("detail")
+
+
+@query
+def eval_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gate_tables.verdicts(_gates_of(spark, sf_dir), ["policy"])
+
+
+@query
+def eval_baseline_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    now, before = _runs(spark, sf_dir)
+    return gate_tables.baseline_problems(_policies(spark, sf_dir), _means_of(before), now, before, ["policy"])
+
+
 @query
 def gold_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labelled documents that have no vector."""
