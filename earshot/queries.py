@@ -177,10 +177,11 @@ def _cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = F.regexp_extract_all("text", F.lit(tx.WORD), 0)
     share = F.coalesce(F.try_divide(F.size(F.array_distinct(words)), F.size(words)), F.lit(0.0))
     observed, failed = F.col("quality") == 1, F.col("toxic") == 1
-    return docs.join(labels, "episode_id").select(
+    shares = docs.select("episode_id", "language", "podcast_name", share.alias("share"))  # before the join, so that no text is shuffled
+    return shares.join(labels, "episode_id").select(
         F.col("episode_id").alias("case_id"), F.array("language", "podcast_name").alias("tags"), F.lit("search").alias("arm"),
         observed.alias("observed"), F.when(failed, "failed").alias("error"), F.lit(1).alias("n_sources"),
-        F.when(observed, F.create_map(F.lit("variety"), F.when(failed, 0.0).otherwise(share))).otherwise(F.create_map().cast("map<string,double>")).alias("metrics"))
+        F.when(observed, F.create_map(F.lit("variety"), F.when(failed, 0.0).otherwise(F.col("share")))).otherwise(F.create_map().cast("map<string,double>")).alias("metrics"))
 
 
 def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
