@@ -91,24 +91,24 @@ def knn_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cells.recall_cells(index, asked, K).select("query_id", "rank", "chunk_id", F.col("distance").alias("score"))
 
 
-def _postings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fulltext.postings(src.episodes(spark, sf_dir).withColumnRenamed("episode_id", "chunk_id"))
+def _lexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fulltext.lexed(src.dealt(src.episodes(spark, sf_dir)).withColumnRenamed("episode_id", "chunk_id"))
 
 
 @query
 def search_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The full-text column of every document."""
-    rows = fulltext.vectors(_postings(spark, sf_dir))
+    rows = _lexed(spark, sf_dir)
     return rows.select("chunk_id", F.size("search_vector").cast("long").alias("n_lexemes"), F.md5(fulltext.written(F.col("search_vector"))).alias("vector_md5"))
 
 
 @query
 def fulltext_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document whose id is divisible by 20 asks for its own first three lexemes."""
-    posted = _postings(spark, sf_dir)
-    own = posted.where(F.col("chunk_id") % 20 == 0).groupBy(F.col("chunk_id").alias("query_id")).agg(
-        F.slice(F.transform(F.array_sort(F.collect_list(F.struct(F.get("positions", F.lit(0)).alias("at"), "lexeme"))), lambda x: x["lexeme"]), 1, 3).alias("lexemes"))
-    return fulltext.matches(own, posted)
+    rows = _lexed(spark, sf_dir)
+    places = F.sort_array(F.transform("search_vector", lambda x: F.struct(F.get(x["positions"], F.lit(0)).alias("at"), x["lexeme"].alias("lexeme"))))
+    own = rows.where(F.col("chunk_id") % 20 == 0).select(F.col("chunk_id").alias("query_id"), F.transform(F.slice(places, 1, 3), lambda x: x["lexeme"]).alias("lexemes"))
+    return fulltext.found(own, rows)
 
 
 def _searched(spark: SparkSession, sf_dir: str) -> DataFrame:

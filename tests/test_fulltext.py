@@ -84,3 +84,16 @@ def test_chinese_chunks(spark, corpus):
     queries = spark.createDataFrame([(1, "zh", "天地往秋")], "query_id long, language string, text string")
     found = {r.chunk_id for r in fulltext.matches(fulltext.asked(queries, segmentation.learn(chunks)), posted).collect()}
     assert found == {r.chunk_id for r in chunks.collect() if "天地" in r.text and "往秋" in r.text}
+
+
+def test_pairs_and_texts_are_not_shuffled(spark, tmp_path):
+    rows = [(i, "en", f"word{i % 3} common running") for i in range(40)] + [(3, "en", "word0 dog"), (41, "en", "the")]
+    spark.createDataFrame(rows, "chunk_id long, language string, text string").repartition(4).write.parquet(str(tmp_path / "chunks"))
+    made = fulltext.lexed(spark.read.parquet(str(tmp_path / "chunks")), segmentation.learn(spark.createDataFrame([("",)], "text string")))
+    once = {r.chunk_id: {x.lexeme: x.positions for x in r.search_vector} for r in made.collect()}
+    assert len(once) == 40 and once[3] == {"word0": [1, 1], "common": [2], "run": [3], "dog": [2]}  # rows of one id are one chunk
+    made.write.parquet(str(tmp_path / "lexed"))
+    queries = spark.createDataFrame([(1, ["common", "word1"]), (2, ["word1", "common", None, "common"]), (3, ["absent"]), (4, [])], "query_id long, lexemes array<string>")
+    found = fulltext.found(queries, spark.read.parquet(str(tmp_path / "lexed")))
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    assert {(r.query_id, r.chunk_id) for r in found.collect()} == {(q, i) for q in (1, 2) for i in range(40) if i % 3 == 1}
