@@ -97,9 +97,12 @@ def token_rows(texts: DataFrame) -> DataFrame:
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [tokenise(t or "") for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([
-                batch.column(0), pa.array([len(f) for f in found], pa.int64()), pa.array([sum(len(m) for _, m in f) for f in found], pa.int64())], names=["key", "n_tokens", "n_marks"])
+            tokens, marks = [], []
+            for text in batch.column(1):  # of one text at a time, as tokens take many times its size
+                found = tokenise(text.as_py() or "")
+                tokens.append(len(found))
+                marks.append(sum(len(m) for _, m in found))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(tokens, pa.int64()), pa.array(marks, pa.int64())], names=["key", "n_tokens", "n_marks"])
 
     return texts.select("key", "text").mapInArrow(task, "key long, n_tokens long, n_marks long")
 
