@@ -16,6 +16,8 @@ from ..functions import vectors
 QUESTIONS_AT_ONCE, MOST_VALUES = 4096, 1 << 23
 #: Rows of a block of chunks, and of one of questions, that meet in a task.
 CHUNK_BLOCK, QUESTION_BLOCK = 16_384, 2048
+#: Distances that a task holds at once (8 MB, and a few copies of them).
+MOST_DISTANCES = 1 << 20
 #: Columns of questions that narrow them to chunks with the same value.
 SCOPES = ("episode_id", "podcast_id", "podcast_name")
 #: Questions, chunks and k to query_id, chunk_id, parent_id, distance, rank.
@@ -109,22 +111,25 @@ def best_of(questions: Asked, chunks: pa.Table, scopes: list[str], k: int) -> pa
     if not len(kept) or not len(asked):
         return schema.empty_table()
     chunk, unit = chunks.column("chunk_id").to_numpy()[kept], own[kept] / size[kept, None]
-    distance = np.round(1 - (vectors_of / np.maximum(length, 1e-300)) @ unit.T, vectors.DECIMALS) + 0.0  # no negative zero
-    for column, values in zip(scopes, wanted, strict=True):
-        here = np.array(chunks.column(column).to_pylist(), object)[kept]
-        for row, value in enumerate(values):
-            if value is not None:
-                distance[row, here != value] = np.inf
-    near = distance < np.inf
-    if len(kept) > k:
-        near &= distance <= np.partition(distance, k - 1, axis=1)[:, k - 1:k]
-    row, at = np.nonzero(near)
-    order = np.lexsort((chunk[at], distance[row, at], row))
-    row, at = row[order], at[order]
-    first = np.searchsorted(row, np.arange(len(asked)))
-    best = np.arange(len(row)) - first[row] < k
-    row, at = row[best], at[best]
-    return pa.table([asked[row], chunk[at], chunks.column("parent_id").take(pa.array(kept[at])).cast(pa.int64()), distance[row, at]], schema=schema)
+    asking = vectors_of / np.maximum(length, 1e-300)
+    held = [np.array(chunks.column(c).to_pylist(), object)[kept] for c in scopes]
+    turn, parts = max(1, MOST_DISTANCES // len(kept)), []
+    for first in range(0, len(asked), turn):
+        distance = np.round(1 - asking[first:first + turn] @ unit.T, vectors.DECIMALS) + 0.0  # no negative zero
+        for here, values in zip(held, wanted, strict=True):
+            for row, value in enumerate(values[first:first + turn]):
+                if value is not None:
+                    distance[row, here != value] = np.inf
+        near = distance < np.inf
+        if len(kept) > k:
+            near &= distance <= np.partition(distance, k - 1, axis=1)[:, k - 1:k]
+        row, at = np.nonzero(near)
+        order = np.lexsort((chunk[at], distance[row, at], row))
+        row, at = row[order], at[order]
+        best = np.arange(len(row)) - np.searchsorted(row, np.arange(len(distance)))[row] < k
+        row, at = row[best], at[best]
+        parts.append(pa.table([asked[first + row], chunk[at], chunks.column("parent_id").take(pa.array(kept[at])).cast(pa.int64()), distance[row, at]], schema=schema))
+    return pa.concat_tables(parts).combine_chunks()
 
 
 #: Ways to recall by name; each is called as ``recall`` is.

@@ -2,9 +2,10 @@
 
 import tracemalloc
 
+import numpy as np
 import pyarrow as pa
 
-from earshot.operators import asr
+from earshot.operators import asr, retrieval
 
 
 def _peak(run):
@@ -30,3 +31,13 @@ def test_tokens_of_one_text_at_a_time():
     made, peak = _peak(lambda: list(asr.token_rows(_Captured())([batch])))
     assert made[0].to_pydict() == {"key": list(range(400)), "n_tokens": [900] * 400, "n_marks": [600] * 400}
     assert peak < 5 << 20
+
+
+def test_distances_by_turns():
+    rng = np.random.default_rng(5)
+    asked, own = rng.normal(size=(1500, 8)), rng.normal(size=(6000, 8))
+    chunks = pa.table({"chunk_id": np.arange(6000), "parent_id": np.arange(6000) % 7, "embedding": pa.array(list(own), pa.list_(pa.float64()))})
+    got, peak = _peak(lambda: retrieval.best_of((np.arange(1500), asked, []), chunks, [], 5))
+    distance = np.round(1 - asked @ own.T / np.linalg.norm(asked, axis=1)[:, None] / np.linalg.norm(own, axis=1), 9)
+    assert np.array_equal(got.column("chunk_id").to_numpy().reshape(-1, 5), np.argsort(distance, axis=1, kind="stable")[:, :5])
+    assert peak < 64 << 20
