@@ -14,8 +14,13 @@ from ..config import FULL_WIDTH_MARKS, HALF_WIDTH_MARKS, SEGMENT_MARKS
 
 #: A mark: a half-width one only if no ASCII letter or digit follows.
 _MARK = f"(?:[{FULL_WIDTH_MARKS}]|[{re.escape(HALF_WIDTH_MARKS)}](?![0-9A-Za-z]))"
-#: A run of ASCII or one other character, and what stands between it and the next: marks and white space.
-_TOKEN = re.compile(rf"((?:(?!{_MARK})[^\s\x80-\U0010ffff])+|(?!{_MARK})\S)((?:\s*{_MARK})*)")
+#: ASCII characters that no mark is; half-width marks before a letter or digit are no marks.
+_ASCII = "[" + re.escape("".join(c for c in map(chr, range(128)) if not c.isspace() and c not in HALF_WIDTH_MARKS)) + "]"
+#: A run of ASCII or one other character; possessive, as nothing that follows needs a shorter run.
+_RUN = rf"(?:{_ASCII}++|[{re.escape(HALF_WIDTH_MARKS)}](?=[0-9A-Za-z]))++|[^\s\x00-\x7f{FULL_WIDTH_MARKS}]"
+#: The same, with what stands between it and the next: marks and white space.
+_TOKEN = re.compile(rf"({_RUN})((?:\s*{_MARK})*)")
+_ALONE = re.compile(_RUN)
 
 
 class TokenMismatch(ValueError):
@@ -36,10 +41,11 @@ def to_segments(text: str | None, stamps: list[list[int]] | np.ndarray | None, w
         raise TokenMismatch(f"{len(tokens)} tokens and {len(stamps)} timestamps")
     if not tokens:
         return []
-    times = (np.asarray(stamps, float) / 1000).tolist()
     stops = [i + 1 for i, t in enumerate(tokens) if t[-1] in SEGMENT_MARKS and _closes(t)]
     if not stops or stops[-1] < len(tokens):
         stops.append(len(tokens))
+    times = np.asarray(stamps, float) / 1000
+    times = times.tolist() if words else _Ends(times)
     out = []
     for a, b in zip([0, *stops], stops):
         own = [{"word": t, "start": x, "end": y} for t, (x, y) in zip(tokens[a:b], times[a:b])] if words else None
@@ -47,6 +53,16 @@ def to_segments(text: str | None, stamps: list[list[int]] | np.ndarray | None, w
     return out
 
 
+class _Ends:
+    """Times as lists of floats, made only where they are asked for."""
+
+    def __init__(self, times: np.ndarray) -> None:
+        self.times = times
+
+    def __getitem__(self, i: int) -> list[float]:
+        return self.times[i].tolist()
+
+
 def _closes(token: str) -> bool:
     """Whether the last character is a mark after the token, not the token itself."""
     return len(token) > 1 or token not in FULL_WIDTH_MARKS + HALF_WIDTH_MARKS
@@ -65,9 +81,9 @@ def segment_rows(raw: DataFrame, words: bool = True) -> DataFrame:
         for batch in batches:
             made: list[list | None] = []
             errors: list[str | None] = []
-            for text, stamps in zip(batch.column(1).to_pylist(), _stamps(batch.column(2)), strict=True):
+            for text, stamps in zip(batch.column(1), _stamps(batch.column(2)), strict=True):
                 try:
-                    made.append(to_segments(text, stamps, words))
+                    made.append(to_segments(text.as_py(), stamps, words))
                     errors.append(None)
                 except TokenMismatch as e:
                     made.append(None)
@@ -112,7 +128,7 @@ def stamped(texts: DataFrame, token_ms: int = 400) -> DataFrame:
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts = np.array([len(_TOKEN.findall(t or "")) for t in batch.column(1).to_pylist()], np.int64)
+            counts = np.array([len(_ALONE.findall(t.as_py() or "")) for t in batch.column(1)], np.int64)
             starts = (np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)) * token_ms
             pairs = pa.ListArray.from_arrays(pa.array(np.arange(len(starts) + 1, dtype=np.int32) * 2), pa.array(np.stack([starts, starts + token_ms], 1).ravel()))
             rows = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pairs)
