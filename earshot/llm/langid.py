@@ -95,8 +95,9 @@ def held_out() -> Column:
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 3 == 1
 
 
-def train(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
-    """``labelled``: doc_id, text, lang; rows with a null text or lang are left out."""
+def train(labelled: DataFrame, sample_docs: float = SAMPLE_DOCS, least_share: float = 0.0) -> Model:
+    """``labelled``: doc_id, text, lang; rows with a null text or lang are left out. All are learned from where ``sample_docs`` is infinite; an
+    n-gram then has to be in the share ``least_share`` of a language's documents."""
     labelled = labelled.where("text is not null and lang is not null").select("doc_id", "text", "lang")
     number = {r.lang: r["count"] for r in labelled.groupBy("lang").count().orderBy("lang").collect()}  # a row a language
     langs = tuple(number)
@@ -118,7 +119,7 @@ def train(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
 
     seen = sample.select("text", "lang").mapInArrow(task, "lang long, gram long, n long").groupBy("gram", "lang").agg(F.sum("n").alias("n"))
     size = F.element_at(F.create_map(*[F.lit(x) for k, v in docs.items() for x in (index[k], float(v))]), F.col("lang").cast("int"))
-    seen = seen.withColumn("rate", F.col("n") / size).withColumn("least", F.least(F.lit(float(LEAST_DOCS)), size))
+    seen = seen.withColumn("rate", F.col("n") / size).withColumn("least", F.greatest(F.least(F.lit(float(LEAST_DOCS)), size), size * least_share))
     by_gram = seen.groupBy("gram").agg(F.max("rate").alias("most"), F.collect_list(F.struct("lang", "n", "rate", "least")).alias("langs"))
     kept = by_gram.select("gram", F.explode("langs").alias("x"), "most").where(f"x.n >= x.least and x.rate >= {RELATIVE} * most")
     n_words = -(-len(langs) // 64)

@@ -316,3 +316,19 @@ def test_toxicity_edges(spark, edge_docs, no_docs):
     assert len({r.score for r in rows if r.doc_id in (0, 1)}) == 1
     assert toxicity.digest(no_docs, marks).count() == 0
     assert {(r.score, r.predicted) for r in toxicity.digest(edge_docs, marks.where("toxic = 1")).collect()} == {(0.0, 0)}
+
+
+def test_all_labelled_texts_teach(spark, monkeypatch):
+    """Of more texts than were once sampled each teaches or calibrates, in several parts that are averaged."""
+    monkeypatch.setattr(toxicity, "PART_TEXTS", 2500)
+    rng = np.random.default_rng(3)
+    docs = [(i, " ".join(map(str, rng.integers(0, 500, 5))) + f" id{i}" + " vile" * (i % 4 == 0), "en", "s") for i in range(10_000)]
+    docs += [(10_000 + i, docs[i][1], "en", "s") for i in range(50)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string")
+    marks = spark.createDataFrame([(i, int(i % 4 == 0 and i < 10_000)) for i in range(10_000)], "doc_id long, toxic int")
+    rows, n, parts = toxicity.lessons(frame, marks)
+    assert parts == 4 and rows.count() == sum(n.values()) == 10_000 and rows.select("part").distinct().count() == 4
+    model = toxicity.train(frame, marks)
+    assert model.taught + model.calibrated == 10_000 and 1800 < model.calibrated < 2200
+    scores = toxicity.score_texts(["1 2 3 vile", "1 2 3"], model)
+    assert scores[0] >= toxicity.DECIDE > scores[1]
