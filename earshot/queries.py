@@ -38,6 +38,13 @@ def _episode_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return src.chunks(spark, sf_dir).join(src.episodes(spark, sf_dir).drop("text"), F.col("chunk_id") == F.col("episode_id"))
 
 
+def _kept(rows: DataFrame, label: str) -> DataFrame:
+    """``rows`` as a table of the shared folder, as they are used more than once."""
+    path = scratch.new_folder(rows.sparkSession, label)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 # Recall and merging
 
 
@@ -694,15 +701,15 @@ def find_timestamp_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def span_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The segments that a quote's characters reach into, from flat tables of places: each episode's middle line as the quote."""
-    plain = F.regexp_replace(F.lower(F.array_join("words", " ")), "[^a-z0-9]", "")
-    rows = src.segments(spark, sf_dir).select("episode_id", "segment_no", plain.alias("plain"))
-    each = Window.partitionBy("episode_id").orderBy("segment_no")
-    stop = F.sum(F.length("plain")).over(each)
-    segments = rows.select("episode_id", "segment_no", (stop - F.length("plain")).alias("begin"), stop.alias("stop"))
-    whole = F.transform(F.array_sort(F.collect_list(F.struct("segment_no", "plain"))), lambda x: x["plain"])
-    quotes = rows.groupBy("episode_id").agg(whole.alias("plain")).withColumn("wanted", F.get("plain", F.floor(F.size("plain") / 2).cast("int")))
-    at = F.expr("locate(wanted, array_join(plain, '')) - 1")
-    quotes = quotes.where("length(wanted) > 0").select("episode_id", at.alias("from"), (at + F.length("wanted")).alias("to"))
+    plain = F.transform("lines", lambda s: F.regexp_replace(F.lower(F.array_join(s["words"], " ")), "[^a-z0-9]", ""))
+    rows = src.timed(spark, sf_dir).select("episode_id", plain.alias("plain"))
+    whole, wanted = F.array_join("plain", ""), F.get("plain", F.floor(F.size("plain") / 2).cast("int"))
+    placed = rows.select("episode_id", tx.running(F.transform("plain", lambda x: F.length(x))).alias("begins"), F.transform("plain", lambda x: F.length(x)).alias("sizes"),
+                         F.length(wanted).alias("size"), F.instr(whole, wanted).cast("long").alias("at"))
+    places = _kept(placed, "span-places")  # texts are read once, and only places of them are joined
+    segments = places.select("episode_id", F.posexplode(F.arrays_zip("begins", "sizes")).alias("segment_no", "x")).select(
+        "episode_id", "segment_no", F.col("x.begins").alias("begin"), (F.col("x.begins") + F.col("x.sizes")).alias("stop"))
+    quotes = places.where("size > 0").select("episode_id", (F.col("at") - 1).alias("from"), (F.col("at") - 1 + F.col("size")).alias("to"))
     pairs = intervals.join_intervals(segments, quotes, ["episode_id"], ("begin", "stop"), ("from", "to"), 1000.0)
     return pairs.groupBy("episode_id").agg(F.min("segment_no").cast("long").alias("first"), F.max("segment_no").cast("long").alias("last"))
 

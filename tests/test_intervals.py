@@ -51,3 +51,11 @@ def test_states_are_linear():
     own = blocks.Automaton("ab" * 5000 + "c")
     assert len(own.size) < 2 * 10_001
     assert blocks.longest_common("x" * 300_000 + "ab" * 400, "ab" * 5000 + "c") == (300_000, 800)
+
+
+def test_spans_read_texts_once(spark, sf):
+    """Only numbers are joined; the texts are read before, when places are written."""
+    from earshot.queries import QUERIES
+
+    plan = QUERIES["span_segments"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "text#" not in plan and "earshot-span-places" in QUERIES["span_segments"](spark, sf).inputFiles()[0]
