@@ -41,3 +41,18 @@ def test_distances_by_turns():
     distance = np.round(1 - asked @ own.T / np.linalg.norm(asked, axis=1)[:, None] / np.linalg.norm(own, axis=1), 9)
     assert np.array_equal(got.column("chunk_id").to_numpy().reshape(-1, 5), np.argsort(distance, axis=1, kind="stable")[:, :5])
     assert peak < 64 << 20
+
+
+def test_episodes_of_a_batch_by_turns():
+    from earshot.operators import chunking
+
+    words = [{"word": f"w{i}.", "start": i * 0.4, "end": i * 0.4 + 0.4} for i in range(600)]
+    line = {"text": " ".join(w["word"] for w in words), "start": 0.0, "end": 240.0, "words": words}
+    kind = pa.list_(pa.struct([("text", pa.string()), ("start", pa.float64()), ("end", pa.float64()), ("words", pa.list_(pa.struct([("word", pa.string()), ("start", pa.float64()), ("end", pa.float64())])))]))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(600)), pa.array(["en"] * 600), pa.array([240.0] * 600), pa.array([[line]] * 600, kind)], names=["episode_id", "language", "duration_seconds", "segments"])
+
+    class Told(_Captured):
+        sparkSession = type("Session", (), {"conf": type("Conf", (), {"set": lambda *a: None})()})()
+
+    made, peak = _peak(lambda: sum(b.num_rows for b in chunking.index_transcripts(Told())([batch])))
+    assert made == 600 * 10 and peak < 5 << 20
