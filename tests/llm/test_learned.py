@@ -332,3 +332,57 @@ def test_all_labelled_texts_teach(spark, monkeypatch):
     assert model.taught + model.calibrated == 10_000 and 1800 < model.calibrated < 2200
     scores = toxicity.score_texts(["1 2 3 vile", "1 2 3"], model)
     assert scores[0] >= toxicity.DECIDE > scores[1]
+
+
+def test_labelled_texts_move_once_and_others_stay(spark, monkeypatch, capsys):
+    """A join by id moved all texts, and the chosen ones again by part, where labels are too many for a broadcast."""
+    monkeypatch.setattr(toxicity, "PART_TEXTS", 40)
+    docs = [(i, f"text {i % 900}", "en") for i in range(2000)] + [(None, "text", "en"), (7, None, "en"), (8, "text 8", "xx")]
+    frame = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    marks = spark.createDataFrame([(10 * i, i % 2) for i in range(200)] + [(10, 0), (None, 1), (7, 1)], "doc_id long, toxic int")
+    made, write = {}, toxicity.materialise
+    monkeypatch.setattr(toxicity, "materialise", lambda df, label: made.setdefault(label, (df, write(df, label)))[1])
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows, n, parts = toxicity.lessons(frame, marks)
+        made["toxicity-lessons"][0].explain("formatted")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    inputs = re.findall(r"\) Exchange\nInput \[\d+\]: \[(.*?)\]", capsys.readouterr().out)
+    assert sum("text#" in x for x in inputs) == 1
+    wanted = {(docs[i][1], t) for i, t in [(10 * i, i % 2) for i in range(200)] + [(10, 0), (7, 1)]}
+    assert {(r.text, r.toxic) for r in rows.collect()} == wanted and rows.count() == sum(n.values()) == len(wanted) and parts > 1
+    chosen = made["toxicity-chosen"][1]
+    kept = {r.doc_id for r in toxicity._marked(frame, chosen).collect()}
+    assert kept >= {r.doc_id for r in chosen.collect()} and len(kept) < 210
+
+
+def test_changes_are_averaged_by_how_often():
+    rng, begun = np.random.default_rng(5), toxicity.Learner(5)
+    others, rows = [toxicity.Learner(5) for _ in range(2)], np.array([3, 600, 601])
+    for times, x in zip((1, 3), others, strict=True):
+        x.net.table[rows] += rng.normal(0, 0.2, (3, toxicity.WIDE)).astype(np.float32)
+        x.squares[rows], x.changed[rows], x.net.shift = 0.01 * times, times, float(times)
+    wanted = (others[0].net.table + 3 * others[1].net.table) / 4
+    sent = [list(x.parts(n, begun)) for n, x in zip((10, 30), others, strict=True)]
+    assert all(len(p) <= 2 * toxicity._BLOCK_ROWS * (toxicity.WIDE + 2) for s in sent for at, p in s if at >= 0)
+    places = [at for at, _ in sent[0]]
+    begun.take({at: toxicity.Learner.total(at, [dict(s)[at] for s in sent]) for at in places})
+    assert len(places) == 3 and np.allclose(begun.net.table, wanted, atol=1e-3) and begun.net.shift == 2.5
+    assert np.allclose(begun.squares[rows], (0.01 + 3 * 0.03) / 4, rtol=5e-3) and (begun.squares[[0, 602]] == np.float32(1e-6)).all()
+
+
+def test_parts_larger_than_what_is_held(spark, monkeypatch):
+    """With as many parts as there may be, a part is passed through in pieces, and few rounds are enough."""
+    monkeypatch.setattr(toxicity, "PART_TEXTS", 400)
+    monkeypatch.setattr(toxicity, "MOST_PARTS", 2)
+    rng, joined, rounds = np.random.default_rng(6), [], toxicity.Learner.take
+    monkeypatch.setattr(toxicity.Learner, "take", lambda self, sums: (joined.append(1), rounds(self, sums))[1])
+    docs = [(i, " ".join(map(str, rng.integers(0, 500, 5))) + f" id{i}" + " vile" * (i % 4 == 0), "en") for i in range(4000)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    model = toxicity.train(frame, spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(4000)], "doc_id long, toxic int"))
+    epochs = toxicity._epochs(model.taught // 2)
+    assert len(joined) == -(-epochs // 2) and model.taught + model.calibrated == 4000
+    scores = toxicity.score_texts(["1 2 3 vile", "1 2 3"], model)
+    assert scores[0] >= toxicity.DECIDE > scores[1]
