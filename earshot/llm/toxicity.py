@@ -314,11 +314,11 @@ def fit_parts(learned: DataFrame, known: np.ndarray, n: tuple[int, int], parts:
         begun, passes = spark.sparkContext.broadcast(learner), min(at_once, epochs - done)
 
         def task(batches: Iterator[pa.RecordBatch], begun=begun, r=r, passes=passes) -> Iterator[pa.RecordBatch]:
-            part, key, own, seen, chars, held = None, 0, None, 0, 0, []
+            part, key, own, seen, pieces, chars, held = None, 0, None, 0, 0, 0, []
 
             def learn() -> None:
                 texts, rows = _together(held)
-                toxic, rng = np.concatenate([x[2] for x in held]), np.random.default_rng([seed, r, part, seen])
+                toxic, rng = np.concatenate([x[2] for x in held]), np.random.default_rng([seed, r, part, pieces])
                 for _ in range(passes):
                     own.teach(texts, rows, toxic == 1, weights[toxic], rng)
 
@@ -335,7 +335,7 @@ def fit_parts(learned: DataFrame, known: np.ndarray, n: tuple[int, int], parts:
                     if place != part:
                         if own is not None:
                             yield from end()
-                        part, key, own, seen, chars, held = int(place), int(keys[rows_of_part[0]]), deepcopy(begun.value), 0, 0, []
+                        part, key, own, seen, pieces, chars, held = int(place), int(keys[rows_of_part[0]]), deepcopy(begun.value), 0, 0, 0, []
                     for first, texts in langid._blocks(batch.take(pa.array(rows_of_part)), 3):
                         marks = toxic[rows_of_part[first:first + len(texts)]]
                         words, hashes = numbered(texts)
@@ -343,7 +343,7 @@ def fit_parts(learned: DataFrame, known: np.ndarray, n: tuple[int, int], parts:
                         held.append((words, hashes[:, 0].copy(), marks, rows_of(hashes, known_bits.value).astype(np.int32)))
                         if sum(len(x[2]) for x in held) >= most_texts or chars >= most_chars:
                             learn()
-                            chars, held = 0, []
+                            pieces, chars, held = pieces + 1, 0, []
             if own is not None:
                 yield from end()
 
